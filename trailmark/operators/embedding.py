@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,6 @@ from trailmark.functions import text as T
 from trailmark.functions import vectors as V
 from trailmark.operators import scale
 
-Embedder = Callable[[Column], Column]
-
 DEFAULT_DIM = 64
 # Queries whose vectors are shipped to every task; above this the grid join is used.
 MAX_SHIPPED_QUERIES = 20_000
@@ -27,53 +25,99 @@ GRID_ROWS = 50_000
 _MAX_CACHED_TERMS = 200_000
 
 
-def hash_embedder(dim: int = DEFAULT_DIM) -> Embedder:
-    """Signed feature hashing of search terms, L2-normalised.
+@dataclass(frozen=True)
+class Embedder:
+    """A model hook: `load` runs once per Python worker and returns list[str] -> (n, dim) array.
 
-    The stand-in for a model: any pandas UDF from text to array<float> has the same place.
+    `fingerprint` names the model; stored vectors carry it.
     """
-    token = re.compile(r"[^\W_]+")
-    plain = str.maketrans(T.ACCENTED, T.PLAIN)
 
-    @F.pandas_udf(st.ArrayType(st.FloatType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    load: Callable[[], Callable[[list[str]], np.ndarray]]
+    dim: int
+    fingerprint: str
+
+    def vector(self, text: Column) -> Column:
+        """array<float> per text."""
+        load = self.load
+
+        @F.pandas_udf(st.ArrayType(st.FloatType()))
+        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for texts in batches:
+                vectors = model([t or "" for t in texts])
+                yield pd.Series(list(np.asarray(vectors, dtype=np.float32)))
+
+        return embed(text)
+
+    def adjacent_similarity(self, texts: Column) -> Column:
+        """array<double> of cosines between neighbours of an array<string>; null when embedding fails."""
+        load = self.load
+
+        @F.pandas_udf(st.ArrayType(st.DoubleType()))
+        def compare(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+
+            def neighbours(row) -> list[float] | None:
+                if row is None or len(row) < 2:
+                    return []
+                try:
+                    m = np.asarray(np.asarray(model(list(row)), dtype=np.float32), dtype=np.float64)
+                except Exception:
+                    return None
+                lengths = np.linalg.norm(m, axis=1)
+                scale = lengths[:-1] * lengths[1:]
+                dots = np.einsum("ij,ij->i", m[:-1], m[1:])
+                return np.round(np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0), 9).tolist()
+
+            for rows in batches:
+                yield pd.Series([neighbours(r) for r in rows])
+
+        return compare(texts)
+
+
+def hash_embedder(dim: int = DEFAULT_DIM) -> Embedder:
+    """Signed feature hashing of search terms, L2-normalised: the stand-in for a model."""
+
+    def load() -> Callable[[list[str]], np.ndarray]:
+        token = re.compile(r"[^\W_]+")
+        plain = str.maketrans(T.ACCENTED, T.PLAIN)
         slots: dict[str, tuple[int, float]] = {}
 
         def slot(term: str) -> tuple[int, float]:
+            if len(slots) > _MAX_CACHED_TERMS:
+                slots.clear()
             digest = hashlib.md5(term.encode()).hexdigest()
             slots[term] = (int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0)
             return slots[term]
 
-        def vector(text: str | None) -> np.ndarray:
-            terms = token.findall((text or "").lower().translate(plain))
-            if not terms:
-                return np.zeros(dim, dtype=np.float32)
-            places, signs = zip(*[slots.get(t) or slot(t) for t in terms])
-            total = np.bincount(places, weights=signs, minlength=dim)
-            length = math.sqrt(float(total @ total))
-            return (total / length if length else total).astype(np.float32)
+        def embed(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim))
+            for row, text in enumerate(texts):
+                terms = token.findall(text.lower().translate(plain))
+                if terms:
+                    places, signs = zip(*[slots.get(t) or slot(t) for t in terms])
+                    out[row] = np.bincount(places, weights=signs, minlength=dim)
+            lengths = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            return np.divide(out, lengths, out=out, where=lengths > 0)
 
-        for texts in batches:
-            if len(slots) > _MAX_CACHED_TERMS:
-                slots.clear()
-            yield pd.Series([vector(t) for t in texts])
+        return embed
 
-    return embed
+    return Embedder(load, dim, f"hash{dim}")
 
 
 def embed_queries(queries: DataFrame, embedder: Embedder, model: str = "", query_col: str = "query") -> DataFrame:
     """`query_id, vector`; the model's query instruction goes in front of queries only."""
     text = F.concat(F.lit(T.query_instruction(model)), F.col(query_col))
-    return queries.select("query_id", embedder(text).alias("vector"))
+    return queries.select("query_id", embedder.vector(text).alias("vector"))
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, fingerprint: str = "hash64") -> DataFrame:
+def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     """`chunk_id, vector, fingerprint` from the title, URL and text of each chunk."""
     prefix = T.context_prefix(F.col("page_title"), F.col("page_url"))
     return chunks.select(
         "chunk_id",
-        embedder(T.embedding_text(prefix, F.col("text"))).alias("vector"),
-        F.lit(fingerprint).alias("fingerprint"),
+        embedder.vector(T.embedding_text(prefix, F.col("text"))).alias("vector"),
+        F.lit(embedder.fingerprint).alias("fingerprint"),
     )
 
 
@@ -98,12 +142,12 @@ def orphans(old_chunks: DataFrame, new_chunks: DataFrame) -> DataFrame:
     return old_chunks.select("chunk_id").distinct().join(new_chunks.select("chunk_id"), "chunk_id", "left_anti")
 
 
-def reembed(chunks: DataFrame, vectors: DataFrame, embedder: Embedder, fingerprint: str) -> DataFrame:
-    """Vectors under the given fingerprint: rows already made with it are kept, the rest embedded."""
-    fresh = vectors.filter(F.col("fingerprint") == fingerprint)
+def reembed(chunks: DataFrame, vectors: DataFrame, embedder: Embedder) -> DataFrame:
+    """Vectors under the embedder's fingerprint: rows already made with it are kept, the rest embedded."""
+    fresh = vectors.filter(F.col("fingerprint") == embedder.fingerprint)
     stale = chunks.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
     kept = fresh.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    return kept.unionByName(embed_chunks(stale, embedder, fingerprint))
+    return kept.unionByName(embed_chunks(stale, embedder))
 
 
 def centroids(vectors: DataFrame, key: str, vector_col: str = "vector") -> DataFrame:

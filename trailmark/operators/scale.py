@@ -24,16 +24,18 @@ def lookup_join(
     how: str = "inner",
     spread_by: Column | None = None,
     max_rows: int = BROADCAST_ROWS,
+    small_fits: bool | None = None,
 ) -> DataFrame:
     """Join a large side with one that is usually small.
 
-    The small side is counted; below `max_rows` it is broadcast. Above that both sides are
+    The small side is counted, unless the caller has already checked a bound on it (`small_fits`);
+    below `max_rows` it is broadcast. Above that both sides are
     shuffled, and with `spread_by` (a column expression on `big`) every key of the large side is
     spread over SPREAD sub-keys while the other side is copied to each of them, so that one hot key
     never lands in a single task.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if is_small(small, max_rows):
+    if is_small(small, max_rows) if small_fits is None else small_fits:
         return big.join(F.broadcast(small), keys, how)
     if spread_by is None:
         return big.join(small, keys, how)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder and read it back without its lineage."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and return a scan of it.
+
+    For results that several later steps read: they are computed once, pruned by column when read,
+    and outlive the executors that made them.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
