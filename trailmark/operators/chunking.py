@@ -39,13 +39,13 @@ def split_sentences(text: Column) -> Column:
 
 
 def windows(sentences: Column, size: int = WINDOW) -> Column:
-    """Overlapping runs of `size` sentences; none when there are at most twice as many sentences."""
-    def runs(s: Column) -> Column:
-        starts = F.when(F.size(s) > 2 * size, F.sequence(F.lit(1), F.size(s) - (size - 1)))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(s, i, F.lit(size)), " "))
-        return F.coalesce(joined, F.array().cast("array<string>"))
+    """Overlapping runs of `size` sentences; none when there are at most twice as many sentences.
 
-    return let(sentences, runs)
+    `sentences` must be a stored column, not an expression: it is read once per run.
+    """
+    starts = F.when(F.size(sentences) > 2 * size, F.sequence(F.lit(1), F.size(sentences) - (size - 1)))
+    joined = F.transform(starts, lambda i: F.array_join(F.slice(sentences, i, F.lit(size)), " "))
+    return F.coalesce(joined, F.array().cast("array<string>"))
 
 
 def break_threshold(similarities: Column, floor: float = MIN_SIMILARITY) -> Column:

@@ -29,7 +29,8 @@ _MAX_CACHED_TERMS = 200_000
 class Embedder:
     """A model hook: `load` runs once per Python worker and returns list[str] -> (n, dim) array.
 
-    `fingerprint` names the model; stored vectors carry it.
+    `fingerprint` names the model; stored vectors carry it. The UDFs are declared non-deterministic
+    so that the optimizer neither copies a model call nor moves a filter on its result below it.
     """
 
     load: Callable[[], Callable[[list[str]], np.ndarray]]
@@ -47,7 +48,7 @@ class Embedder:
                 vectors = model([t or "" for t in texts])
                 yield pd.Series(list(np.asarray(vectors, dtype=np.float32)))
 
-        return embed(text)
+        return embed.asNondeterministic()(text)
 
     def adjacent_similarity(self, texts: Column) -> Column:
         """array<double> of cosines between neighbours of an array<string>; null when embedding fails."""
@@ -72,7 +73,7 @@ class Embedder:
             for rows in batches:
                 yield pd.Series([neighbours(r) for r in rows])
 
-        return compare(texts)
+        return compare.asNondeterministic()(texts)
 
 
 def hash_embedder(dim: int = DEFAULT_DIM) -> Embedder:

@@ -17,6 +17,15 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` in at least as many partitions as there are cores, for costly work per row.
+
+    Input that already has enough splits is left alone; a lone file is shuffled by `key`.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,

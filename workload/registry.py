@@ -1,5 +1,5 @@
 """All registered queries: name -> (query, check SQL or None)."""
 
-from workload import page_queries, search_queries, vector_queries
+from workload import graph_queries, page_queries, search_queries, vector_queries
 
-ALL = {**page_queries.QUERIES, **search_queries.QUERIES, **vector_queries.QUERIES}
+ALL = {**page_queries.QUERIES, **search_queries.QUERIES, **vector_queries.QUERIES, **graph_queries.QUERIES}

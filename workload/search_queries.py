@@ -1,21 +1,34 @@
-"""Queries over `documents`, `benchmark` and `embeddings`: keyword, vector and hybrid search."""
+"""Queries over `documents`, `benchmark` and `conversations`: search, fusion, answers, chat, resurfacing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.operators import lexical
+from trailmark.functions import text as T
+from trailmark.functions import times
+from trailmark.functions import urls as U
+from trailmark.operators import assembly, embedding, entities, fusion, graph, lexical, scale
+from trailmark.plans import resurface, search
+from trailmark.session import materialize
 from workload import base
+from workload.graph_queries import ENTITY_CTE, MATCH_CTE
+from workload.vector_queries import sql_hashed
 
-BM25_CTE = rf"""
-toks AS (SELECT doc_id, {base.sql_terms('text')} AS t FROM documents),
+EMBEDDER = embedding.hash_embedder(64)
+POOL = 50
+
+
+def _bm25_cte(extra_phrases: str = "") -> str:
+    """Index, phrases and scores. `extra_phrases` adds rows `query_id, phrase, n_tokens, weight` to qp."""
+    return rf"""
+toks AS MATERIALIZED (SELECT doc_id, {base.sql_terms('text')} AS t FROM documents),
 corpus AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM toks),
 post AS (SELECT doc_id, len(t) AS dl, u AS phrase FROM toks, unnest(t) AS x(u)),
 parts AS (SELECT item_id, unnest(list_filter(regexp_extract_all(text, '[^\s]+'), lambda w: length(w) > 1)) AS part FROM benchmark),
 qtok AS (SELECT item_id, {base.sql_terms("replace(part, chr(34), '')")} AS t FROM parts),
-qp AS (SELECT item_id AS query_id, array_to_string(t, ' ') AS phrase, len(t) AS n_tokens, count(*) AS weight
-       FROM qtok WHERE len(t) > 0 GROUP BY 1, 2, 3),
+qp AS MATERIALIZED (SELECT item_id::VARCHAR AS query_id, array_to_string(t, ' ') AS phrase, len(t) AS n_tokens, count(*) AS weight
+       FROM qtok WHERE len(t) > 0 GROUP BY 1, 2, 3 {extra_phrases}),
 lens AS (SELECT DISTINCT n_tokens AS k FROM qp WHERE n_tokens > 1),
 grams AS (SELECT doc_id, dl, phrase FROM post UNION ALL
           SELECT doc_id, len(t), array_to_string(t[i : i + k - 1], ' ')
@@ -26,7 +39,8 @@ idf AS (SELECT phrase, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n
         FROM df, corpus),
 bm AS (SELECT qp.query_id, tf.doc_id AS chunk_id,
          round(sum(idf * weight * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
-       FROM qp JOIN idf USING (phrase) JOIN tf USING (phrase), corpus GROUP BY 1, 2)
+       FROM qp JOIN idf USING (phrase) JOIN tf USING (phrase), corpus GROUP BY 1, 2),
+bmr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm)
 """
 
 
@@ -35,7 +49,30 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BM25 = f"""
-WITH {BM25_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm)
+WITH {_bm25_cte()} SELECT query_id::BIGINT AS query_id, chunk_id, score, rank FROM bmr WHERE rank <= 10
+"""
+
+
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three words of every query as one phrase."""
+    first = F.array_join(F.slice(F.split("query", r"\s+"), 1, 3), " ")
+    phrases = lexical.phrase_rows(base.queries(spark, sf_dir).withColumn("p", first), "p")
+    return lexical.bm25(lexical.index_chunks(base.documents(spark, sf_dir)), phrases, 10)
+
+
+PHRASE = rf"""
+WITH toks AS (SELECT doc_id, {base.sql_terms('text')} AS t FROM documents),
+corpus AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM toks),
+q AS (SELECT item_id AS query_id, {base.sql_terms("array_to_string(string_split_regex(text, '\\s+')[1:3], ' ')")} AS p FROM benchmark),
+lens AS (SELECT DISTINCT len(p) AS k FROM q WHERE len(p) > 0),
+grams AS (SELECT doc_id, len(t) AS dl, array_to_string(t[i : i + k - 1], ' ') AS phrase
+          FROM toks, lens, unnest(range(1, len(t) - k + 2)) AS r(i)),
+tf AS (SELECT doc_id, dl, phrase, count(*) AS tf FROM grams WHERE phrase IN (SELECT array_to_string(p, ' ') FROM q) GROUP BY 1, 2, 3),
+idf AS (SELECT phrase, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS v FROM tf, corpus GROUP BY 1),
+s AS (SELECT query_id, doc_id AS chunk_id,
+        round(CASE WHEN v > 0 THEN v ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 6) AS score
+      FROM q JOIN tf ON phrase = array_to_string(p, ' ') JOIN idf USING (phrase), corpus),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
 SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10
 """
 
@@ -49,7 +86,354 @@ WITH toks AS (SELECT doc_id, unnest({base.sql_terms('text')}) AS term FROM docum
 SELECT term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS occurrences FROM toks GROUP BY 1
 """
 
+
+# ---- hybrid ---------------------------------------------------------------------------------
+
+
+def _corpus(spark: SparkSession, sf_dir: str, with_entities: bool = True) -> search.Corpus:
+    """Documents as a corpus; vectors and entities are derived tables, written once."""
+    docs = scale.spread(base.documents(spark, sf_dir), "chunk_id")
+    clock = base.document_times(spark, sf_dir)
+    pages = docs.select("chunk_id", "page_url", "page_title").join(clock, "chunk_id").drop("chunk_id")
+    vectors = materialize(embedding.embed_chunks(docs, EMBEDDER))
+    known = None
+    if with_entities:
+        mentions = entities.extract(docs.withColumn("chunk_index", F.lit(0)))
+        known = materialize(entities.frequencies(entities.page_entities(mentions)))
+    return search.Corpus(docs, pages, vectors, known)
+
+
+DENSE_CTE = rf"""
+dtext AS (SELECT doc_id, '[Document ' || doc_id || '] (https://' || source || '.example.com/' || lang || '/' || doc_id || ')'
+   || chr(10) || chr(10) || text AS t FROM documents),
+{sql_hashed('hd', 'dtext', 'doc_id', 't')},
+{sql_hashed('hq', 'benchmark', 'item_id', 'text')},
+nd AS (SELECT key, sqrt(sum(x * x)) AS l FROM hd GROUP BY 1),
+nq AS (SELECT key, sqrt(sum(x * x)) AS l FROM hq GROUP BY 1),
+dp AS (SELECT hq.key AS q, hd.key AS d, sum(hq.x * hd.x) AS v FROM hq JOIN hd USING (pos) GROUP BY 1, 2),
+cosines AS (SELECT nq.key AS query_id, nd.key AS chunk_id, round(greatest(0, coalesce(v, 0) / (nq.l * nd.l)), 6) AS score
+   FROM nq CROSS JOIN nd LEFT JOIN dp ON dp.q = nq.key AND dp.d = nd.key),
+dense AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cosines)
+"""
+
+
+def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scale.spread(base.documents(spark, sf_dir), "chunk_id")
+    corpus = search.Corpus(docs, docs, embedding.embed_chunks(docs, EMBEDDER))
+    return search.dense_leg(corpus, base.queries(spark, sf_dir), EMBEDDER, 10)
+
+
+DENSE = f"WITH {DENSE_CTE} SELECT query_id, chunk_id, score, rank FROM dense WHERE rank <= 10"
+
+TWO_LEGS = f"""
+legs2 AS (SELECT query_id::BIGINT AS query_id, chunk_id, rank, 0 AS leg, 1.0 AS w, 'bm25' AS source FROM bmr
+    WHERE rank <= {{pool}} AND query_id NOT LIKE 'e:%'
+  UNION ALL SELECT query_id, chunk_id, rank, 1, 1.0, 'dense' FROM dense WHERE rank <= {{pool}})
+"""
+FUSED = """
+fuse_all AS (SELECT query_id, chunk_id, round(sum(w * (1.0::DOUBLE / (60 + rank))), 12) AS raw,
+    min({'leg': leg, 'rank': rank}) AS first, string_agg(DISTINCT source, '+' ORDER BY source) AS source
+  FROM LEGS GROUP BY 1, 2),
+fused AS MATERIALIZED (SELECT query_id, chunk_id, round(raw, 6) AS score, source,
+    row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, first.leg, first.rank, chunk_id) AS fused_rank FROM fuse_all
+  QUALIFY fused_rank <= POOL)
+"""
+
+
+def _fused_cte(legs: str, pool: int = POOL) -> str:
+    return FUSED.replace("LEGS", legs).replace("POOL", str(pool))
+
+
+HYDRATED = """
+page AS (SELECT doc_id AS chunk_id, text, 'https://' || source || '.example.com/' || lang || '/' || doc_id AS page_url,
+   'Document ' || doc_id AS page_title, ts AS last_visited FROM documents JOIN events ON event_id = doc_id),
+aged AS (SELECT f.query_id, f.chunk_id, f.source, f.fused_rank, p.text, p.page_url, p.page_title, p.last_visited,
+    round(f.score * pow(0.98, greatest(0, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(p.last_visited)) / 86400000000.0)), 9) AS score
+  FROM fused f JOIN page p USING (chunk_id) WHERE DATE_RANGE),
+hits AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS rank FROM aged
+  QUALIFY rank <= TOP_K)
+"""
+
+
+def _hits_cte(k: int = 10, condition: str = "true") -> str:
+    return HYDRATED.replace("DATE_RANGE", condition).replace("TOP_K", str(k))
+
+
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _corpus(spark, sf_dir, False)
+    return search.fuse(corpus, base.queries(spark, sf_dir), EMBEDDER, POOL, False)
+
+
+TWO = f"{_bm25_cte()}, {DENSE_CTE}, {TWO_LEGS.format(pool=POOL)}, {_fused_cte('legs2')}"
+RRF = f"WITH {TWO} SELECT query_id, chunk_id, score, source, fused_rank FROM fused"
+
+
+def recency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits alone, decayed by age."""
+    docs = base.documents(spark, sf_dir)
+    pages = docs.join(base.document_times(spark, sf_dir), "chunk_id").select("page_url", "page_title", "last_visited")
+    hits = lexical.bm25_search(docs, base.queries(spark, sf_dir), POOL).withColumnRenamed("rank", "fused_rank")
+    ranked = fusion.hydrate(hits.withColumn("source", F.lit("bm25")), docs, pages, 10, base.as_of(), fits=True)
+    return ranked.select("query_id", "rank", "chunk_id", "score")
+
+
+RECENCY = f"""
+WITH {_bm25_cte()}, fused AS (SELECT query_id::BIGINT AS query_id, chunk_id, score, 'bm25' AS source, rank AS fused_rank FROM bmr WHERE rank <= 50),
+{_hits_cte()} SELECT query_id, rank, chunk_id, score FROM hits
+"""
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three legs, fused, decayed, cut to ten."""
+    hits = search.retrieve(_corpus(spark, sf_dir), base.queries(spark, sf_dir), EMBEDDER, base.as_of(), 10)
+    return hits.select("query_id", "rank", "chunk_id", "page_url", "page_title", "score", "source")
+
+
+GRAPH_LEG_CTE = rf"""
+{MATCH_CTE},
+top3 AS MATERIALIZED (SELECT query_id, key, name, ent_rank FROM named WHERE ent_rank <= 3)
+"""
+EXTRA_PHRASES = rf"""
+UNION ALL SELECT 'e:' || key, array_to_string({base.sql_terms('name')}, ' '), len({base.sql_terms('name')}), 1
+FROM (SELECT key, min(name) AS name FROM top3 GROUP BY key)
+"""
+THREE = f"""
+{GRAPH_LEG_CTE}, {_bm25_cte(EXTRA_PHRASES)}, {DENSE_CTE}, {TWO_LEGS.format(pool=POOL)},
+kg AS (SELECT t.query_id, b.chunk_id, row_number() OVER (PARTITION BY t.query_id ORDER BY t.ent_rank, b.rank) AS rank
+  FROM top3 t JOIN bmr b ON b.query_id = 'e:' || t.key AND b.rank <= {POOL}),
+legs3 AS (SELECT * FROM legs2 UNION ALL SELECT query_id, chunk_id, rank, 2, 0.8, 'knowledge_graph' FROM kg),
+{_fused_cte('legs3')}
+"""
+HYBRID = f"""
+WITH {THREE}, {_hits_cte()} SELECT query_id, rank, chunk_id, page_url, page_title, score, source FROM hits
+"""
+
+
+def graph_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.graph_leg(_corpus(spark, sf_dir), base.queries(spark, sf_dir), POOL)
+
+
+GRAPH_LEG = f"WITH {THREE} SELECT query_id, chunk_id, 0.5::DOUBLE AS score, rank FROM kg"
+
+
+def _two_leg_hits(spark: SparkSession, sf_dir: str, **dates: Column) -> DataFrame:
+    corpus = _corpus(spark, sf_dir, False)
+    return search.retrieve(corpus, base.queries(spark, sf_dir), EMBEDDER, base.as_of(), 10, use_graph=False, **dates)
+
+
+def date_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = base.instant("2024-01-01 06:00:00"), base.instant("2024-01-02 12:00:00")
+    hits = _two_leg_hits(spark, sf_dir, date_from=low, date_to=high)
+    return hits.select("query_id", "rank", "chunk_id", "score", F.unix_micros("last_visited").alias("last_visited"))
+
+
+DATE_FILTERED = f"""
+WITH {TWO}, {_hits_cte(10, "p.last_visited BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-02 12:00:00'")}
+SELECT query_id, rank, chunk_id, score, epoch_us(last_visited) AS last_visited FROM hits
+"""
+
+
+def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fusion.rerank(_two_leg_hits(spark, sf_dir), base.queries(spark, sf_dir), 15)
+    return hits.select("query_id", "rank", "chunk_id", "score", "rerank_score", "retrieval_score")
+
+
+COVERED = rf"""
+qset AS (SELECT item_id AS query_id, list_distinct({base.sql_terms('text')}) AS qt FROM benchmark),
+scored AS (SELECT h.*, round(len(list_intersect(qt, {base.sql_terms('left(h.text, 1500)')})) / len(qt), 6) AS rerank_score
+  FROM hits h JOIN qset USING (query_id)),
+reranked AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank FROM scored)
+"""
+RERANK = f"""
+WITH {TWO}, {_hits_cte()}, {COVERED}
+SELECT query_id, rank, chunk_id, rerank_score AS score, rerank_score, score AS retrieval_score FROM reranked WHERE rank <= 15
+"""
+
+
+def page_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fusion.best_pages(_two_leg_hits(spark, sf_dir), base.queries(spark, sf_dir), 5)
+    return fusion.search_results(hits).withColumn("timestamp", F.unix_micros("timestamp"))
+
+
+BEST_PAGES = rf"""
+uniq AS (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(regexp_replace(page_url, '[?#].*$', ''), '/+$', '') ORDER BY rank) AS n
+  FROM reranked WHERE rank <= 15),
+best AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM uniq WHERE n = 1)
+"""
+ANSWER = f"{TWO}, {_hits_cte()}, {COVERED}, {BEST_PAGES}"
+PAGE_DEDUP = f"""
+WITH {ANSWER}
+SELECT query_id, rank, page_url AS url, page_title AS title, left(text, 300) AS snippet, round(rerank_score, 4) AS score, source,
+  epoch_us(last_visited) AS timestamp FROM best WHERE rank <= 5
+"""
+
+
+# ---- text assembly --------------------------------------------------------------------------
+
+
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = fusion.best_pages(_two_leg_hits(spark, sf_dir), base.queries(spark, sf_dir), 5)
+    return assembly.context_blocks(best)
+
+
+def _clean(value: str) -> str:
+    return rf"regexp_replace({value}, '(?i)<\s*(/?)\s*(context|entity_relationships|page_content|browsing_activity)\b', '[\1\2', 'g')"
+
+
+CONTEXT_BLOCKS = f"""
+WITH {ANSWER} SELECT query_id, string_agg('[Source ' || rank || ': ' || page_title || '](' || page_url || ')' || chr(10)
+  || {_clean('left(text, 600)')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+FROM best WHERE rank <= 5 GROUP BY 1
+"""
+
+
+def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = base.queries(spark, sf_dir)
+    return assembly.extractive_answers(fusion.best_pages(_two_leg_hits(spark, sf_dir), queries, 5), queries)
+
+
+EXTRACTIVE = f"""
+WITH {ANSWER}, body AS (SELECT query_id, count(*) AS n, string_agg(rank || '. **[' || page_title || '](' || page_url || ')**' || chr(10)
+  || '   ' || {_clean('left(text, 200)')} || '...', chr(10) ORDER BY rank) AS body FROM best WHERE rank <= 5 GROUP BY 1)
+SELECT item_id AS query_id, 'I found ' || coalesce(n, 0) || ' relevant results for: **' || text || '**' || chr(10) || chr(10)
+  || '*(LLM unavailable - showing raw results)*' || chr(10) || coalesce(chr(10) || body, '') AS answer
+FROM benchmark LEFT JOIN body ON query_id = item_id
+"""
+
+
+def graph_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with their graph block, one hop."""
+    docs = scale.spread(base.documents(spark, sf_dir), "chunk_id").withColumn("chunk_index", F.lit(0))
+    rows = materialize(entities.page_entities(entities.extract(docs)))
+    known, edges = materialize(entities.frequencies(rows)), materialize(entities.cooccurrence(rows))
+    queries = base.queries(spark, sf_dir)
+    named = materialize(entities.match_queries(queries, known, 2)).select("query_id", "key", "ent_rank")
+    block = graph.entity_context(named, edges, known, 1, 5)
+    return assembly.with_graph_block(queries.select("query_id"), block)
+
+
+GRAPH_BLOCK = f"""
+WITH {MATCH_CTE}, qe AS (SELECT query_id, key, ent_rank FROM named WHERE ent_rank <= 2),
+link AS (SELECT a AS src, b AS dst, weight FROM edge UNION ALL SELECT b, a, weight FROM edge),
+near AS (SELECT src AS seed, dst AS node, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank
+  FROM link WHERE src IN (SELECT key FROM qe) QUALIFY rank <= 5),
+tail AS (SELECT query_id, ent_rank, rank, e.name, e.entity_type, n.weight,
+   row_number() OVER (PARTITION BY query_id, least(seed, node), greatest(seed, node) ORDER BY ent_rank, rank) AS rn
+   FROM qe JOIN near n ON n.seed = qe.key JOIN ent e ON e.key = n.node),
+line AS (SELECT query_id, ent_rank, 0 AS rank, '- ' || e.name || ' (' || e.entity_type || ')' AS line FROM qe JOIN ent e USING (key)
+   UNION ALL SELECT query_id, ent_rank, rank, '  → co_occurs_with: ' || name || ' (' || entity_type || ', weight=' || format('{{:.1f}}', weight) || ')'
+   FROM tail WHERE rn = 1),
+block AS (SELECT query_id, 'Knowledge Graph Context:' || chr(10) || string_agg(line, chr(10) ORDER BY ent_rank, rank) AS k FROM line GROUP BY 1)
+SELECT item_id AS query_id, coalesce(k, '') AS kg_context FROM benchmark LEFT JOIN block ON query_id = item_id
+"""
+
+
+# ---- conversations --------------------------------------------------------------------------
+
+
+def chat_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.retrieval_queries(base.table(spark, sf_dir, "conversations"))
+
+
+CHAT_QUERIES = """
+WITH u AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN p IS NULL THEN text ELSE left(p || ' ' || text, 400) END AS query FROM u
+"""
+
+
+def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histories = assembly.chat_histories(base.table(spark, sf_dir, "conversations"))
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return histories.select("conv_id", F.size("messages").cast("long").alias("n"), F.array_join(lines, "\n").alias("history"))
+
+
+CHAT_HISTORY = f"""
+WITH s AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {_clean('text')} ELSE text END AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age
+  FROM conversations WHERE role IN ('user', 'assistant') AND text <> '')
+SELECT conv_id, count(*)::BIGINT AS n, string_agg(role || ': ' || t, chr(10) ORDER BY turn) AS history FROM s WHERE age <= 40 GROUP BY 1
+"""
+
+
+def last_40_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.last_turns(base.table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "age")
+
+
+LAST_TURNS = """
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations QUALIFY age <= 40
+"""
+
+
+# ---- digests, cards, resurfacing ------------------------------------------------------------
+
+
+def _dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.documents(spark, sf_dir).join(base.document_times(spark, sf_dir), "chunk_id")
+    return docs.select(
+        F.col("page_url").alias("url"), F.col("page_title").alias("title"), "last_visited",
+        F.col("last_visited").alias("last_indexed"), F.substring("text", 1, 200).alias("meta_description"),
+    )
+
+
+def digest_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.digest_input(_dated_pages(spark, sf_dir), base.instant("2024-01-04 00:00:00"), days=2)
+
+
+DIGEST = f"""
+WITH p AS (SELECT 'https://' || source || '.example.com/' || lang || '/' || doc_id AS url, 'Document ' || doc_id AS title, ts,
+    left(left(text, 200), 120) AS d FROM documents JOIN events ON event_id = doc_id),
+r AS (SELECT * FROM p WHERE ts >= TIMESTAMP '2024-01-02'),
+n AS (SELECT count(*) AS n FROM r),
+c AS (SELECT * FROM (SELECT * FROM r ORDER BY ts DESC, url LIMIT 25) UNION ALL
+      SELECT * FROM (SELECT * FROM p ORDER BY ts DESC, url LIMIT 20) WHERE (SELECT n FROM n) = 0)
+SELECT (CASE WHEN any_value(n.n) > 0 THEN any_value(n.n) ELSE count(*) END)::BIGINT AS page_count,
+  {_clean("string_agg('- ' || title || ' (' || url || ')' || CASE WHEN d <> '' THEN chr(10) || '  ' || d ELSE '' END, chr(10) ORDER BY ts DESC, url)")} AS content
+FROM c, n
+"""
+
+
+def card_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one source and language as the chunks of one page."""
+    docs = base.table(spark, sf_dir, "documents").select(
+        F.concat_ws("/", "source", "lang").alias("page_url"), F.col("doc_id").alias("chunk_index"), "text"
+    )
+    return assembly.card_inputs(docs)
+
+
+CARD_INPUT = """
+WITH r AS (SELECT source || '/' || lang AS page_url, doc_id, text,
+    row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents WHERE text <> '')
+SELECT page_url, left(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 3000) AS content FROM r WHERE rn <= 6 GROUP BY 1
+"""
+
+
+def daily_resurface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _corpus(spark, sf_dir, False)
+    # The documents spread over the first days of the month: seen from its sixth day.
+    return resurface.daily_resurface(corpus, EMBEDDER, base.instant(RESURFACE_AT), "trail")
+
+
+RESURFACE_AT = "2024-01-04 12:00:00"
+
 QUERIES = {
     "bm25_search": (bm25_search, BM25),
+    "phrase_search": (phrase_search, PHRASE),
     "term_statistics": (term_statistics, TERM_STATISTICS),
+    "dense_search": (dense_search, DENSE),
+    "rrf_fusion": (rrf_fusion, RRF),
+    "recency_rank": (recency_rank, RECENCY),
+    "hybrid_search": (hybrid_search, HYBRID),
+    "graph_leg": (graph_leg, GRAPH_LEG),
+    "date_filtered_search": (date_filtered_search, DATE_FILTERED),
+    "rerank": (rerank, RERANK),
+    "page_dedup_topk": (page_dedup_topk, PAGE_DEDUP),
+    "context_blocks": (context_blocks, CONTEXT_BLOCKS),
+    "extractive_answer": (extractive_answer, EXTRACTIVE),
+    "graph_block": (graph_block, GRAPH_BLOCK),
+    "chat_queries": (chat_queries, CHAT_QUERIES),
+    "chat_history": (chat_history, CHAT_HISTORY),
+    "last_40_turns": (last_40_turns, LAST_TURNS),
+    "digest_input": (digest_input, DIGEST),
+    "card_input": (card_input, CARD_INPUT),
+    "daily_resurface": (daily_resurface, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.operators import chunking, embedding
+from trailmark.operators import chunking, embedding, scale
 from trailmark.plans import search
 from workload import base
 
@@ -19,7 +19,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.documents(spark, sf_dir).select("chunk_id", EMBEDDER.vector(F.col("text")).alias("v"))
+    docs = scale.spread(base.documents(spark, sf_dir), "chunk_id").select("chunk_id", EMBEDDER.vector(F.col("text")).alias("v"))
     cells = docs.select("chunk_id", F.posexplode("v").alias("pos", "x")).filter(F.col("x") != 0)
     return cells.select("chunk_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
@@ -173,7 +173,7 @@ STALE_REEMBED = "SELECT doc_id AS chunk_id, 'hash64' AS fingerprint, 64::BIGINT
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.documents(spark, sf_dir).select(
+    return scale.spread(base.documents(spark, sf_dir), "chunk_id").select(
         F.col("page_url").alias("url"), F.col("page_title").alias("title"), F.col("text").alias("content"), "chunk_id"
     )
 
@@ -198,9 +198,8 @@ SENTENCES = f"WITH {SENTENCE_CTE} SELECT doc_id AS chunk_id, idx, sentence, word
 
 
 def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).select(
-        "chunk_id", F.posexplode(chunking.windows(chunking.split_sentences(F.col("content")))).alias("idx", "window_text")
-    )
+    split = _pages(spark, sf_dir).select("chunk_id", chunking.split_sentences(F.col("content")).alias("s"))
+    rows = split.select("chunk_id", F.posexplode(chunking.windows(F.col("s"))).alias("idx", "window_text"))
     return rows.select("chunk_id", F.col("idx").cast("long").alias("idx"), F.md5("window_text").alias("window_md5"))
 
 
