@@ -1,5 +1,12 @@
 """All registered queries: name -> (query, check SQL or None)."""
 
-from workload import graph_queries, page_queries, search_queries, vector_queries
+from workload import graph_queries, page_queries, search_queries, state_queries, stream_queries, vector_queries
 
-ALL = {**page_queries.QUERIES, **search_queries.QUERIES, **vector_queries.QUERIES, **graph_queries.QUERIES}
+ALL = {
+    **search_queries.QUERIES,
+    **page_queries.QUERIES,
+    **vector_queries.QUERIES,
+    **graph_queries.QUERIES,
+    **state_queries.QUERIES,
+    **stream_queries.QUERIES,
+}
