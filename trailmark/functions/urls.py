@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trailmark.functions.arrays import let
+
 
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
@@ -47,11 +49,13 @@ def slash_variant(url: Column) -> Column:
 
 def host_suffixes(host_name: Column) -> Column:
     """`a.b.c` -> [a.b.c, b.c, c]: every name a suffix rule could be written for."""
-    labels = F.split(host_name, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+    def suffixes(labels: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(labels)),
+            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        )
+
+    return let(F.split(host_name, r"\."), suffixes)
 
 
 def host_matches(host_name: Column, domain: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import rules
 from trailmark.functions import text as T
 from trailmark.functions import urls as U
+from trailmark.functions.arrays import let
 from trailmark.operators import scale
 from trailmark.operators.extract import auth_phrase_hits
 
@@ -50,8 +51,8 @@ def is_web_url(url: Column) -> Column:
 
 def substring_blocked(host: Column, url: Column, parts: Sequence[str] = tuple(rules.BLOCKED_URL_PARTS)) -> Column:
     """A listed part occurs in the host or anywhere in the URL."""
-    pattern = _any_of(parts)
-    return host.rlike(pattern) | url.rlike(pattern)
+    listed = F.array(*[F.lit(p) for p in parts])
+    return let(F.concat(host, F.lit("\n"), url), lambda both: F.exists(listed, lambda p: both.contains(p)))
 
 
 def path_blocked(path: Column, patterns: Sequence[str] = rules.BLOCKED_PATHS) -> Column:
@@ -69,7 +70,7 @@ def url_blocked(url: Column) -> Column:
 
 def host_rule_blocked(host: Column, hosts: Sequence[str] = tuple(rules.CAPTURE_BLOCKED_HOSTS)) -> Column:
     """Host equals a listed name or lies below it. The list is fixed and short."""
-    return F.arrays_overlap(U.host_suffixes(host), F.array(*[F.lit(h) for h in hosts]))
+    return host.rlike(rf"(?:^|\.)(?:{_any_of(hosts)})$")
 
 
 def capture_blocked(url: Column) -> Column:
@@ -110,8 +111,7 @@ def with_quality(visits: DataFrame) -> DataFrame:
 
     Needs `url, title, content, word_count, text_to_tag_ratio`.
     """
-    host = F.lower(U.authority(F.col("url")))
-    path = F.lower(U.path(F.col("url")))
+    host, path = F.col("_host"), F.col("_path")
     by_host = _first_match(host, rules.CONTENT_HOSTS, regex=False)
     by_path = _first_match(path, rules.CONTENT_PATHS, regex=True)
     count = F.when(
@@ -124,30 +124,33 @@ def with_quality(visits: DataFrame) -> DataFrame:
         return F.when(condition, F.lit(n)).otherwise(F.lit(0))
 
     path_points = F.greatest(
-        points(by_path.isNotNull(), rules.PATH_POINTS),
+        points(F.col("_by_path").isNotNull(), rules.PATH_POINTS),
         points(path.rlike("(?U)" + rules.SLUG_PATH), rules.SLUG_POINTS),
     ) + points(depth.between(2, 5), rules.DEPTH_POINTS)
-    total = points(by_host.isNotNull(), rules.HOST_POINTS) + path_points
+    total = points(F.col("_by_host").isNotNull(), rules.HOST_POINTS) + path_points
     for limit, n in rules.WORD_BANDS:
         total = total + points(F.col("_words") >= limit, n)
     for limit, n in rules.RATIO_BANDS:
         total = total + points(ratio >= limit, n)
     total = total + points(T.whitespace_words(F.col("title")) >= 3, rules.TITLE_POINTS)
-    blocked = url_blocked(F.col("url"))
     guessed = F.when(F.col("_words") >= 300, F.lit("article")).otherwise(F.lit("other"))
     return (
         visits.withColumn("_words", count)
-        .withColumn("_blocked", blocked)
+        .withColumn("_host", F.lower(U.authority(F.col("url"))))
+        .withColumn("_path", F.lower(U.path(F.col("url"))))
+        .withColumn("_blocked", url_blocked(F.col("url")))
+        .withColumn("_by_host", by_host)
+        .withColumn("_by_path", by_path)
         .withColumn(
             "content_type",
-            F.when(F.col("_blocked"), F.lit("skip")).otherwise(F.coalesce(by_host, by_path, guessed)),
+            F.when(F.col("_blocked"), F.lit("skip")).otherwise(F.coalesce("_by_host", "_by_path", guessed)),
         )
         .withColumn(
             "quality_points",
             F.when(F.col("_blocked"), F.lit(0)).otherwise(F.least(total, F.lit(100))).cast("long"),
         )
         .withColumn("quality_score", F.col("quality_points") / 100.0)
-        .drop("_words", "_blocked")
+        .drop("_words", "_host", "_path", "_blocked", "_by_host", "_by_path")
     )
 
 
@@ -170,7 +173,10 @@ def sensitive_counts(text: Column) -> dict[str, Column]:
         "cards": F.size(luhn_hits(text)).cast("long"),
         "ssns": F.size(_distinct_matches(text, rules.SSN_PATTERN)).cast("long"),
         "ibans": F.size(_distinct_matches(text, rules.IBAN_PATTERN)).cast("long"),
-        "emails": F.size(_distinct_matches(text, rules.EMAIL_PATTERN)).cast("long"),
+        # The pattern scans slowly and most texts hold no address at all.
+        "emails": F.when(
+            text.contains("@"), F.size(_distinct_matches(text, rules.EMAIL_PATTERN))
+        ).otherwise(F.lit(0)).cast("long"),
     }
 
 
@@ -182,11 +188,11 @@ def sensitive_reason(text: Column, word_count: Column | None = None) -> Column:
     n_words = T.whitespace_words(text)
     if word_count is not None:
         n_words = F.when(F.coalesce(word_count, F.lit(0)) > 0, word_count).otherwise(n_words)
-    short = n_words < rules.SHORT_PAGE_WORDS
+    needed = F.when(n_words < rules.SHORT_PAGE_WORDS, F.lit(1)).otherwise(F.lit(3))
     counts = sensitive_counts(text)
 
     def enough(n: Column) -> Column:
-        return (n >= 3) | (short & (n >= 1))
+        return n >= needed
 
     density = counts["emails"] / F.greatest(n_words, F.lit(1))
     reason = (

@@ -7,7 +7,7 @@ document is therefore never gathered in one place.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,26 +41,50 @@ def index_chunks(
     )
 
 
-def occurrences(index: DataFrame, lengths: Sequence[int] = (1,)) -> DataFrame:
-    """`chunk_id, length, phrase`: one row per phrase occurrence.
+def occurrences(index: DataFrame) -> DataFrame:
+    """`chunk_id, length, phrase`: one row per token.
 
     An outer explode keeps Spark from inferring a non-empty filter that would tokenise twice.
     """
-    grams = [T.ngrams(F.col("tokens"), n) for n in lengths]
-    phrases = F.concat(*grams) if len(grams) > 1 else grams[0]
-    return index.select("chunk_id", "length", F.explode_outer(phrases).alias("phrase"))
+    return index.select("chunk_id", "length", F.explode_outer("tokens").alias("phrase"))
 
 
-def postings(index: DataFrame, lengths: Sequence[int] = (1,), only: DataFrame | None = None) -> DataFrame:
-    """`chunk_id, length, phrase, tf`, optionally only for the phrases of `only`.
+def phrase_occurrences(index: DataFrame, wanted: DataFrame, longest: int, fits: bool | None = None) -> DataFrame:
+    """`chunk_id, length, phrase`: one row per occurrence of a phrase of `wanted`.
+
+    Every position carries the run of tokens that starts there; a phrase meets the positions of its
+    first token and is compared with the run.
+    """
+    starts = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("tokens"), F.lit(1))),
+        lambda i: F.struct(
+            F.get("tokens", i - 1).alias("head"), F.array_join(F.slice("tokens", i, F.lit(longest)), " ").alias("run")
+        ),
+    )
+    positions = index.select("chunk_id", "length", F.explode_outer(starts).alias("p")).select(
+        "chunk_id", "length", F.col("p.head").alias("head"), F.col("p.run").alias("run")
+    )
+    keyed = wanted.withColumn("head", F.substring_index("phrase", " ", 1))
+    met = scale.lookup_join(positions, keyed, "head", spread_by=F.struct("chunk_id", "run"), small_fits=fits)
+    same = F.concat("run", F.lit(" ")).startswith(F.concat("phrase", F.lit(" ")))
+    return met.filter(same).select("chunk_id", "length", "phrase")
+
+
+def postings(
+    index: DataFrame, only: DataFrame | None = None, longest: int = 1, only_fits: bool | None = None
+) -> DataFrame:
+    """`chunk_id, length, phrase, tf`: all terms, or the phrases of `only` (up to `longest` tokens).
 
     The input partitioning by chunk already clusters the keys, so counting needs no shuffle.
     """
-    found = occurrences(index, lengths)
     if only is None:
-        found = found.filter(F.col("phrase").isNotNull())
+        found = occurrences(index).filter(F.col("phrase").isNotNull())
+    elif longest > 1:
+        found = phrase_occurrences(index, only, longest, only_fits)
     else:
-        found = scale.lookup_join(found, only, "phrase", "left_semi", spread_by=F.col("chunk_id"))
+        found = scale.lookup_join(
+            occurrences(index), only, "phrase", "left_semi", spread_by=F.col("chunk_id"), small_fits=only_fits
+        )
     return found.groupBy("chunk_id", "length", "phrase").agg(F.count("*").alias("tf"))
 
 
@@ -125,8 +149,10 @@ def bm25(
     Ranked by the score rounded to `digits`, then chunk id, so that the order does not depend on
     the order of summation.
     """
+    # One check of the batch covers every table derived from it: none has more rows.
+    fits = scale.is_small(phrases, max_broadcast)
     wanted = phrases.select("phrase").distinct()
-    counted = postings(index, phrase_lengths(phrases), only=wanted)
+    counted = postings(index, wanted, max(phrase_lengths(phrases)), fits)
     corpus = index.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
     n_chunks = corpus.select("n").scalar()
     avg_length = corpus.select(F.col("total") / F.col("n")).scalar()
@@ -141,7 +167,7 @@ def bm25(
         "query_id", "phrase", (F.col("idf") * F.col("weight")).alias("boost")
     )
     matched = scale.lookup_join(
-        counted, weighted, "phrase", spread_by=F.col("chunk_id"), max_rows=max_broadcast
+        counted, weighted, "phrase", spread_by=F.col("chunk_id"), small_fits=fits
     )
     tf = F.col("tf").cast("double")
     saturation = tf + K1 * (1 - B + B * F.col("length") / avg_length)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import rules
 from trailmark.functions import text as T
 from trailmark.functions import times, urls
-from trailmark.operators import extract
+from trailmark.operators import extract, scale
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -55,7 +55,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with extracted text and the word count of the capture step."""
-    return extract.page_text(table(spark, sf_dir, "pages")).withColumn(
+    return extract.page_text(scale.spread(table(spark, sf_dir, "pages"), "page_id")).withColumn(
         "word_count", T.content_words(F.substring("content", 1, rules.MAX_CONTENT_CHARS))
     )
 

@@ -233,7 +233,7 @@ CONTENT_TYPES = f"WITH {QUALITY_CTE} SELECT content_type, count(*)::BIGINT AS pa
 
 
 def sensitive_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.documents(spark, sf_dir)
+    docs = scale.spread(base.documents(spark, sf_dir), "chunk_id")
     counts = [c.alias(n) for n, c in admission.sensitive_counts(F.col("text")).items()]
     return docs.select("chunk_id", *counts, admission.sensitive_reason(F.col("text")).alias("reason"))
 
@@ -278,7 +278,7 @@ SENSITIVE = f"WITH {SENSITIVE_CTE} SELECT doc_id AS chunk_id, cards, ssns, ibans
 
 
 def contact_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.documents(spark, sf_dir)
+    docs = scale.spread(base.documents(spark, sf_dir), "chunk_id")
     emails = admission.sensitive_counts(F.col("text"))["emails"]
     n = F.greatest(T.whitespace_words(F.col("text")), F.lit(1))
     return docs.select("chunk_id", emails.alias("emails"), n.alias("words"), F.round(emails / n, 6).alias("density"))
@@ -344,7 +344,7 @@ FUNNEL = f"WITH {FUNNEL_CTE} SELECT page_id, content_type, quality_points, coale
 
 def _document_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skips by site: a document's sensitive reason, else a low word count."""
-    docs = base.documents(spark, sf_dir).join(base.document_times(spark, sf_dir), "chunk_id")
+    docs = scale.spread(base.documents(spark, sf_dir), "chunk_id").join(base.document_times(spark, sf_dir), "chunk_id")
     thin = F.when(T.content_words(F.col("text")) < rules.MIN_PAGE_WORDS, F.lit("low_quality"))
     return docs.select(
         urls.authority(F.col("page_url")).alias("domain"),
