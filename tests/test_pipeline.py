@@ -381,3 +381,15 @@ def test_chat_queries_look_back_to_the_last_user(spark):
     assert got == {(1, 1): "first", (1, 3): "first second", (2, 5000): "z" * 500}
     history = assembly.chat_histories(turns).filter("conv_id = 1").first().messages
     assert [(m.role, m.content) for m in history] == [("user", "first"), ("assistant", "[context>x"), ("user", "second")]
+
+
+def test_long_texts_reach_a_model_in_blocks(spark):
+    text = "Alpha beta gamma. " * 20 + "\n" + "Delta epsilon zeta. " * 20
+    blocks = chunking.text_blocks(text, 100)
+    assert all(0 < len(b) <= 100 for b in blocks)
+    assert "".join(blocks).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
+    splitter = chunking.model_splitter(lambda: lambda block: block.split(". "))
+    broken = chunking.model_splitter(lambda: lambda block: 1 / 0)
+    frame = spark.createDataFrame([("One two three four. Five six seven eight. Nine",)], "t string")
+    assert frame.select(splitter(F.col("t")).alias("s")).first().s == ["One two three four", "Five six seven eight"]
+    assert frame.select(broken(F.col("t")).alias("s")).first().s == ["One two three four.", "Five six seven eight."]

@@ -7,10 +7,12 @@ Python step compares neighbouring windows with the embedder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as st
 
 from trailmark.functions import text as T
 from trailmark.functions.arrays import let
@@ -23,6 +25,7 @@ BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85      　" + "".join(
 )
 # Sentence, window and chunk sizes (tokens are whitespace words).
 MIN_SENTENCE_CHARS = 11
+MAX_BLOCK_CHARS = 100_000
 WINDOW = 3
 MAX_TOKENS = 512
 WORDS_PER_TOKEN = 0.75
@@ -38,6 +41,42 @@ def split_sentences(text: Column) -> Column:
     return F.filter(trimmed, lambda s: F.length(s) >= MIN_SENTENCE_CHARS)
 
 
+def text_blocks(text: str, limit: int = MAX_BLOCK_CHARS) -> list[str]:
+    """Blocks of at most `limit` characters, cut at the last line break or sentence end."""
+    blocks = []
+    while len(text) > limit:
+        cut = text.rfind("\n", 0, limit)
+        if cut == -1:
+            cut = text.rfind(". ", 0, limit)
+        cut = cut if cut > 0 else limit
+        blocks.append(text[:cut])
+        text = text[cut:].lstrip()
+    return [*blocks, text] if text else blocks
+
+
+def model_splitter(load: Callable[[], Callable[[str], list[str]]]) -> Callable[[Column], Column]:
+    """A splitter backed by a language model: `load` runs once per worker, text -> sentences.
+
+    Long texts reach the model in blocks. Where the model fails the regular expression takes over.
+    """
+    @F.pandas_udf(st.ArrayType(st.StringType()))
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+
+        def sentences(text: str | None) -> list[str] | None:
+            try:
+                found = [s.strip() for block in text_blocks(text or "") for s in model(block)]
+            except Exception:
+                return None
+            return [s for s in found if len(s) >= MIN_SENTENCE_CHARS]
+
+        for texts in batches:
+            yield pd.Series([sentences(t) for t in texts])
+
+    split = split.asNondeterministic()
+    return lambda text: F.coalesce(split(text), split_sentences(text))
+
+
 def windows(sentences: Column, size: int = WINDOW) -> Column:
     """Overlapping runs of `size` sentences; none when there are at most twice as many sentences.
 

@@ -85,13 +85,10 @@ def carry_forward(
     local = work.withColumn("_prev", F.last("_val", ignorenulls=True).over(inside))
 
     sort_key = F.struct(*[F.col(c) for c in order])
-    tails = (
-        work.filter(F.col("_val").isNotNull())
-        .groupBy(*keys, "_seg")
-        .agg(F.max_by("_val", sort_key).alias("_tail"))
+    # One row per segment, combined before the shuffle; a segment without a value still looks back.
+    segments = work.groupBy(*keys, "_seg").agg(
+        F.max_by("_val", F.when(F.col("_val").isNotNull(), sort_key)).alias("_tail")
     )
-    # Every segment of a key, the value-less ones included, so that each can look back.
-    segments = work.select(*keys, "_seg").distinct().join(tails, [*keys, "_seg"], "left")
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     incoming = segments.select(
         *keys, "_seg", F.last("_tail", ignorenulls=True).over(before).alias("_incoming")

@@ -16,14 +16,15 @@ CONTENT_COLUMNS = (
 RETENTION_DAYS = 120
 
 
-def classify_visits(visits: DataFrame, pages: DataFrame) -> DataFrame:
+def classify_visits(visits: DataFrame, pages: DataFrame, segment: str = "hour") -> DataFrame:
     """Adds `change`: new, changed or unchanged, replaying each URL's visits in time order.
 
     Each visit is compared with the one before it; only the first visit of a URL in the batch needs
-    the stored page, so a popular URL never meets the page table more than once.
+    the stored page, so a popular URL never meets the page table more than once. `segment` is the
+    span of one URL's visits that a single task replays: "minute" for very busy URLs.
     """
-    hour = F.date_trunc("hour", "ts")
-    chained = scale.carry_forward(visits, ["url"], hour, ["ts", "visit_id"], F.col("content_hash"), "prev_hash")
+    span = F.date_trunc(segment, "ts")
+    chained = scale.carry_forward(visits, ["url"], span, ["ts", "visit_id"], F.col("content_hash"), "prev_hash")
     later = chained.filter(F.col("prev_hash").isNotNull()).withColumn(
         "change", F.when(F.col("content_hash") != F.col("prev_hash"), F.lit("changed")).otherwise(F.lit("unchanged"))
     )

@@ -409,11 +409,31 @@ SELECT page_url, left(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 3000
 
 def daily_resurface(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _corpus(spark, sf_dir, False)
-    # The documents spread over the first days of the month: seen from its sixth day.
+    # The documents spread over the first three days of the month: seen from its fourth.
     return resurface.daily_resurface(corpus, EMBEDDER, base.instant(RESURFACE_AT), "trail")
 
 
 RESURFACE_AT = "2024-01-04 12:00:00"
+RESURFACE_POOL = fusion.pool_size(resurface.CANDIDATES)
+# The anchor text stands where the query batch stood.
+RESURFACE = f"""
+WITH clock AS (SELECT doc_id, text, 'https://' || source || '.example.com/' || lang || '/' || doc_id AS page_url,
+    'Document ' || doc_id AS title, ts FROM documents JOIN events ON event_id = doc_id),
+newest AS (SELECT * FROM clock WHERE ts >= TIMESTAMP '{RESURFACE_AT}' - INTERVAL 48 HOURS ORDER BY ts DESC, page_url LIMIT 5),
+benchmark AS (SELECT 0 AS item_id, string_agg(title, ' ' ORDER BY ts DESC, page_url) AS text FROM newest HAVING count(*) > 0),
+{_bm25_cte()}, {DENSE_CTE}, {TWO_LEGS.format(pool=RESURFACE_POOL)}, {_fused_cte('legs2', RESURFACE_POOL)},
+{_hits_cte(resurface.CANDIDATES).replace("TIMESTAMP '2024-01-31'", f"TIMESTAMP '{RESURFACE_AT}'")},
+zone AS (SELECT * FROM clock WHERE ts BETWEEN TIMESTAMP '{RESURFACE_AT}' - INTERVAL 30 DAYS AND TIMESTAMP '{RESURFACE_AT}' - INTERVAL 3 DAYS),
+forgotten AS (SELECT * FROM zone UNION ALL SELECT * FROM clock
+  WHERE ts <= TIMESTAMP '{RESURFACE_AT}' - INTERVAL 1 DAY AND (SELECT count(*) FROM zone) = 0),
+picked AS (SELECT 0 AS kind, lpad(rank::VARCHAR, 6, '0') AS o, page_url, page_title AS title, left(text, 220) AS snippet, last_visited
+  FROM hits WHERE page_url IN (SELECT page_url FROM forgotten) ORDER BY rank LIMIT 3),
+filled AS (SELECT 1 AS kind, md5('trail' || page_url) AS o, page_url, title, '' AS snippet, ts
+  FROM forgotten WHERE page_url NOT IN (SELECT page_url FROM picked) ORDER BY o LIMIT 3),
+ranked AS (SELECT *, row_number() OVER (ORDER BY kind, o, page_url) AS rank FROM (SELECT * FROM picked UNION ALL SELECT * FROM filled))
+SELECT rank, page_url AS url, title, snippet,
+  ((epoch_us(TIMESTAMP '{RESURFACE_AT}') - epoch_us(last_visited)) // 86400000000)::BIGINT AS days_ago FROM ranked WHERE rank <= 3
+"""
 
 QUERIES = {
     "bm25_search": (bm25_search, BM25),
@@ -435,5 +455,5 @@ QUERIES = {
     "last_40_turns": (last_40_turns, LAST_TURNS),
     "digest_input": (digest_input, DIGEST),
     "card_input": (card_input, CARD_INPUT),
-    "daily_resurface": (daily_resurface, None),
+    "daily_resurface": (daily_resurface, RESURFACE),
 }
