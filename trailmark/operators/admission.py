@@ -75,13 +75,11 @@ def host_rule_blocked(host: Column, hosts: Sequence[str] = tuple(rules.CAPTURE_B
 
 def capture_blocked(url: Column) -> Column:
     """The stricter check applied where a visit is captured."""
-    host = U.host(url)
-    return (
-        ~is_web_url(url)
-        | host_rule_blocked(host)
-        | host.rlike(_any_of(rules.CAPTURE_BLOCKED_HOST_PARTS))
-        | path_blocked(U.path(url), rules.CAPTURE_BLOCKED_PATHS)
+    by_host = let(
+        U.host(url),
+        lambda host: host_rule_blocked(host) | host.rlike(_any_of(rules.CAPTURE_BLOCKED_HOST_PARTS)),
     )
+    return ~is_web_url(url) | by_host | path_blocked(U.path(url), rules.CAPTURE_BLOCKED_PATHS)
 
 
 def drop_user_blocked(visits: DataFrame, domains: DataFrame, url_col: str = "url") -> DataFrame:
@@ -211,7 +209,7 @@ def gate_reasons(visits: DataFrame, min_points: int = rules.MIN_QUALITY) -> Data
     Order: blocked URL, low quality, no content, sensitive content.
     """
     scored = with_quality(visits)
-    empty = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+", " ")) == ""
+    empty = ~F.coalesce(F.col("content").rlike(r"(?U)\S"), F.lit(False))
     return scored.withColumn(
         "skip_reason",
         F.when(F.col("content_type") == "skip", F.lit("url_blocked"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,8 @@ class Corpus:
 
     `chunks`: chunk_id, page_url, text. `pages`: page_url, page_title, last_visited. `vectors`:
     chunk_id, vector. `entities`: key, name, entity_type, frequency (only for the graph leg).
-    `index` may be a stored keyword index; it is derived from the chunks otherwise.
+    `index` may be a stored keyword index; it is derived from the chunks otherwise. `tokenizer` cuts
+    chunks and queries alike: `stemming.stemmed_terms` also finds other forms of an English word.
     """
 
     chunks: DataFrame
@@ -30,13 +32,16 @@ class Corpus:
     vectors: DataFrame
     entities: DataFrame | None = None
     index: DataFrame | None = None
+    tokenizer: Callable[[Column], Column] = T.terms
 
     def keyword_index(self) -> DataFrame:
-        return self.index if self.index is not None else lexical.index_chunks(self.chunks)
+        if self.index is not None:
+            return self.index
+        return lexical.index_chunks(self.chunks, tokenizer=self.tokenizer)
 
 
 def keyword_leg(corpus: Corpus, queries: DataFrame, pool: int) -> DataFrame:
-    return lexical.bm25(corpus.keyword_index(), lexical.query_phrases(queries), pool)
+    return lexical.bm25(corpus.keyword_index(), lexical.query_phrases(queries, tokenizer=corpus.tokenizer), pool)
 
 
 def dense_leg(corpus: Corpus, queries: DataFrame, embedder: Embedder, pool: int, model: str = "") -> DataFrame:
@@ -51,7 +56,7 @@ def graph_leg(corpus: Corpus, queries: DataFrame, pool: int) -> DataFrame:
     """
     named = materialize(entities.match_queries(queries, corpus.entities, GRAPH_ENTITIES))
     wanted = named.select(F.col("key").alias("query_id"), "name").groupBy("query_id").agg(F.min("name").alias("name"))
-    phrases = lexical.phrase_rows(wanted, "name")
+    phrases = lexical.phrase_rows(wanted, "name", corpus.tokenizer)
     found = lexical.bm25(corpus.keyword_index(), phrases, pool).select(
         F.col("query_id").alias("key"), "chunk_id", "score", F.col("rank").alias("hit_rank")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,30 @@ def build_session(app: str = "trailmark", master: str | None = None, **conf: str
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors once per application, so that the UDFs can import it.
+
+    Not needed where it is installed on the executors or passed with --py-files.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "trailmark.zip")
+        with zipfile.ZipFile(archive, "w") as bundle:
+            for folder, _, files in os.walk(here):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        bundle.write(path, os.path.join("trailmark", os.path.relpath(path, here)))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(application)
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:

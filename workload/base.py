@@ -50,7 +50,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("ts", times.ntz_instant(F.col("ts")))
+    return scale.spread(table(spark, sf_dir, "events"), "event_id").withColumn("ts", times.ntz_instant(F.col("ts")))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

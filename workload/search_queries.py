@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import text as T
 from trailmark.functions import times
 from trailmark.functions import urls as U
+from trailmark.functions.stemming import stemmed_terms
 from trailmark.operators import assembly, embedding, entities, fusion, graph, lexical, scale
 from trailmark.plans import resurface, search
 from trailmark.session import materialize
@@ -77,6 +78,12 @@ SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10
 """
 
 
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search on word stems."""
+    index = lexical.index_chunks(base.documents(spark, sf_dir), tokenizer=stemmed_terms)
+    return lexical.bm25(index, lexical.query_phrases(base.queries(spark, sf_dir), tokenizer=stemmed_terms), 10)
+
+
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.term_statistics(lexical.index_chunks(base.documents(spark, sf_dir)))
 
@@ -438,6 +445,7 @@ SELECT rank, page_url AS url, title, snippet,
 QUERIES = {
     "bm25_search": (bm25_search, BM25),
     "phrase_search": (phrase_search, PHRASE),
+    "stemmed_search": (stemmed_search, None),
     "term_statistics": (term_statistics, TERM_STATISTICS),
     "dense_search": (dense_search, DENSE),
     "rrf_fusion": (rrf_fusion, RRF),

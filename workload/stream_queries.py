@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import times
 from trailmark.functions import urls as U
-from trailmark.operators import admission
+from trailmark.operators import admission, scale
 from trailmark.session import materialize, scratch_root
 from trailmark.sources.tables import Snapshots
 from trailmark.streaming import dwell
@@ -63,8 +63,8 @@ def _shown(visits: DataFrame) -> DataFrame:
 
 
 def dwell_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tabs = _tab_events(base.table(spark, sf_dir, "events"), base.table(spark, sf_dir, "pages"))
-    return _shown(dwell.batch_dwell(tabs))
+    events = scale.spread(base.table(spark, sf_dir, "events"), "event_id")
+    return _shown(dwell.batch_dwell(_tab_events(events, base.table(spark, sf_dir, "pages"))))
 
 
 def stream_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
