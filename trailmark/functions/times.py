@@ -37,12 +37,18 @@ def whole_days_since(ts: Column, as_of: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0), days), F.lit(999)).cast("long")
 
 
+def days_before(as_of: Column, days: float) -> Column:
+    """A number of 24-hour days earlier, whatever the session zone does with its clocks."""
+    return F.timestamp_micros(F.unix_micros(as_of) - F.lit(int(days * 86_400_000_000)))
+
+
 def preset_start(preset: str, as_of: Column) -> Column:
-    """Lower bound of a date preset, floored to midnight; null for "all"."""
+    """Lower bound of a date preset, floored to midnight UTC; null for "all"."""
     days = DATE_PRESETS.get(preset)
     if days is None:
         return F.lit(None).cast("timestamp")
-    return F.date_trunc("day", as_of - F.expr(f"INTERVAL {days} DAYS"))
+    day = F.lit(86_400_000_000)
+    return days_before(F.timestamp_micros(F.unix_micros(as_of) - F.pmod(F.unix_micros(as_of), day)), days)
 
 
 def between_dates(ts: Column, date_from: Column, date_to: Column) -> Column:

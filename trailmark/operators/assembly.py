@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import text as T
+from trailmark.functions import times
 from trailmark.operators import scale
 
 CONTEXT_CHARS = 600
@@ -63,7 +64,7 @@ def with_graph_block(contexts: DataFrame, graph_contexts: DataFrame) -> DataFram
 def digest_input(pages: DataFrame, as_of: Column, days: int = 7, fallback: int = 20, lines: int = 25) -> DataFrame:
     """One row `page_count, content`: pages indexed in the last week, else the newest 20, as text lines."""
     newest = [F.desc("last_visited"), F.asc("url")]
-    recent = pages.filter(F.col("last_indexed") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+    recent = pages.filter(F.col("last_indexed") >= times.days_before(as_of, days))
     n_recent = recent.agg(F.count("*").alias("n")).scalar()
     spare = pages.orderBy(*newest).limit(fallback).filter(n_recent == 0)
     chosen = recent.orderBy(*newest).limit(lines).unionByName(spare)

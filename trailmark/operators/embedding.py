@@ -217,7 +217,7 @@ def nearest(
 ) -> DataFrame:
     """Exact top-k cosine similarity (floored at 0): `query_id, chunk_id, score, rank`.
 
-    The query batch is counted. Up to `max_shipped` vectors are shipped to the tasks that scan the
+    At most `max_shipped` + 1 queries are read first. A batch that fits is shipped to the tasks that scan the
     vector table, and each task returns k rows per query. A larger batch meets the table in a grid
     of bounded blocks. No query-vector pair is ever a row.
     """
@@ -226,11 +226,10 @@ def nearest(
     schema = st.StructType([
         queries.schema["query_id"], vectors.schema["chunk_id"], st.StructField("score", st.DoubleType())
     ])
-    n_queries = queries.limit(max_shipped + 1).count()
-    if n_queries == 0:
+    batch = queries.limit(max_shipped + 1).toPandas()
+    if len(batch) == 0:
         local = queries.sparkSession.createDataFrame([], schema)
-    elif n_queries <= max_shipped:
-        batch = queries.toPandas()
+    elif len(batch) <= max_shipped:
         shipped = queries.sparkSession.sparkContext.broadcast((batch["query_id"].to_numpy(), _matrix(batch["vector"])))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

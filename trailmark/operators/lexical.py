@@ -149,10 +149,11 @@ def bm25(
     Ranked by the score rounded to `digits`, then chunk id, so that the order does not depend on
     the order of summation.
     """
-    # One check of the batch covers every table derived from it: none has more rows.
-    fits = scale.is_small(phrases, max_broadcast)
+    # One look at the batch: its size bounds every table derived from it.
+    batch = phrases.agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).first()
+    fits = batch["n"] <= max_broadcast
     wanted = phrases.select("phrase").distinct()
-    counted = postings(index, wanted, max(phrase_lengths(phrases)), fits)
+    counted = postings(index, wanted, batch["longest"] or 1, fits)
     corpus = index.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
     n_chunks = corpus.select("n").scalar()
     avg_length = corpus.select(F.col("total") / F.col("n")).scalar()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions import times
 from trailmark.functions import urls as U
 from trailmark.operators import scale
 
@@ -127,8 +128,7 @@ def expired_pages(pages: DataFrame, as_of: Column, days: int = RETENTION_DAYS) -
     """`url` of pages last visited before the retention limit; none when `days` is 0 or less."""
     if days <= 0:
         return pages.select("url").limit(0)
-    limit = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
-    return pages.filter(F.col("last_visited") < limit).select("url")
+    return pages.filter(F.col("last_visited") < times.days_before(as_of, days)).select("url")
 
 
 def clear_content(tables: dict[str, DataFrame], keep: tuple[str, ...] = ("skip_stats", "meta")) -> dict[str, DataFrame]:

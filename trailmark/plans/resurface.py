@@ -21,7 +21,7 @@ SNIPPET = 220
 def forgotten_pages(pages: DataFrame, as_of: Column) -> DataFrame:
     """Pages last visited 3 to 30 days ago, or older than a day when there are none."""
     def ago(days: int) -> Column:
-        return as_of - F.expr(f"INTERVAL {days} DAYS")
+        return times.days_before(as_of, days)
 
     zone = pages.filter(F.col("last_visited").between(ago(30), ago(3)))
     n_zone = zone.agg(F.count("*").alias("n")).scalar()
@@ -30,7 +30,7 @@ def forgotten_pages(pages: DataFrame, as_of: Column) -> DataFrame:
 
 def anchor_query(pages: DataFrame, as_of: Column) -> DataFrame:
     """One `query_id, query` row: the titles of the five newest pages of the last 48 hours."""
-    recent = pages.filter(F.col("last_visited") >= as_of - F.expr("INTERVAL 48 HOURS"))
+    recent = pages.filter(F.col("last_visited") >= times.days_before(as_of, 2))
     newest = recent.orderBy(F.desc("last_visited"), F.asc("page_url")).limit(ANCHOR_PAGES)
     listed = newest.agg(
         F.array_sort(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
@@ -86,6 +88,8 @@ class DwellProcessor(StatefulProcessor):
 
 def stream_dwell(events: DataFrame, min_seconds: float = MIN_DWELL_SECONDS) -> DataFrame:
     """Visits (schema DWELL) from a stream of tab events with a `seq` column for equal times."""
+    # The processor is also loaded outside the executors, where shipped files are not on the path.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     rows = trackable(events).select("tab_id", F.unix_micros("ts").alias("micros"), "seq", "kind", "url", "title")
     return rows.groupBy("tab_id").transformWithStateInPandas(
