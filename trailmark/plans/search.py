@@ -48,30 +48,60 @@ def dense_leg(corpus: Corpus, queries: DataFrame, embedder: Embedder, pool: int,
     return embedding.nearest(embedding.embed_queries(queries, embedder, model), corpus.vectors, pool)
 
 
-def graph_leg(corpus: Corpus, queries: DataFrame, pool: int) -> DataFrame:
-    """Phrase search for the three longest entities of a query, one list after the other.
-
-    A chunk found for two entities appears twice, as fusion expects. Every entity is searched once,
-    however many queries name it.
-    """
+def _named_entities(corpus: Corpus, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The longest entities of each query, and one phrase per entity, however many queries name it."""
     named = materialize(entities.match_queries(queries, corpus.entities, GRAPH_ENTITIES))
     wanted = named.select(F.col("key").alias("query_id"), "name").groupBy("query_id").agg(F.min("name").alias("name"))
-    phrases = lexical.phrase_rows(wanted, "name", corpus.tokenizer)
-    found = lexical.bm25(corpus.keyword_index(), phrases, pool).select(
-        F.col("query_id").alias("key"), "chunk_id", "score", F.col("rank").alias("hit_rank")
-    )
+    return named, lexical.phrase_rows(wanted, "name", corpus.tokenizer)
+
+
+def _list_hits(named: DataFrame, found: DataFrame, pool: int) -> DataFrame:
+    """The hit lists of a query's entities, one after the other; a chunk may appear twice."""
     listed = named.join(found, "key")
-    return scale.top_rows(
-        listed, ["query_id"], [F.asc("ent_rank"), F.asc("hit_rank")], GRAPH_ENTITIES * pool
-    ).select("query_id", "chunk_id", F.lit(0.5).alias("score"), "rank")
+    order = [F.asc("ent_rank"), F.asc("hit_rank")]
+    ranked = scale.top_rows(listed, ["query_id"], order, GRAPH_ENTITIES * pool)
+    return ranked.select("query_id", "chunk_id", F.lit(0.5).alias("score"), "rank")
+
+
+def graph_leg(corpus: Corpus, queries: DataFrame, pool: int) -> DataFrame:
+    """Phrase search for the three longest entities of a query."""
+    named, phrases = _named_entities(corpus, queries)
+    found = lexical.bm25(corpus.keyword_index(), phrases, pool)
+    return _list_hits(
+        named, found.select(F.col("query_id").alias("key"), "chunk_id", F.col("rank").alias("hit_rank")), pool
+    )
+
+
+def keyword_and_graph_legs(corpus: Corpus, queries: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
+    """Both legs from one search of the index: queries and entities are told apart by a prefix."""
+    kind = queries.schema["query_id"].dataType
+    named, entity_phrases = _named_entities(corpus, queries)
+
+    def marked(phrases: DataFrame, prefix: str) -> DataFrame:
+        return phrases.withColumn("query_id", F.concat(F.lit(prefix), F.col("query_id").cast("string")))
+
+    asked = lexical.query_phrases(queries, tokenizer=corpus.tokenizer)
+    both = marked(asked, "q:").unionByName(marked(entity_phrases, "e:"))
+    # At most `pool` rows per query and entity.
+    found = materialize(lexical.bm25(corpus.keyword_index(), both, pool))
+    own_id = F.expr("substring(query_id, 3)")
+    keyword = found.filter(F.col("query_id").startswith("q:")).withColumn("query_id", own_id.cast(kind))
+    by_entity = found.filter(F.col("query_id").startswith("e:")).select(
+        own_id.alias("key"), "chunk_id", F.col("rank").alias("hit_rank")
+    )
+    return keyword, _list_hits(named, by_entity, pool)
 
 
 def fuse(corpus: Corpus, queries: DataFrame, embedder: Embedder, pool: int, use_graph: bool, model: str = "") -> DataFrame:
-    legs = fusion.leg(keyword_leg(corpus, queries, pool), "bm25").unionByName(
+    if use_graph:
+        keyword, graph = keyword_and_graph_legs(corpus, queries, pool)
+    else:
+        keyword, graph = keyword_leg(corpus, queries, pool), None
+    legs = fusion.leg(keyword, "bm25").unionByName(
         fusion.leg(dense_leg(corpus, queries, embedder, pool, model), "dense")
     )
-    if use_graph:
-        legs = legs.unionByName(fusion.leg(graph_leg(corpus, queries, pool), "knowledge_graph"))
+    if graph is not None:
+        legs = legs.unionByName(fusion.leg(graph, "knowledge_graph"))
     return fusion.reciprocal_rank_fusion(legs, pool)
 
 
