@@ -1,10 +1,12 @@
 """Registered queries of the training-data operators: name -> (query, check SQL or None)."""
 
-from trailmark.llm import bpe, exact, language, packing
+from trailmark.llm import bpe, chat, exact, language, packing, urls
 from trailmark.session import ship_package
 
 _QUERIES = {
+    "op1_urls": (urls.op1_urls, None),
     "op2_exact": (exact.op2_exact, exact.OP2_SQL),
+    "op3_chat": (chat.op3_chat, chat.OP3_SQL),
     "op6_bpe": (bpe.op6_bpe, None),
     "op8_packing": (packing.op8_packing, None),
     "op10_language": (language.op10_language, None),
