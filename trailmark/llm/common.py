@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark import session
+from trailmark.operators import graph
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -57,3 +59,72 @@ class BoundedCache(dict):
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back."""
     return session.materialize(df)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The runs of rows that agree in the first `keys` columns (non-null integers), each as one batch.
+    Rows of a run must follow one another."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        changed = np.zeros(batch.num_rows - 1, bool)
+        for v in values:
+            changed |= v[1:] != v[:-1]
+        first = tuple(v[0] for v in values)
+        if held and first != last:
+            yield _joined(held)
+            held = []
+        begin = 0
+        for end in (np.flatnonzero(changed) + 1).tolist():
+            yield _joined([*held, batch.slice(begin, end - begin)])
+            held, begin = [], end
+        held.append(batch.slice(begin))
+        last = tuple(v[-1] for v in values)
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+
+def lists(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list or binary column, sliced or not; binary is read as `dtype`."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if pa.types.is_binary(column.type):
+        data = column.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+        size = np.dtype(dtype).itemsize
+        return np.frombuffer(raw.tobytes(), dtype), (offsets - offsets[0]).astype(np.int64) // size
+    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    return values.astype(dtype, copy=False), (offsets - offsets[0]).astype(np.int64)
+
+
+def clusters(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 and links a-b, the smallest node of each node's cluster."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        new = np.minimum(new, new[label])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def hosted(df: DataFrame, keys: list[str], order: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """`df` dealt by `keys` and sorted by them, for `groups`."""
+    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *(order or []))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """`id, component` of every node in `links` (`a, b`): the smallest id of its connected component."""
+    nodes = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct()
+    return graph.components(nodes, links).select(F.col("key").alias("id"), "component")
