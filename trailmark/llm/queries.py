@@ -1,12 +1,13 @@
 """Registered queries of the training-data operators: name -> (query, check SQL or None)."""
 
-from trailmark.llm import bpe, chat, exact, language, packing, urls, vectors
+from trailmark.llm import bpe, chat, exact, language, near, packing, urls, vectors
 from trailmark.session import ship_package
 
 _QUERIES = {
     "op1_urls": (urls.op1_urls, None),
     "op2_exact": (exact.op2_exact, exact.OP2_SQL),
     "op3_chat": (chat.op3_chat, chat.OP3_SQL),
+    "op4_near": (near.op4_near, near.OP4_SQL),
     "op6_bpe": (bpe.op6_bpe, None),
     "op8_packing": (packing.op8_packing, None),
     "op9_vectors": (vectors.op9_vectors, vectors.OP9_SQL),
