@@ -3,7 +3,8 @@
 Bytes are mapped to Latin-1 characters, so that a string automaton over the vocabulary finds the
 tokens that start at every position of a piece. Tokens are laid from the left, the longest first.
 A token may follow another only if merging the two tokens' bytes alone gives back these two; a
-sequence in which all neighbours fit is the one that the merges produce. Where nothing fits, the
+sequence in which all neighbours fit is the one that the merges produce. As every token ranks after
+its parts, that is seen from the parts that touch the border in the course of the merges. Where nothing fits, the
 position is marked dead and the last token is shortened; no position is tried twice. The answers
 for neighbours are memoised, and so are whole pieces.
 """
@@ -46,21 +47,29 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self._split = regex.compile(pattern).findall
+        self._parts: dict[bytes, tuple[bytes, bytes]] = {}
         # The automaton reads a piece from its end: what ends there, reversed, starts in the piece.
         self._automaton = ahocorasick.Automaton()
+        self._in_order = True
         for token, rank in ranks.items():
-            if self._merge(token) == [token]:  # others are never made by merges
-                self._automaton.add_word(token[::-1].decode("latin-1"), (rank, len(token)))
+            parts = self._merge(token, until=2)
+            if len(parts) > 2 or (len(parts) == 2 and parts[0] + parts[1] != token):
+                continue  # never made by merges
+            if len(parts) == 2:
+                self._parts[token] = (parts[0], parts[1])
+                self._in_order &= max(ranks[parts[0]], ranks[parts[1]]) < rank
+            self._automaton.add_word(token[::-1].decode("latin-1"), (rank, len(token)))
         self._automaton.make_automaton()
+        self._edges = {}
         self._fits = common.BoundedCache(self._pair_fits, PAIRS_HELD)
         self._piece = common.BoundedCache(self._encode_piece, PIECES_HELD)
-        self._named = common.BoundedCache(lambda p: ",".join(map(str, self._piece[p])), PIECES_HELD)
+        self._named = common.BoundedCache(lambda p: ",".join(map(str, self._encode_piece(p))), PIECES_HELD)
         self._by_name = {str(rank): token for rank, token in self.tokens.items()}
 
-    def _merge(self, data: bytes) -> list[bytes]:
+    def _merge(self, data: bytes, until: int = 1) -> list[bytes]:
         """The merges themselves, on the bytes of a token or two: always the lowest rank, leftmost first."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             ranked = [(self.ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
             rank, i = min(ranked)
             if rank == 1 << 40:
@@ -68,9 +77,39 @@ class Encoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _edge(self, token: int, side: int) -> list[bytes]:
+        """The parts at the left (0) or right (1) end of a token, from its outer byte to the token."""
+        found = self._edges.get((token, side))
+        if found is None:
+            part = self.tokens[token]
+            found = [part]
+            while part in self._parts:
+                part = self._parts[part][side]
+                found.append(part)
+            found.reverse()
+            self._edges[token, side] = found
+        return found
+
     def _pair_fits(self, pair: tuple[int, int]) -> bool:
-        left, right = self.tokens[pair[0]], self.tokens[pair[1]]
-        return self._merge(left + right) == [left, right]
+        if not self._in_order:
+            left, right = self.tokens[pair[0]], self.tokens[pair[1]]
+            return self._merge(left + right) == [left, right]
+        ranks, never = self.ranks, 1 << 40
+        lefts, rights = self._edge(pair[0], 1), self._edge(pair[1], 0)
+        i = j = 0
+        while True:
+            # Ranks at which the touching parts grow, and at which they would join across the border.
+            grow_left = ranks[lefts[i + 1]] if i + 1 < len(lefts) else never
+            grow_right = ranks[rights[j + 1]] if j + 1 < len(rights) else never
+            across = ranks.get(lefts[i] + rights[j], never)
+            if across < grow_left and across <= grow_right and across < never:
+                return False
+            if grow_left == grow_right == never:
+                return True
+            if grow_left <= grow_right:  # of equal ranks the leftmost is merged first
+                i += 1
+            else:
+                j += 1
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
@@ -79,9 +118,7 @@ class Encoder:
             return (whole,)
         n, starts = len(data), [[] for _ in data]
         for end, found in self._automaton.iter(data[::-1].decode("latin-1")):
-            starts[n - 1 - end].append(found)
-        for found in starts:
-            found.sort(key=lambda f: -f[1])
+            starts[n - 1 - end].append(found)  # the longest comes first
         ids: list[int] = []
         left: list[tuple[int, Iterator]] = []  # position and untried tokens of each laid token
         dead = bytearray(n + 1)

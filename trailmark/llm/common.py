@@ -43,16 +43,23 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
 
 
 class BoundedCache(dict):
-    """A dict that computes missing values and starts anew when it holds `size` of them."""
+    """A dict that computes missing values and remembers about `size` of those last used.
+
+    It holds two generations of half that size; what is used of the old one moves to the new one.
+    """
 
     def __init__(self, compute: Callable, size: int):
         super().__init__()
-        self._compute, self._size = compute, size
+        self._compute, self._size, self._old = compute, size // 2, {}
 
     def __missing__(self, key):
+        value = self._old.get(key)
+        if value is None:
+            value = self._compute(key)
         if len(self) >= self._size:
+            self._old = dict(self)
             self.clear()
-        value = self[key] = self._compute(key)
+        self[key] = value
         return value
 
 
