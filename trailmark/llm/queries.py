@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators: name -> (query, check SQL or None)."""
 
-from trailmark.llm import bpe, chat, exact, language, near, packing, pii, urls, vectors
+from trailmark.llm import bpe, chat, exact, language, near, packing, pii, substrings, urls, vectors
 from trailmark.session import ship_package
 
 _QUERIES = {
@@ -8,6 +8,7 @@ _QUERIES = {
     "op2_exact": (exact.op2_exact, exact.OP2_SQL),
     "op3_chat": (chat.op3_chat, chat.OP3_SQL),
     "op4_near": (near.op4_near, near.OP4_SQL),
+    "op5_substrings": (substrings.op5_substrings, None),
     "op6_bpe": (bpe.op6_bpe, None),
     "op7_pii": (pii.op7_pii, None),
     "op8_packing": (packing.op8_packing, None),
