@@ -124,8 +124,11 @@ def _bucket_links(threshold: float):
                 met = _meets(a, b)
                 first = met.argmax(axis=1) == t
                 a, b = a[rows, t], b[rows, t]
-                both = (a[:, :1] == b).any(1) & (b[:, :1] == a).any(1)
-                here = met[rows, t] & np.where(both, own == np.minimum(a[:, 0], b[:, 0]), True)
+                # In a table a pair meets in the own bucket of one of them, of the first by code if in both;
+                # where both only visit, it does not count.
+                a_seen, b_seen = (a[:, :1] == b).any(1), (b[:, :1] == a).any(1)
+                a, b = a[:, 0], b[:, 0]
+                here = met[rows, t] & (own == np.where(a_seen & b_seen, np.minimum(a, b), np.where(a_seen, a, b)))
                 keep.append(first & here & (table[j[part]] == t) & (code[j[part]] == own) & (labels[i[part]] == labels[j[part]]))
             keep = np.concatenate(keep)
             i, j = i[keep], j[keep]
