@@ -25,7 +25,7 @@ _TYPES = r"(BOOLEAN|BIGINT|STRING|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)|BINARY|DATE|TI
 
 def fingerprint(record: Column) -> Column:
     """Hash of the nested field paths of a variant; types and values play no part."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), _TYPES, "*"))
+    return F.when(record.isNotNull(), F.xxhash64(F.regexp_replace(F.schema_of_variant(record), _TYPES, "*")))
 
 
 def _text(record: Column, path: str) -> Column:

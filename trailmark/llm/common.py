@@ -30,6 +30,13 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A mapInArrow function that turns one batch into one batch."""
 

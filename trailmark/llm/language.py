@@ -131,10 +131,11 @@ def identify(docs: DataFrame, learned: DataFrame, size: int = PROFILE_SIZE, text
         return langs[best], 1 - float(apart[best]) / (size * len(own))
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    text_name = common.unused("_text", kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [predict(text) for text in batch.column("_text").to_pylist()]
+            found = [predict(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.record_batch(
                 [*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -142,7 +143,7 @@ def identify(docs: DataFrame, learned: DataFrame, size: int = PROFILE_SIZE, text
             )
 
     schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias(text_name)).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -163,5 +164,6 @@ def op10_language(spark, sf_dir):
 
 def keep_identified(spark, docs, sf_dir):
     """Pipeline stage: documents whose language is known with a score of MIN_SCORE or more."""
-    out = identify(docs, learn(docs))
-    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    out = identify(rows, learn(docs))
+    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")

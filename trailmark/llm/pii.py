@@ -132,11 +132,11 @@ def _features(kind: str, x: Column) -> Column:
     )
 
 
-def proposed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds `_base`, the spans that base patterns and checks find, and `_candidates`, the generators' spans
-    with their features. Written to the shared folder: the texts are searched once."""
-    kept = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def proposed(docs: DataFrame) -> DataFrame:
+    """Adds to `row, text` `_base`, the spans that base patterns and checks find, and `_candidates`, the
+    generators' spans with their features. Written to the shared folder without `text`: the texts are
+    searched once."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     digit = text.rlike("[0-9]")
     at = F.contains(text, F.lit("@"))
     hints = {"email": at, "ip": digit, "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
@@ -147,8 +147,8 @@ def proposed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns = {}
     for kind, pattern in {**BASE, **GENERATORS}.items():
         columns[f"_m_{kind}"], columns[f"_a_{kind}"] = matches(text, pattern, {**hints, **wider}[kind])
-    rows = docs.select(*kept, *[c.alias(n) for n, c in columns.items()])
-    rows = rows.select(*kept, *[located(F.col(f"_m_{k}"), F.col(f"_a_{k}")).alias(f"_l_{k}") for k in {**BASE, **GENERATORS}])
+    rows = docs.select("row", *[c.alias(n) for n, c in columns.items()])
+    rows = rows.select("row", *[located(F.col(f"_m_{k}"), F.col(f"_a_{k}")).alias(f"_l_{k}") for k in {**BASE, **GENERATORS}])
     def checked(kind: str) -> Column:
         return F.transform(F.filter(f"_l_{kind}", lambda x: passes(kind, x["text"])), lambda x: F.struct(
             F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
@@ -161,7 +161,7 @@ def proposed(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.transform(F.filter(f"_l_{kind}", enough[kind]), lambda x: _features(kind, x))
 
     base, wide = [checked(k) for k in BASE], [candidates(k) for k in GENERATORS]
-    return common.cut(rows.select(*kept, F.concat(*base).cast(SPAN).alias("_base"), F.concat(*wide).alias("_candidates")))
+    return common.cut(rows.select("row", F.concat(*base).cast(SPAN).alias("_base"), F.concat(*wide).alias("_candidates")))
 
 
 def fit(rows: DataFrame, training_rows: int = TRAINING_ROWS) -> tuple[boost.Model, dict[str, float]]:
@@ -192,7 +192,7 @@ def detected(docs: DataFrame, text_col: str = "text", training_rows: int = TRAIN
     a constant.
     """
     kept = [c for c in docs.columns if c not in ("base", "spans")]
-    rows = proposed(docs.select(*kept), text_col)
+    rows = proposed(docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text")))
     model, thresholds = fit(rows, training_rows)
 
     def accepted(x: Column) -> Column:
@@ -203,7 +203,7 @@ def detected(docs: DataFrame, text_col: str = "text", training_rows: int = TRAIN
         return ~x["base"] & (score >= least)
 
     added = F.transform(F.filter("_candidates", accepted), lambda x: F.struct(x["kind"], x["start"], x["end"])).cast(SPAN)
-    return rows.select(*kept, F.col("_base").alias("base"), F.concat("_base", added).alias("spans"))
+    return rows.select("row.*", F.col("_base").alias("base"), F.concat("_base", added).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -243,9 +243,12 @@ def op7_pii(spark, sf_dir):
 
 def redacted(spark, docs, sf_dir):
     """Pipeline stage: all documents, personal data replaced in their texts; `n_chars` follows the text."""
-    found = detected(docs)
-    text = F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("spans")))
-    out = found.withColumn("text", text)
+    found = detected(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    touched = F.size("spans") > 0
+    new = F.when(touched, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    found = found.select("row", new.alias("text"), touched.alias("touched"))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("touched"), length).otherwise(F.col("row.n_chars"))
+    return found.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
