@@ -7,8 +7,10 @@ same least hash, so a shard that holds all segments of a hash sees all their cop
 1. Blocks send their hashes, in buckets; hashes that two documents share go back to their blocks.
 2. Blocks send the segments of shared hashes to shards, equal segments once with their least id.
 3. A shard takes together the equal segments of all blocks. Where a hash has several different
-   segments, it builds their suffix array (`suffixes`) and common prefixes; suffixes whose common
-   prefixes are LENGTH or more form a class of equal windows, whose first document is the least.
+   segments, what none of the others can share is cut off their ends, seen from the string that has
+   the hash, and equal rests are taken together again. If several rests are left, it builds their
+   suffix array (`suffixes`) and common prefixes; suffixes whose common prefixes are LENGTH or more
+   form a class of equal windows, whose first document is the least.
 4. Blocks get back, per segment, the first document of every window, and mark what repeats.
 
 Only bytes in arrays travel, no row per window. Segments are recomputed from a block where needed.
@@ -31,7 +33,7 @@ from trailmark.llm import common, suffixes
 LENGTH, GRAM = 50, 16
 BLOCK_BYTES = 2_000_000
 #: Bytes of text per bucket of hashes and per shard of segments, and bytes of a suffix array.
-BUCKET_BYTES, SHARD_BYTES, ARRAY_BYTES = 64_000_000, 32_000_000, 3_000_000
+BUCKET_BYTES, SHARD_BYTES, ARRAY_BYTES = 64_000_000, 32_000_000, 1_500_000
 
 _U = np.uint64
 _TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -80,17 +82,23 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return common.cut(docs.mapInArrow(run, "block long, size long, ids array<long>, sizes array<long>, data binary"))
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of every GRAM-byte string."""
+    h = _TABLE[data]
+    step = 1
+    for power in _POWERS:  # after these, h[i] depends on the 16 bytes from i
+        h = h[:-step] * power + h[step:]
+        step *= 2
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(29)
+    return h
+
+
 def _window_hashes(data: np.ndarray) -> np.ndarray:
     """The least hash of the GRAM-byte strings of every window of LENGTH bytes."""
     out = []
     for begin in range(0, max(len(data) - LENGTH + 1, 0), _PIECE):
-        h = _TABLE[data[begin : begin + _PIECE + LENGTH - 1]]
-        step = 1
-        for power in _POWERS:  # after these, h[i] depends on the 16 bytes from i
-            h = h[:-step] * power + h[step:]
-            step *= 2
-        h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-        h ^= h >> _U(29)
+        h = _gram_hashes(data[begin : begin + _PIECE + LENGTH - 1])
         width = 1
         span = LENGTH - GRAM + 1
         while 2 * width <= span:
@@ -101,6 +109,51 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
+def _shareable(texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of what each segment can share with others of its key; `keys` is sorted.
+
+    Equal windows agree around the one string with the key's hash. On either side a segment shares no more than
+    with its neighbours in the order of what stands there. Where a segment holds that string twice, its
+    whole key is left as it is.
+    """
+    n, side = len(texts), LENGTH - GRAM
+    sizes = np.fromiter(map(len, texts), np.int64, n)
+    before, after = np.zeros((n, side), np.uint8), np.zeros((n, side), np.uint8)
+    place, found = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    total = np.cumsum(sizes)
+    for part in np.split(np.arange(n), np.flatnonzero(np.diff(total // 1_000_000)) + 1):
+        data = np.frombuffer(b"".join(texts[part[0] : part[-1] + 1]) + bytes(GRAM), np.uint8)
+        begins = np.cumsum(sizes[part]) - sizes[part]
+        owner = np.repeat(np.arange(len(part)), sizes[part])
+        at = np.flatnonzero(_gram_hashes(data)[: len(owner)] == keys[part][owner])
+        at = at[at + GRAM <= (begins + sizes[part])[owner[at]]]
+        found[part] = np.bincount(owner[at], minlength=len(part))
+        place[part[owner[at]]] = at - begins[owner[at]]
+        step = np.arange(side)
+        left, right = place[part][:, None] - 1 - step, place[part][:, None] + GRAM + step
+        has = left >= 0
+        before[part] = np.where(has, data[np.where(has, left + begins[:, None], 0)], 0)
+        has = right < sizes[part][:, None]
+        after[part] = np.where(has, data[np.where(has, right + begins[:, None], 0)], 0)
+
+    def shared(context: np.ndarray) -> np.ndarray:
+        padded = np.zeros((n, (side + 7) // 8 * 8), np.uint8)
+        padded[:, :side] = context
+        words = padded.view(">u8")
+        order = np.lexsort((*[words[:, k] for k in range(words.shape[1] - 1, -1, -1)], keys))
+        agree = context[order[1:]] == context[order[:-1]]
+        size = np.where(agree.all(axis=1), side, agree.argmin(axis=1))
+        size[keys[order[1:]] != keys[order[:-1]]] = 0
+        most = np.zeros(n, np.int64)
+        most[order] = np.maximum(np.append(size, 0), np.append(0, size))
+        return most
+
+    begin = place - np.minimum(shared(before), place)
+    end = place + GRAM + np.minimum(shared(after), sizes - place - GRAM)
+    odd = np.isin(keys, keys[found != 1])
+    return np.where(odd, 0, begin), np.where(odd, sizes, end)
+
+
 class _Block:
     """A block's bytes and its segments: `start` (byte), `windows`, `key` (hash) and `doc` (number in the block)."""
 
@@ -250,6 +303,54 @@ def first_documents(segments: list[bytes], least: np.ndarray) -> tuple[np.ndarra
     return seg[new], windows[new] - begins[seg[new]], np.diff(np.append(new, len(windows))), value[new]
 
 
+def _runs_of_keys(texts: list[bytes], keys: np.ndarray, segs: np.ndarray, first: np.ndarray, width: np.ndarray,
+                  array_bytes: int) -> list[tuple]:
+    """Runs (segment, first window, windows, document) of the segments `segs`, sorted by key."""
+    begin, end = _shareable(texts, keys)
+    windows = np.maximum(end - begin - LENGTH + 1, 0)
+    own = first[segs]
+    cut = windows > 0
+    tail = width[segs] - begin - windows
+    runs = [
+        (segs[~cut], np.zeros((~cut).sum(), np.int64), width[segs][~cut], own[~cut]),
+        (segs[cut], np.zeros(cut.sum(), np.int64), begin[cut], own[cut]),
+        (segs[cut], (begin + windows)[cut], tail[cut], own[cut]),
+    ]
+    rests: dict[tuple[int, bytes], int] = {}
+    chosen = np.flatnonzero(cut)
+    rest = np.fromiter(
+        (rests.setdefault((k, texts[i][a:b]), len(rests)) for i, k, a, b in
+         zip(chosen.tolist(), keys[chosen].tolist(), begin[chosen].tolist(), end[chosen].tolist())), np.int64, len(chosen),
+    )
+    n = len(rests)
+    least = np.full(n, _NONE)
+    np.minimum.at(least, rest, own[chosen])
+    rest_key = np.fromiter((k for k, _ in rests), _U, n)  # sorted, as keys are
+    strings = [t for _, t in rests]
+    new = np.append(True, rest_key[1:] != rest_key[:-1])[:n]
+    counts = np.diff(np.append(np.flatnonzero(new), n))
+    single = np.repeat(counts == 1, counts)
+    parts = [(np.flatnonzero(single), np.zeros(single.sum(), np.int64),
+              np.fromiter((len(strings[i]) - LENGTH + 1 for i in np.flatnonzero(single).tolist()), np.int64), least[single])]
+    mixed = np.flatnonzero(~single)
+    if len(mixed):
+        # The rests of one key stay in one suffix array; several keys share one.
+        group = np.cumsum(np.fromiter((len(strings[i]) for i in mixed.tolist()), np.int64)) // array_bytes
+        group = group[np.maximum.accumulate(np.where(new[mixed], np.arange(len(mixed)), 0))]
+        for part in np.split(mixed, np.flatnonzero(np.diff(group)) + 1):
+            seg, at, length, value = first_documents([strings[i] for i in part.tolist()], least[part])
+            parts.append((part[seg], at, length, value))
+    of, at, length, value = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(of, kind="stable")
+    of, at, length, value = of[order], at[order], length[order], value[order]
+    count = np.bincount(of, minlength=n)
+    start = np.cumsum(count) - count
+    c = count[rest]
+    rows = np.repeat(start[rest] - np.cumsum(c) + c, c) + np.arange(c.sum())
+    runs.append((np.repeat(segs[chosen], c), at[rows] + np.repeat(begin[chosen], c), length[rows], value[rows]))
+    return runs
+
+
 def _resolve(array_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.groups(batches, 1):
@@ -278,17 +379,11 @@ def _resolve(array_bytes: int):
             alone = order[np.repeat(counts == 1, counts)]
             runs = [(alone, np.zeros(len(alone), np.int64), width[alone], first[alone])]
             listed = list(texts)
-            # Segments of one key stay in one suffix array; several keys share one.
-            total = np.cumsum(width[several] + LENGTH)
-            group_of = total // array_bytes
             if len(several):
-                starts = np.append(True, key[several][1:] != key[several][:-1])
-                group_of = group_of[np.maximum.accumulate(np.where(starts, np.arange(len(several)), 0))]
-            for part in np.split(several, np.flatnonzero(np.diff(group_of)) + 1) if len(several) else []:
-                seg, at, length, value = first_documents([listed[i] for i in part.tolist()], first[part])
-                runs.append((part[seg], at, length, value))
+                runs += _runs_of_keys([listed[i] for i in several.tolist()], key[several], several, first, width, array_bytes)
             seg, at, length, value = (np.concatenate(x) for x in zip(*runs))
             order = np.argsort(seg, kind="stable")
+            order = order[length[order] > 0]
             seg, at, length, value = seg[order], at[order], length[order], value[order]
             count = np.bincount(seg, minlength=n)
             begin = np.cumsum(count) - count

@@ -147,10 +147,12 @@ def _one_by_one(s: list[int], symbols: int) -> list[int]:
         return sa
 
     lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    end_of = dict(zip(lms, [*lms[1:], n - 1]))
-    name, last, name_of, in_order = -1, None, {}, []
+    end_of, name_of = [0] * n, [0] * n
+    for i, end in zip(lms, [*lms[1:], n - 1]):
+        end_of[i] = end
+    name, last, in_order = -1, None, []
     for i in induced(lms):
-        if i > 0 and i in end_of:
+        if end_of[i]:
             piece = s[i : end_of[i] + 1]
             if piece != last:
                 name, last = name + 1, piece
