@@ -37,11 +37,18 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
-    """A mapInArrow function that turns one batch into one batch."""
+    """A mapInArrow function that turns one batch into one batch, a few hundred rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = function(batch)
             if out is not None and out.num_rows:
                 yield out

@@ -69,7 +69,7 @@ def _count_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 names=["lang", "gram", "n"],
             )
 
-    for batch in batches:
+    for batch in common.slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             grams, counts = gram_counts(text)
             if len(grams):
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, learned: DataFrame, size: int = PROFILE_SIZE, text
     text_name = common.unused("_text", kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             found = [predict(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.record_batch(
