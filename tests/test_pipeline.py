@@ -35,52 +35,43 @@ def keyword_embedder(*pairs, dim=2):
 # ---- chunking against a plain model ---------------------------------------------------------
 
 
-def model_chunks(words, ends, max_words=384, min_words=50):
-    segments, current = [], []
-    for i, end in enumerate(ends):
-        current.append(i)
-        if end:
-            segments.append(current)
-            current = []
-    merged, buffer = [], []
-    for segment in segments:
-        buffer = buffer + segment
-        if sum(words[i] for i in buffer) >= min_words:
-            merged.append(buffer)
-            buffer = []
-    if buffer:
-        if merged:
-            merged[-1] = merged[-1] + buffer
-        else:
-            merged.append(buffer)
-    pieces = []
-    for segment in merged:
-        if sum(words[i] for i in segment) <= 1.5 * max_words:
-            pieces.append(segment)
-            continue
-        part, total = [], 0
-        for i in segment:
-            if part and total + words[i] > max_words:
-                pieces.append(part)
-                part, total = [], 0
-            part.append(i)
-            total += words[i]
-        pieces.append(part)
-    return [p[-1] + 1 for p in pieces]
-
-
-def test_merge_and_split_match_the_model(spark):
+def pieces(spark, cases):
+    frame = spark.createDataFrame(cases, "id int, words array<long>, ends array<boolean>")
+    segments = chunking.merge_small(F.col("words"), F.col("ends"))
+    return {r.id: list(r.p) for r in frame.select("id", chunking.split_oversized(F.col("words"), segments, 384).alias("p")).collect()}
+
+
+def test_merge_and_split_by_hand(spark):
+    yes, no = True, False
+    cases = [
+        (0, [60, 60, 60], [yes, yes, yes]),  # every segment is large enough
+        (1, [20, 20, 20, 60], [yes, yes, yes, yes]),  # three small ones are one
+        (2, [60, 10], [yes, yes]),  # a small rest joins the one before
+        (3, [10], [yes]),  # or stays alone
+        (4, [200, 200, 176], [no, no, yes]),  # 576 words: 1.5 times the limit stays whole
+        (5, [200, 200, 177], [no, no, yes]),  # one more is cut before the limit is passed
+        (6, [700, 10, 10], [no, no, yes]),  # a sentence longer than the limit stands alone
+        (7, [10, 700], [yes, yes]),
+    ]
+    assert pieces(spark, cases) == {
+        0: [1, 2, 3], 1: [3, 4], 2: [2], 3: [1], 4: [3], 5: [1, 3], 6: [1, 3], 7: [1, 2],
+    }
+
+
+def test_merge_and_split_properties(spark):
     rng = random.Random(7)
     cases = []
     for n in range(60):
         words = [rng.choice([3, 10, 40, 90, 300, 700]) for _ in range(rng.randint(1, 40))]
-        ends = [rng.random() < 0.4 for _ in words]
-        ends[-1] = True
-        cases.append((n, words, ends))
-    frame = spark.createDataFrame(cases, "id int, words array<long>, ends array<boolean>")
-    segments = chunking.merge_small(F.col("words"), F.col("ends"))
-    got = frame.select("id", chunking.split_oversized(F.col("words"), segments, 384).alias("p")).collect()
-    assert {r.id: list(r.p) for r in got} == {n: model_chunks(w, e) for n, w, e in cases}
+        cases.append((n, words, [rng.random() < 0.4 for _ in words[1:]] + [True]))
+    for n, cuts in pieces(spark, cases).items():
+        _, words, ends = cases[n]
+        assert cuts == sorted(set(cuts)) and cuts[-1] == len(words)
+        for i, j in zip([0, *cuts], cuts):
+            total, topics = sum(words[i:j]), ends[j - 1]
+            assert total <= 1.5 * 384 or j - i == 1
+            # A cut inside a topic is there because the piece could take no more words.
+            assert topics or total + words[j] > 384
 
 
 def test_fixed_ends(spark):
@@ -295,7 +286,7 @@ def test_ingest_end_to_end(spark, tmp_path):
         1: ("indexed", "new"), 2: ("skipped", "url_blocked"), 3: ("skipped", "low_quality"),
         4: ("skipped", "pii:card"), 5: ("skipped", "unchanged"), 6: ("rejected", "invalid:url"),
     }
-    store.commit(0, tables)
+    assert store.commit(tables) == 1
     stored = store.load()
     row = stored["pages"].first()
     assert (row.url, row.visit_count, row.title) == ("https://site.org/docs/clay-pots", 2, "Clay pots explained")
@@ -308,12 +299,12 @@ def test_ingest_end_to_end(spark, tmp_path):
     second = full_visits(spark, [(7, "https://site.org/docs/clay-pots", "New title", LONG.replace("clay", "tin")[: len(LONG) // 3], at(10))])
     outcomes, tables = ingest.ingest(second, stored, settings)
     assert [(r.status, r.reason) for r in outcomes.collect()] == [("indexed", "changed")]
-    store.commit(1, tables)
+    assert store.commit(tables) == 2
     after = store.load()
     assert after["pages"].first().title == "New title" and after["pages"].first().visit_count == 3
     ids = {r.chunk_id for r in after["chunks"].collect()}
     assert ids == {r.chunk_id for r in after["vectors"].collect()}
-    assert store.committed() == [0, 1]
+    assert store.committed() == [1, 2]
 
     left, counts = ingest.evict(after, F.lit(at(60 * 24 * 200)))
     assert counts.first().pages == 1 and all(left[t].count() == 0 for t in ("pages", "chunks", "vectors", "page_entities"))
@@ -322,7 +313,54 @@ def test_ingest_end_to_end(spark, tmp_path):
     left, counts = ingest.delete_urls(after, spark.createDataFrame([("https://site.org/docs/clay-pots/",)], "url string"))
     assert counts.first().pages == 1
     store.expire(1)
-    assert store.committed() == [1]
+    assert store.committed() == [2]
+
+
+def test_maintenance_between_batches_loses_nothing(spark, tmp_path):
+    store = sources.Snapshots(spark, str(tmp_path / "tables"))
+    empty = sources.empty_tables(spark)
+
+    def with_pages(urls):
+        rows = [tuple(u if f == "url" else at(0) if f.endswith(("visited", "indexed")) else None for f in empty["pages"].columns) for u in urls]
+        return {**store.load(), "pages": spark.createDataFrame(rows, empty["pages"].schema)}
+
+    def urls():
+        return sorted(r.url for r in store.load()["pages"].collect())
+
+    store.commit(with_pages(["a"]), "visits", 0)
+    from trailmark.streaming.ingest import daily_maintenance
+
+    daily_maintenance(store, F.lit(at(1)), 30)
+    assert not store.applied("visits", 1) and store.applied("visits", 0) and not store.applied("other", 0)
+    store.commit(with_pages(["a", "b"]), "visits", 1)
+    store.commit(with_pages(["a", "b", "c"]), "other", 0)
+    assert urls() == ["a", "b", "c"] and store.applied("visits", 1) and store.applied("other", 0)
+    # Tables that a commit leaves out are not written again.
+    version = store.commit({"skip_stats": empty["skip_stats"]})
+    assert store.record(version)["tables"]["pages"] < version and urls() == ["a", "b", "c"]
+    store.expire(1)
+    assert urls() == ["a", "b", "c"] and store.committed()[-1] == version
+
+
+def test_gate_asks_the_model_about_survivors_only_and_fails_open(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def load():
+        def embed(texts):
+            with open(log, "a") as out:
+                out.writelines(f"{t[:20]}\n" for t in texts)
+            if any(t.startswith("Clay") for t in texts):
+                raise RuntimeError("model lost")
+            return np.ones((len(texts), 2))
+        return embed
+
+    rows = [(1, "https://site.org/docs/clay-pots", "Clay pots explained", "Clay " + LONG, at(0)),
+            (2, "https://bank.chase.com/x", "Bank", LONG, at(1)), (3, "https://site.org/x", "x", "too short", at(2))]
+    judged = ingest.judge(full_visits(spark, rows), ingest.Settings(embedder=Embedder(load, 2, "fails")))
+    got = {r.visit_id: r.skip_reason for r in judged.collect()}
+    assert got == {1: None, 2: "url_blocked", 3: "low_quality"}
+    asked = [line for line in open(log).read().splitlines() if line.startswith(("Clay", "too")) or line == ""]
+    assert set(asked) == {("Clay " + LONG)[:20]}
 
 
 def test_funnel_counts_sum_to_the_input(spark):
@@ -384,12 +422,45 @@ def test_chat_queries_look_back_to_the_last_user(spark):
 
 
 def test_long_texts_reach_a_model_in_blocks(spark):
-    text = "Alpha beta gamma. " * 20 + "\n" + "Delta epsilon zeta. " * 20
+    text = "Alpha beta gamma. " * 20 + "\n" + "Delta epsilon zeta. " * 20 + "x" * 250
     blocks = chunking.text_blocks(text, 100)
-    assert all(0 < len(b) <= 100 for b in blocks)
-    assert "".join(blocks).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
+    assert all(0 < len(b) <= 100 for b in blocks) and "".join(blocks) == text
+    assert all(b.endswith((". ", "\n")) or "x" in b for b in blocks)
+    assert chunking.text_blocks(text) == [text] and chunking.text_blocks("") == []
     splitter = chunking.model_splitter(lambda: lambda block: block.split(". "))
     broken = chunking.model_splitter(lambda: lambda block: 1 / 0)
     frame = spark.createDataFrame([("One two three four. Five six seven eight. Nine",)], "t string")
     assert frame.select(splitter(F.col("t")).alias("s")).first().s == ["One two three four", "Five six seven eight"]
     assert frame.select(broken(F.col("t")).alias("s")).first().s == ["One two three four.", "Five six seven eight."]
+
+
+def test_names_slugs_and_markup_of_any_length(spark):
+    import time
+
+    from trailmark.operators import extract
+    from trailmark.operators.entities import capitalised_runs
+
+    frame = spark.createDataFrame([("Name " * 100_000, "https://a.org/" + "-".join(["part"] * 1600))], "t string, url string")
+    assert frame.select(F.size(capitalised_runs(F.col("t"))).alias("n")).first().n == 1
+    from trailmark.functions import rules
+    assert frame.select(F.col("url").rlike("(?U)" + rules.SLUG_PATH).alias("x")).first().x
+    start = time.time()
+    for page in ('<a title="x ' * 80_000, "<!-- " * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<a 'x' \"y\" " * 80_000):
+        extract._extract(page)
+    assert time.time() - start < 60
+
+
+def test_streams_count_activity(spark, tmp_path):
+    from trailmark.streaming import activity
+
+    rows = [(1, at(0)), (1, at(10)), (1, at(100)), (2, at(5))]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(f"{tmp_path}/in")
+
+    def run(frame, name):
+        out = frame.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+        out.option("checkpointLocation", f"{tmp_path}/{name}").start().awaitTermination()
+        return sorted((r.user_id, r.n) for r in spark.table(name).collect())
+
+    assert run(activity.activity_windows(stream, "1 hour"), "windows") == [(1, 1), (1, 2), (2, 1)]
+    assert run(activity.sessions(stream), "sessions") == [(1, 1), (1, 2), (2, 1)]

@@ -146,7 +146,7 @@ CONTENT_PATHS = (
 )
 
 # Fixed value: two or more hyphenated words in a path segment.
-SLUG_PATH = r"/\w+(?:-\w+)+"
+SLUG_PATH = r"/\w++(?:-\w++)++"
 
 # Score parts in hundredths.
 HOST_POINTS = 40
@@ -183,7 +183,6 @@ SENSITIVE_AUTOCOMPLETE = (
 SHORT_PAGE_WORDS = 400
 AUTH_PAGE_WORDS = 150
 MIN_PAGE_WORDS = 50
-MAX_CONTENT_CHARS = 150_000
 
 # Prototype sentences of the junk gate.
 JUNK_PROTOTYPES = (
@@ -226,7 +225,6 @@ ENTITY_TYPES = {
 }
 MIN_ENTITY_LENGTH = 2
 MAX_ENTITY_LENGTH = 100
-MAX_ENTITY_TEXT = 100_000
 
 # Elements dropped by the subtractive text extraction.
 BOILERPLATE_TAGS = (

@@ -7,6 +7,8 @@ Python step compares neighbouring windows with the embedder.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,7 +27,6 @@ BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85      　" + "".join(
 )
 # Sentence, window and chunk sizes (tokens are whitespace words).
 MIN_SENTENCE_CHARS = 11
-MAX_BLOCK_CHARS = 100_000
 WINDOW = 3
 MAX_TOKENS = 512
 WORDS_PER_TOKEN = 0.75
@@ -41,23 +42,30 @@ def split_sentences(text: Column) -> Column:
     return F.filter(trimmed, lambda s: F.length(s) >= MIN_SENTENCE_CHARS)
 
 
-def text_blocks(text: str, limit: int = MAX_BLOCK_CHARS) -> list[str]:
-    """Blocks of at most `limit` characters, cut at the last line break or sentence end."""
-    blocks = []
-    while len(text) > limit:
-        cut = text.rfind("\n", 0, limit)
-        if cut == -1:
-            cut = text.rfind(". ", 0, limit)
-        cut = cut if cut > 0 else limit
-        blocks.append(text[:cut])
-        text = text[cut:].lstrip()
-    return [*blocks, text] if text else blocks
+def text_blocks(text: str, limit: int | None = None) -> list[str]:
+    """The text as pieces of at most `limit` characters, or as one without a limit.
 
-
-def model_splitter(load: Callable[[], Callable[[str], list[str]]]) -> Callable[[Column], Column]:
+    Pieces end behind a line break or sentence end wherever one lies in reach, and together are the text.
+    """
+    if limit is None or len(text) <= limit:
+        return [text] if text else []
+    breaks = [m.end() for m in re.finditer(r"\n|[.!?] ", text)]
+    ends, last = [], 0
+    while len(text) - last > limit:
+        reach = bisect_right(breaks, last + limit)
+        near = breaks[reach - 1] if reach else 0
+        last = near if near > last else last + limit
+        ends.append(last)
+    return [text[i:j] for i, j in zip([0, *ends], [*ends, len(text)])]
+
+
+def model_splitter(
+    load: Callable[[], Callable[[str], list[str]]], max_chars: int | None = None
+) -> Callable[[Column], Column]:
     """A splitter backed by a language model: `load` runs once per worker, text -> sentences.
 
-    Long texts reach the model in blocks. Where the model fails the regular expression takes over.
+    The model gets whole texts; one that can't take them gets pieces of `max_chars`, and a sentence without
+    a break in reach is then cut. Where the model fails the regular expression takes over.
     """
     @F.pandas_udf(st.ArrayType(st.StringType()))
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -65,7 +73,7 @@ def model_splitter(load: Callable[[], Callable[[str], list[str]]]) -> Callable[[
 
         def sentences(text: str | None) -> list[str] | None:
             try:
-                found = [s.strip() for block in text_blocks(text or "") for s in model(block)]
+                found = [s.strip() for block in text_blocks(text or "", max_chars) for s in model(block)]
             except Exception:
                 return None
             return [s for s in found if len(s) >= MIN_SENTENCE_CHARS]

@@ -17,6 +17,7 @@ from trailmark.functions import text as T
 from trailmark.functions import vectors as V
 from trailmark.operators import scale
 
+MAX_PROTOTYPES = 10_000
 DEFAULT_DIM = 64
 # Queries whose vectors are shipped to every task; above this the grid join is used.
 MAX_SHIPPED_QUERIES = 20_000
@@ -37,16 +38,28 @@ class Embedder:
     dim: int
     fingerprint: str
 
-    def vector(self, text: Column) -> Column:
-        """array<float> per text."""
+    def vector(self, text: Column, nulls: bool = False, fail_open: bool = False) -> Column:
+        """array<float> per text. A null text is embedded as an empty one or, with `nulls`, has no vector and
+        does not reach the model. With `fail_open` a failing model gives nulls instead of an error."""
         load = self.load
 
+        def vectors_of(model, texts: list[str]) -> list:
+            try:
+                return list(np.asarray(model(texts), dtype=np.float32)) if texts else []
+            except Exception:
+                if fail_open:
+                    return [None] * len(texts)
+                raise
+
         @F.pandas_udf(st.ArrayType(st.FloatType()))
         def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
-                vectors = model([t or "" for t in texts])
-                yield pd.Series(list(np.asarray(vectors, dtype=np.float32)))
+                out = np.full(len(texts), None, dtype=object)
+                wanted = np.flatnonzero(texts.notna()) if nulls else np.arange(len(texts))
+                for place, vector in zip(wanted, vectors_of(model, [texts.iloc[i] or "" for i in wanted])):
+                    out[place] = vector
+                yield pd.Series(out)
 
         return embed.asNondeterministic()(text)
 
@@ -280,11 +293,21 @@ def prototype_gate(
 ) -> DataFrame:
     """Adds `junk_label, junk_margin, is_junk` by comparing each vector with two prototype sets.
 
-    Prototypes are `label, vector` tables of a dozen fixed rows, small enough to travel as literals.
-    A missing or zero-length vector passes.
+    Prototypes are `label, vector` tables of at most MAX_PROTOTYPES rows, usually a dozen, which travel with
+    the tasks. A missing or zero-length vector passes; without prototypes on both sides all do.
     """
-    junk_rows = [(r["label"], [float(x) for x in r["vector"]]) for r in junk.orderBy("label").collect()]
-    content_rows = [[float(x) for x in r["vector"]] for r in content.collect()]
+    def bounded(rows: DataFrame) -> list:
+        found = rows.filter(F.col("vector").isNotNull()).limit(MAX_PROTOTYPES + 1).collect()
+        if len(found) > MAX_PROTOTYPES:
+            raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
+        return found
+
+    junk_rows = sorted((r["label"], [float(x) for x in r["vector"]]) for r in bounded(junk))
+    content_rows = [[float(x) for x in r["vector"]] for r in bounded(content)]
+    if not junk_rows or not content_rows:
+        return vectors.withColumns({
+            "junk_label": F.lit(None).cast("string"), "junk_margin": F.lit(None).cast("double"), "is_junk": F.lit(False),
+        })
     out = st.StructType([
         st.StructField("junk_label", st.StringType()), st.StructField("junk_margin", st.DoubleType())
     ])

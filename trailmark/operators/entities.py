@@ -14,8 +14,8 @@ from trailmark.operators import lexical, scale
 SPAN_TYPE = "array<struct<name:string,label:string>>"
 Recognizer = Callable[[Column], Column]
 
-# Runs of capitalised words, or digit runs.
-NAME_PATTERN = r"\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*|\p{N}+"
+# Runs of capitalised words, or digit runs. Possessive, so that a run of any length takes no stack.
+NAME_PATTERN = r"\p{Lu}[\p{L}\p{N}]*+(?: \p{Lu}[\p{L}\p{N}]*+)*+|\p{N}++"
 
 
 def capitalised_runs(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,12 +22,12 @@ EXTRACTED = st.StructType([
     st.StructField("body", st.StringType()),
 ])
 
-_MARKUP = re.compile(
-    r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_RAW = re.compile(r"<(script|style|noscript|textarea)\b", re.I)
+_RAW_END = {
+    name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "textarea")
+}
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset(
@@ -37,6 +39,90 @@ _DROP_ROLES = frozenset(rules.BOILERPLATE_ROLES)
 _DROP_CLASSES = frozenset(rules.BOILERPLATE_CLASSES)
 
 
+class _TagEnds:
+    """Finds the `>` that ends a tag, quoted values skipped. Answers are kept per quote or `>` met, so
+    that a page is read once however many tags it leaves open."""
+
+    def __init__(self, page: str):
+        self._page, self._known = page, {}
+        self._from, self._stop = 0, -2
+
+    def _next(self, position: int) -> int:
+        if not self._from <= position <= self._stop and not (self._stop == -1 and position >= self._from):
+            found = _STOP.search(self._page, position)
+            self._from, self._stop = position, found.start() if found else -1
+        return self._stop
+
+    def after(self, position: int) -> int:
+        """Position behind the tag's end, or -1."""
+        passed, end = [], None
+        while end is None:
+            stop = self._next(position)
+            if stop == -1:
+                end = -1
+            elif stop in self._known:
+                end = self._known[stop]
+            elif self._page[stop] == ">":
+                end = stop + 1
+            else:
+                passed.append(stop)
+                close = self._page.find(self._page[stop], stop + 1)
+                if close == -1:
+                    end = -1
+                position = close + 1
+        for stop in passed:
+            self._known[stop] = end
+        return end
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, `/` of a closing tag, tag and attributes of all markup. The tag is empty for comments,
+    declarations and elements with raw text, which are taken whole. Reads the page once: a closing mark
+    that was sought in vain is not sought again."""
+    position, ends, missing = 0, _TagEnds(page), set()
+
+    def closed(start: int, mark: str) -> int:
+        found = -1 if mark in missing else page.find(mark, start)
+        if found == -1:
+            missing.add(mark)
+            return -1
+        return found + len(mark)
+
+    while (start := page.find("<", position)) != -1:
+        position = start + 1
+        end = -1
+        if page.startswith("<!--", start):
+            end = closed(start + 4, "-->")
+        elif page[start + 1 : start + 9].upper() == "![CDATA[":
+            end = closed(start + 9, "]]>")
+        if end == -1 and page[start + 1 : start + 2] in ("!", "?"):
+            end = closed(start + 2, ">")
+        if end != -1:
+            yield start, end, "", "", ""
+            position = end
+            continue
+        raw = _RAW.match(page, start)
+        if raw and (opened := ends.after(raw.end())) != -1:
+            close = _RAW_END[raw[1].lower()].search(page, opened)
+            position = close.end() if close else len(page)
+            yield start, position, "", "", ""
+            continue
+        tag = _TAG.match(page, start)
+        if not tag:
+            continue
+        name, behind = tag[2], tag.end()
+        end = ends.after(behind)
+        if end == -1:  # a value may start right behind the name
+            for quote in reversed([i for i, c in enumerate(tag[2]) if c in "\"'"]):
+                end = ends.after(tag.start(2) + quote)
+                if end != -1:
+                    name, behind = tag[2][:quote], tag.start(2) + quote
+                    break
+        if end != -1:
+            yield start, end, tag[1], name, page[behind : end - 1]
+            position = end
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {
         m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)
@@ -65,6 +151,7 @@ def _extract(page: str | None) -> tuple[str, str, str, str, str]:
     page = page or ""
     title = description = author = ""
     stack: list[tuple[str, bool, bool]] = []  # tag, hidden, inside article or main
+    open_tags: Counter[str] = Counter()
     article: list[str] = []
     body: list[str] = []
     title_parts: list[str] | None = None
@@ -84,28 +171,29 @@ def _extract(page: str | None) -> tuple[str, str, str, str, str]:
         elif raw:
             emit(re.sub(r"\s+", " ", html_lib.unescape(raw)))
 
-    for match in _MARKUP.finditer(page):
-        text(page[position:match.start()])
-        position = match.end()
-        if not match["tag"]:
+    for start, end, closing, tag, raw_attributes in _markup(page):
+        text(page[position:start])
+        position = end
+        if not tag:
             continue
-        tag = match["tag"].lower()
-        if match["close"]:
+        tag = tag.lower()
+        if closing:
             if tag == "title" and title_parts is not None:
                 title = re.sub(r"\s+", " ", html_lib.unescape("".join(title_parts))).strip()
                 title_parts, title_done = None, True
                 continue
             if tag in _BLOCK:
                 emit("\n")
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
+            while open_tags[tag]:
+                last = stack.pop()[0]
+                open_tags[last] -= 1
+                if last == tag:
                     break
             continue
         if tag == "title" and not title_done:
             title_parts = []
             continue
-        attrs = _attributes(match["attrs"])
+        attrs = _attributes(raw_attributes)
         if tag == "meta":
             name = attrs.get("name", "").lower()
             if name == "description" and not description:
@@ -114,10 +202,11 @@ def _extract(page: str | None) -> tuple[str, str, str, str, str]:
                 author = attrs.get("content", "")
         if tag in _BLOCK:
             emit("\n")
-        if tag not in _VOID and not match["attrs"].endswith("/"):
+        if tag not in _VOID and not raw_attributes.endswith("/"):
             hidden, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             hidden = hidden or tag == "head" or _is_boilerplate(tag, attrs)
             stack.append((tag, hidden, inside or tag in ("article", "main")))
+            open_tags[tag] += 1
     text(page[position:])
     return title, description, author, _tidy(article), _tidy(body)
 

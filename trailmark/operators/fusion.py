@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,6 +134,11 @@ def one_per_page(hits: DataFrame, k: int) -> DataFrame:
     return scale.top_rows(first.withColumnRenamed("rank", "_rank"), ["query_id"], [F.asc("_rank")], k).drop("_rank")
 
 
+def distinct_references(hits: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """The first hit, by `rank`, of every exact `url` and `keys`; what a list of references shows."""
+    return scale.first_rows(hits, [*keys, "url"], [F.asc("rank")])
+
+
 def best_pages(hits: DataFrame, queries: DataFrame, k: int, scorer: PairScorer = term_coverage) -> DataFrame:
     """Re-rank three times as many hits as asked for, keep one per page, cut to `k`."""
     return one_per_page(rerank(hits, queries, k * OVERFETCH, scorer), k)

@@ -194,17 +194,21 @@ def _clamp(value: Column, low: int, high: int) -> Column:
 
 def export_parts(
     pages: DataFrame, entities: DataFrame, edges: DataFrame,
-    max_pages: int = 200, max_entities: int = 300, max_edges: int = 2000,
+    max_pages: int | None = None, max_entities: int | None = None, max_edges: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Node and link tables of the graph export: newest pages with their sites, top entities, top edges.
+    """Node and link tables of the graph export: pages with their sites, entities, edges between them.
 
-    Groups: 1 people and organisations, 2 other entities, 3 sites, 4 pages.
+    A view for the eye takes the newest pages and the top entities and edges by the three limits; all
+    rows without. Groups: 1 people and organisations, 2 other entities, 3 sites, 4 pages.
     """
-    newest = pages.orderBy(F.desc("last_visited"), F.asc("url")).limit(max_pages).withColumn(
+    def best(rows: DataFrame, limit: int | None, *order: Column) -> DataFrame:
+        return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+    newest = best(pages, max_pages, F.desc("last_visited"), F.asc("url")).withColumn(
         "site", F.coalesce(F.nullif(U.authority(F.col("url")), F.lit("")), F.lit("unknown"))
     )
-    top = entities.orderBy(F.desc("frequency"), F.asc("key")).limit(max_entities)
-    strong = edges.orderBy(F.desc("weight"), F.asc("a"), F.asc("b")).limit(max_edges)
+    top = best(entities, max_entities, F.desc("frequency"), F.asc("key"))
+    strong = best(edges, max_edges, F.desc("weight"), F.asc("a"), F.asc("b"))
 
     sites = newest.select("site").distinct().select(
         F.concat(F.lit("d_"), "site").alias("id"), F.col("site").alias("name"),
@@ -230,8 +234,8 @@ def export_parts(
         F.lit(1.0).alias("value"),
     )
     keys = top.select("key")
-    inside = strong.join(F.broadcast(keys.withColumnRenamed("key", "a")), "a", "left_semi").join(
-        F.broadcast(keys.withColumnRenamed("key", "b")), "b", "left_semi"
+    inside = strong.join(keys.withColumnRenamed("key", "a"), "a", "left_semi").join(
+        keys.withColumnRenamed("key", "b"), "b", "left_semi"
     )
     entity_links = inside.select(
         F.concat(F.lit("e_"), "a").alias("source"), F.concat(F.lit("e_"), "b").alias("target"),

@@ -20,10 +20,11 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """`df` in at least as many partitions as there are cores, for costly work per row.
 
-    Input that already has enough splits is left alone; a lone file is shuffled by `key`.
+    A scan of fewer files than cores is shuffled by `key`; other frames are left alone. The files are
+    counted from the plan, so nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
 
 
 def lookup_join(

@@ -201,8 +201,9 @@ def top_domains(pages: DataFrame, k: int = 10) -> DataFrame:
 # ---- highlights and notes -------------------------------------------------------------------
 
 
-def highlights_latest(highlights: DataFrame, k: int = 500) -> DataFrame:
-    return highlights.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
+def highlights_latest(highlights: DataFrame, k: int | None = None) -> DataFrame:
+    """The newest `k` highlights, or all of them, unordered, without `k`."""
+    return highlights if k is None else highlights.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
 
 
 def delete_highlights(highlights: DataFrame, ids: DataFrame) -> DataFrame:

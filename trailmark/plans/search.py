@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import text as T
 from trailmark.functions import urls as U
-from trailmark.operators import embedding, entities, fusion, lexical, scale
+from trailmark.operators import admission, embedding, entities, fusion, lexical, scale
 from trailmark.operators.embedding import Embedder
 from trailmark.session import materialize
 
@@ -135,7 +135,14 @@ def answer_pages(
     scorer: fusion.PairScorer = fusion.term_coverage,
     **options,
 ) -> DataFrame:
-    """Retrieval, re-ranking and one hit per page: what a question gets back."""
+    """Retrieval, re-ranking and one hit per page: what a question gets back.
+
+    Queries outside the length limits get nothing; `k` must be in TOP_K_RANGE.
+    """
+    low, high = admission.TOP_K_RANGE
+    if not low <= k <= high:
+        raise ValueError(f"k must be from {low} to {high}")
+    queries = admission.valid_queries(queries)
     hits = retrieve(corpus, queries, embedder, as_of, retrieve_k, **options)
     return fusion.best_pages(hits, queries, k, scorer)
 

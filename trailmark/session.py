@@ -60,8 +60,8 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in spark.checkpoint.dir; only when that is unset (tests, a laptop) is a
-    local folder created, once per application.
+    A cluster names it in spark.checkpoint.dir. Only a local master, as in tests, may leave that unset:
+    a local folder is then created, once per application. On a cluster other machines would not see it.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -72,6 +72,8 @@ def scratch_root(spark: SparkSession) -> str:
         return configured
     if jvm_dir.isDefined():
         return jvm_dir.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -21,20 +21,23 @@ def ingest_stream(
     settings: plan.Settings | None = None,
     on_outcomes: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
+    name: str | None = None,
 ) -> StreamingQuery:
     """Runs the ingest job on every micro-batch and commits its tables as one snapshot.
 
-    The snapshot carries the batch number, so a batch that is replayed after a failure is not
-    applied twice. `on_outcomes` gets the outcomes of a batch before it is committed and must
+    The commit record holds the stream (`name`, the checkpoint folder by default) and the batch number, so a
+    batch that is replayed after a failure is not applied twice, and other commits do not count. `on_outcomes` gets the outcomes of a batch before it is committed and must
     overwrite what it wrote for the same number.
     """
+    stream = name or checkpoint
+
     def apply(batch: DataFrame, number: int) -> None:
-        if number in store.committed():
+        if store.applied(stream, number):
             return
         outcomes, tables = plan.ingest(batch, store.load(), settings)
         if on_outcomes is not None:
             on_outcomes(outcomes, number)
-        store.commit(number, tables)
+        store.commit(tables, stream, number)
 
     writer = visits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -52,10 +55,10 @@ def running_skips(skips: DataFrame) -> DataFrame:
     return kept.groupBy("domain", "reason").agg(F.count("*").alias("count"), F.max("ts").alias("last_seen"))
 
 
-def daily_maintenance(store: Snapshots, version: int, as_of: Column, days: int) -> DataFrame:
+def daily_maintenance(store: Snapshots, as_of: Column, days: int) -> DataFrame:
     """The scheduled retention run: commits the tables without expired pages and returns the counts."""
     tables, counts = plan.evict(store.load(), as_of, days)
-    store.commit(version, tables)
+    store.commit(tables)
     return counts
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.functions import rules
 from trailmark.functions import text as T
 from trailmark.functions import times, urls
 from trailmark.operators import extract, scale
@@ -56,7 +55,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with extracted text and the word count of the capture step."""
     return extract.page_text(scale.spread(table(spark, sf_dir, "pages"), "page_id")).withColumn(
-        "word_count", T.content_words(F.substring("content", 1, rules.MAX_CONTENT_CHARS))
+        "word_count", T.content_words(F.col("content"))
     )
 
 
@@ -100,14 +99,11 @@ raw_page AS (
   FROM decoded
 ), page_full AS (
   SELECT *, round(length(content) / n_elements, 2) AS ratio,
-    len(list_filter(regexp_extract_all(left(content, 150000), '[^\s]+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]')))::BIGINT AS word_count
+    len(list_filter(regexp_extract_all(content, '[^\s]+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]')))::BIGINT AS word_count
   FROM page
 )
 """
 
-URL_HOST = r"lower(regexp_replace(regexp_replace({u_authority}, '^.*@', ''), ':\d*$', ''))"
-
-
 def sql_authority(url: str = "url") -> str:
     return rf"regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
 
@@ -132,7 +128,3 @@ def quote(text: str) -> str:
 def sql_terms(text: str) -> str:
     return rf"regexp_extract_all(strip_accents(lower({text})), '[\p{{L}}\p{{N}}]+')"
 
-
-# Texts that carry personal data: the source texts themselves, word counts included.
-def sql_words(text: str) -> str:
-    return rf"len(regexp_extract_all({text}, '[^\s]+'))"

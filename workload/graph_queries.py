@@ -232,7 +232,7 @@ def add_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("source"), b.alias("target")))).alias("p")
     ).select("p.source", "p.target", F.lit(2.0).alias("weight"))
     explicit = pairs.filter(F.col("target").isNotNull())
-    return graph.add_relations(edges, explicit, known).filter(F.col("weight") >= 2)
+    return graph.add_relations(edges, explicit, known)
 
 
 ADD_RELATIONS = rf"""
@@ -241,7 +241,7 @@ p AS (SELECT lower(w[i]) AS s, lower(w[i + 1]) AS t FROM w, unnest(range(1, len(
 n AS (SELECT least(s, t) AS a, greatest(s, t) AS b, 2.0 AS weight FROM p WHERE s <> t AND s <> '' AND t <> ''
   AND s IN (SELECT key FROM ent) AND t IN (SELECT key FROM ent)),
 u AS (SELECT a, b, weight FROM edge UNION ALL SELECT a, b, weight::DOUBLE FROM n)
-SELECT a, b, sum(weight) AS weight FROM u GROUP BY 1, 2 HAVING sum(weight) >= 2
+SELECT a, b, sum(weight) AS weight FROM u GROUP BY 1, 2
 """
 
 
@@ -263,9 +263,9 @@ EXPORT_CTE = f"""
 {ENTITY_CTE},
 pg AS (SELECT d.page_url AS url, 'Document ' || d.doc_id AS title, (length(d.text) % 9)::BIGINT AS visits,
          regexp_extract(d.page_url, '//([^/]*)', 1) AS site
-       FROM doc d JOIN events e ON e.event_id = d.doc_id ORDER BY e.ts DESC, d.page_url LIMIT 200),
-te AS (SELECT * FROM ent ORDER BY frequency DESC, key LIMIT 300),
-tr AS (SELECT * FROM edge ORDER BY weight DESC, a, b LIMIT 2000),
+       FROM doc d JOIN events e ON e.event_id = d.doc_id),
+te AS (SELECT * FROM ent),
+tr AS (SELECT * FROM edge),
 node AS (SELECT DISTINCT 'd_' || site AS id, site AS name, 3 AS "group", 6::BIGINT AS val, NULL::VARCHAR AS url FROM pg
   UNION ALL SELECT 'p_' || url, left(coalesce(nullif(title, ''), url), 60), 4, greatest(1, least(5, visits)), url FROM pg
   UNION ALL SELECT 'e_' || key, name, CASE WHEN entity_type IN ('person', 'organization') THEN 1 ELSE 2 END, greatest(1, frequency), NULL FROM te),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import rules
 from trailmark.functions import text as T
 from trailmark.functions import times, urls
-from trailmark.operators import admission, extract, scale, state
+from trailmark.operators import admission, extract, fusion, scale, state
 from workload import base
 from workload.base import PAGE_CTE, quote, sql_any, sql_authority, sql_base_url, sql_path
 
@@ -69,10 +69,22 @@ SELECT url, base_url, epoch_us(lv) AS last_visited, visit_count FROM n WHERE rn
 """
 
 
+def exact_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, the first visit to every exact URL."""
+    pages = base.table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_no"), "url")
+    visits = base.event_visits(spark, sf_dir, pages).withColumn("rank", F.struct("ts", "event_id"))
+    return fusion.distinct_references(visits, ["user_id"]).select("user_id", "url", "event_id", "event_type")
+
+
+EXACT_REFERENCES = """
+SELECT user_id, p.url, min_by(event_id, (ts, event_id)) AS event_id, min_by(event_type, (ts, event_id)) AS event_type
+FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages) GROUP BY 1, 2
+"""
+
+
 def visit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     visits, _ = admission.split_valid(base.page_visits(spark, sf_dir))
-    kept = visits.withColumn("content", F.substring("content", 1, rules.MAX_CONTENT_CHARS))
-    return kept.filter(F.col("word_count") >= rules.MIN_PAGE_WORDS).select(
+    return visits.filter(F.col("word_count") >= rules.MIN_PAGE_WORDS).select(
         "page_id", "url", "title", "word_count", "text_to_tag_ratio",
         F.length("content").cast("long").alias("content_chars"), F.unix_micros("ts").alias("ts"),
     )
@@ -81,7 +93,7 @@ def visit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 VISIT_RECORDS = f"""
 WITH {PAGE_CTE}
 SELECT p.page_id, p.url, p.title, p.word_count, p.ratio AS text_to_tag_ratio,
-       least(length(content), 150000)::BIGINT AS content_chars, epoch_us(e.ts) AS ts
+       length(content)::BIGINT AS content_chars, epoch_us(e.ts) AS ts
 FROM page_full p JOIN events e ON e.event_id = p.page_id
 WHERE length(p.url) BETWEEN 1 AND 8192 AND length(p.title) <= 2048 AND length(p.content) <= 1000000
   AND p.word_count >= 50
@@ -426,6 +438,7 @@ QUERIES = {
     "url_parts": (url_parts, URL_PARTS),
     "base_url_dedup": (base_url_dedup, BASE_URL_DEDUP),
     "reference_list": (reference_list, REFERENCE_LIST),
+    "exact_references": (exact_references, EXACT_REFERENCES),
     "visit_records": (visit_records, VISIT_RECORDS),
     "visit_rejects": (visit_rejects, VISIT_REJECTS),
     "page_text": (page_text, PAGE_TEXT),

@@ -378,7 +378,7 @@ def _dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.documents(spark, sf_dir).join(base.document_times(spark, sf_dir), "chunk_id")
     return docs.select(
         F.col("page_url").alias("url"), F.col("page_title").alias("title"), "last_visited",
-        F.col("last_visited").alias("last_indexed"), F.substring("text", 1, 200).alias("meta_description"),
+        F.col("last_visited").alias("last_indexed"), F.col("text").alias("meta_description"),
     )
 
 
@@ -388,7 +388,7 @@ def digest_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIGEST = f"""
 WITH p AS (SELECT 'https://' || source || '.example.com/' || lang || '/' || doc_id AS url, 'Document ' || doc_id AS title, ts,
-    left(left(text, 200), 120) AS d FROM documents JOIN events ON event_id = doc_id),
+    left(text, 120) AS d FROM documents JOIN events ON event_id = doc_id),
 r AS (SELECT * FROM p WHERE ts >= TIMESTAMP '2024-01-02'),
 n AS (SELECT count(*) AS n FROM r),
 c AS (SELECT * FROM (SELECT * FROM r ORDER BY ts DESC, url LIMIT 25) UNION ALL

@@ -285,14 +285,14 @@ SELECT p.url, epoch_us(lv) AS last_visited, note FROM p LEFT JOIN a USING (url)
 def _highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.documents(spark, sf_dir).join(base.document_times(spark, sf_dir), "chunk_id")
     return docs.select(
-        F.col("chunk_id").alias("id"), F.substring("text", 1, 2100).alias("text"), F.col("page_url").alias("url"),
+        F.col("chunk_id").alias("id"), "text", F.col("page_url").alias("url"),
         F.col("page_title").alias("title"), F.col("last_visited").alias("created_at"),
         admission.sensitive_reason(F.col("text")).alias("sensitive"),
     )
 
 
 def highlights_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saveable highlights without the deleted ones, newest 500."""
+    """All saveable highlights without the deleted ones."""
     kept = admission.saveable_highlights(_highlights(spark, sf_dir))
     deleted = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     return state.highlights_latest(state.delete_highlights(kept, deleted)).select(
@@ -304,9 +304,9 @@ def _highlight_sql() -> str:
     from workload.page_queries import SENSITIVE_CTE
     return f"""
 WITH {SENSITIVE_CTE}, h AS (SELECT d.doc_id AS id, 'https://' || source || '.example.com/' || lang || '/' || d.doc_id AS url,
-    left(d.text, 2100) AS t, ts FROM documents d JOIN events ON event_id = d.doc_id JOIN judged j ON j.doc_id = d.doc_id WHERE reason IS NULL)
+    d.text AS t, ts FROM documents d JOIN events ON event_id = d.doc_id JOIN judged j ON j.doc_id = d.doc_id WHERE reason IS NULL)
 SELECT id, url, length(t)::BIGINT AS chars, epoch_us(ts) AS created_at FROM h
-WHERE length(trim(t)) BETWEEN 5 AND 2000 AND id NOT IN (SELECT item_id FROM benchmark) ORDER BY ts DESC, id DESC LIMIT 500
+WHERE length(trim(t)) BETWEEN 5 AND 2000 AND id NOT IN (SELECT item_id FROM benchmark)
 """
 
 

@@ -12,7 +12,7 @@ from trailmark.functions import urls as U
 from trailmark.operators import admission, scale
 from trailmark.session import materialize, scratch_root
 from trailmark.sources.tables import Snapshots
-from trailmark.streaming import dwell
+from trailmark.streaming import activity, dwell
 from trailmark.streaming import ingest as streams
 from workload import base, state_queries
 
@@ -107,9 +107,14 @@ FROM events e JOIN funnel f ON f.page_id = e.event_id % (SELECT count(*) FROM pa
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ingest job on a stream of visits: outcome counts, next to the pages it committed."""
+    """The ingest job on a stream of visits in three micro-batches, with a retention run that finds nothing
+    after them: outcome counts, next to what the store holds."""
     folder = _folder(spark)
-    state_queries.full_visits(spark, sf_dir).write.parquet(f"{folder}/visits")
+    visits = materialize(state_queries.full_visits(spark, sf_dir))
+    first, second = visits.agg(F.expr("percentile_approx(ts, array(0.33, 0.67)) AS q")).select("q").first()[0]
+    ts = F.col("ts")
+    for part in (ts <= first, (ts > first) & (ts <= second), ts > second):
+        visits.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/visits")
     from trailmark.sources.tables import stream_visits
 
     def keep(outcomes: DataFrame, number: int) -> None:
@@ -117,19 +122,24 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store = Snapshots(spark, f"{folder}/tables")
     streams.ingest_stream(
-        stream_visits(spark, f"{folder}/visits"), store, f"{folder}/state", on_outcomes=keep
+        stream_visits(spark, f"{folder}/visits", files_per_trigger=1), store, f"{folder}/state", on_outcomes=keep
     ).awaitTermination()
+    streams.daily_maintenance(store, base.as_of(), 36_500)
     outcomes = spark.read.parquet(f"{folder}/outcomes/batch=*")
     counted = outcomes.groupBy("status", "reason").agg(F.count("*").alias("n"))
     pages = store.load()["pages"].agg(
         F.lit("pages").alias("status"), F.lit("stored").alias("reason"), F.count("*").alias("n")
     )
-    return counted.unionByName(pages)
+    visits = store.load()["pages"].agg(
+        F.lit("visits").alias("status"), F.lit("stored").alias("reason"), F.sum("visit_count").alias("n")
+    )
+    return counted.unionByName(pages).unionByName(visits)
 
 
 STREAM_INGEST = f"""
 WITH {state_queries.INGEST_CTE} SELECT status, reason, count(*)::BIGINT AS n FROM outcome GROUP BY 1, 2
 UNION ALL SELECT 'pages', 'stored', count(DISTINCT url) FROM adm
+UNION ALL SELECT 'visits', 'stored', count(*) FROM adm
 """
 
 
@@ -147,7 +157,32 @@ STREAM_REPEATS = """
 SELECT 'https://u' || user_id || '.example.com/' AS url, count(DISTINCT event_type)::BIGINT AS kept FROM events GROUP BY 1
 """
 
+def activity_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per user and day."""
+    found = activity.activity_windows(base.events(spark, sf_dir))
+    return found.select("user_id", F.unix_micros("window_start").alias("window_start"), "n")
+
+
+ACTIVITY_WINDOWS = """
+SELECT user_id, epoch_us(date_trunc('day', ts)) AS window_start, count(*) AS n FROM events GROUP BY 1, 2
+"""
+
+
+def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's events less than six hours apart."""
+    found = activity.sessions(base.events(spark, sf_dir), "6 hours")
+    return found.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
+
+
+ACTIVITY_SESSIONS = """
+WITH e AS (SELECT user_id, ts, ts >= lag(ts) OVER w + INTERVAL 6 HOURS AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, count(*) FILTER (gap) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 6 HOURS) AS session_end, count(*) AS n FROM s GROUP BY user_id, k
+"""
+
 QUERIES = {
+    "activity_windows": (activity_windows, ACTIVITY_WINDOWS),
+    "activity_sessions": (activity_sessions, ACTIVITY_SESSIONS),
     "dwell_batch": (dwell_batch, DWELL),
     "stream_dwell": (stream_dwell, DWELL),
     "stream_skip_stats": (stream_skip_stats, STREAM_SKIPS),
