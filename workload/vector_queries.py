@@ -311,6 +311,30 @@ def merge_and_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MERGE_AND_SPLIT = f"""
+WITH RECURSIVE {SENTENCE_CTE},
+row0 AS MATERIALIZED (SELECT doc_id, idx, words, count(*) OVER (PARTITION BY doc_id) AS n FROM sent),
+fold0 AS (
+  SELECT doc_id, idx, words AS w, words >= 384 AS full_up FROM row0 WHERE idx = 0
+  UNION ALL
+  SELECT m.doc_id, m.idx, CASE WHEN f.full_up THEN 0 ELSE f.w END + m.words,
+    CASE WHEN f.full_up THEN 0 ELSE f.w END + m.words >= 384
+  FROM fold0 f JOIN row0 m ON m.doc_id = f.doc_id AND m.idx = f.idx + 1),
+merge AS MATERIALIZED (SELECT r.doc_id, r.idx, r.words, full_up OR r.idx = r.n - 1 AS is_end FROM row0 r JOIN fold0 USING (doc_id, idx)),
+{RECURSION_ONE},
+seg AS (SELECT doc_id, idx, least(coalesce(sum(closed::INT) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0),
+          greatest(sum(closed::INT) OVER (PARTITION BY doc_id) - 1, 0)) AS seg FROM fold1),
+segw AS MATERIALIZED (SELECT m.doc_id, m.idx, m.words, g.seg, sum(m.words) OVER (PARTITION BY m.doc_id, g.seg) > 150 AS big,
+           row_number() OVER (PARTITION BY m.doc_id, g.seg ORDER BY m.idx) = 1 AS starts
+         FROM merge m JOIN seg g ON g.doc_id = m.doc_id AND g.idx = m.idx),
+{RECURSION_TWO.replace("384", "100")},
+piece AS (SELECT doc_id, idx, sum(new_piece::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS piece FROM fold2),
+ends AS (SELECT doc_id, 0 AS kind, max(idx) + 1 AS e FROM seg GROUP BY doc_id, seg
+         UNION ALL SELECT doc_id, 1, max(idx) + 1 FROM piece GROUP BY doc_id, piece)
+SELECT doc_id AS chunk_id, string_agg(e::VARCHAR, ',' ORDER BY e) FILTER (kind = 0) AS segment_ends,
+  string_agg(e::VARCHAR, ',' ORDER BY e) FILTER (kind = 1) AS piece_ends FROM ends GROUP BY 1
+"""
+
 QUERIES = {
     "hash_embed": (hash_embed, HASH_EMBED),
     "vector_topk": (vector_topk, VECTOR_TOPK),
@@ -325,5 +349,5 @@ QUERIES = {
     "sentence_windows": (sentence_windows, WINDOWS),
     "breakpoints": (breakpoints, BREAKPOINTS),
     "chunks": (chunks, CHUNKS),
-    "merge_and_split": (merge_and_split, None),
+    "merge_and_split": (merge_and_split, MERGE_AND_SPLIT),
 }
