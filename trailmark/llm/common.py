@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,9 +78,25 @@ class BoundedCache(dict):
         return value
 
 
+#: Folders that `cut` wrote in this process, oldest first.
+WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back."""
-    return session.materialize(df)
+    spark = df.sparkSession
+    path = f"{session.scratch_root(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that `cut` wrote. Only for when no result that was not written yet reads them."""
+    jvm = spark._jvm
+    for text in paths:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ AGREEING = 74
 BLOCK_SHINGLES = 2_000_000
 #: Documents compared at once inside a node.
 NODE_BLOCK = 8192
-_WORDS_HELD = 300_000
+_WORDS_HELD = 150_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(17)
