@@ -1,8 +1,6 @@
 """The pipeline's stages, one after the other, against plain models."""
 
-import zlib
 
-import numpy as np
 
 import corpus_pipeline
 from tests.llm.edge import documents, write
