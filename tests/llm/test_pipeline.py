@@ -1,7 +1,5 @@
 """The pipeline's stages, one after the other, against plain models."""
 
-
-
 import corpus_pipeline
 from tests.llm.edge import documents, write
 from tests.llm.test_native_operators import plain_base
