@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.edge import ROWS, documents
 from trailmark.llm import common, near, substrings, suffixes, vectors
@@ -86,6 +87,20 @@ def test_near_with_branching_and_blocks(spark, monkeypatch):
     assert near_result(spark, rows) == plain_near(rows)
 
 
+def test_all_blocks_of_a_large_node_meet(spark, monkeypatch):
+    monkeypatch.setattr(near, "DEPTH", 1)
+    monkeypatch.setattr(near, "NODE_BLOCK", 4)
+    rnd, rows = np.random.default_rng(3), []
+    for pair in range(30):
+        tokens = rnd.integers(0, 1 << 32, near.COORDINATES, dtype=np.uint32)
+        for copy in range(2):
+            tokens[:20] = rnd.integers(0, 1 << 32, 20, dtype=np.uint32)
+            rows.append((2 * pair + copy, bytearray(tokens.tobytes()), [5]))
+    classes = spark.createDataFrame(rows, "id long, tokens binary, nodes array<long>")
+    got = {r["id"]: r["grp"] for r in near.candidate_groups(classes).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_near_edges(spark):
     assert near_result(spark, ROWS) == plain_near(ROWS)
     assert near.similar(documents(spark, ROWS).filter("false")).count() == 0

@@ -10,8 +10,9 @@ similar is gathered in candidate groups, and links inside them are decided on th
 Documents with equal sets are one class and travel once. Comparisons stop where they could only link
 what is linked already: every document outside the largest cluster of its group is compared with all
 others, so no link between clusters is missed and a group of near copies costs one round, not all
-pairs. Groups beyond BLOCK_SHINGLES are cut into blocks of that size; cluster heads, then all
-documents outside the largest cluster, visit the other blocks.
+pairs. Nodes beyond NODE_BLOCK and groups beyond BLOCK_SHINGLES are cut into blocks of that size;
+cluster heads, then all documents outside the largest cluster, are dealt into blocks of that size too,
+and each of these meets each other block in a task of its own.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ SMALL = 128
 #: Tokens that must agree for a candidate: about 4.5 standard deviations below the mean at PERCENT.
 AGREEING = 74
 BLOCK_SHINGLES = 2_000_000
-#: Documents compared at once inside a node.
+#: Documents of a block of a node.
 NODE_BLOCK = 8192
 _WORDS_HELD = 150_000
 
@@ -147,13 +148,20 @@ def _clustered(n: int, size_of: np.ndarray, links_of: Callable[[int], np.ndarray
 
 
 def _node_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links `a, b` so that all documents of a node that may be similar are connected."""
+    """Links `a, b` so that all documents of a block of a node that may be similar are connected, or, at
+    a `visit`, each visitor (`guest`) with the block's own."""
     names = ["a", "b"]
-    for group in common.groups(batches, 2):
+    for group in common.groups(batches, 3):
         n = group.num_rows
-        values, _ = common.lists(group.column(3), np.uint8)
+        values, _ = common.lists(group.column(4), np.uint8)
         tokens = values.reshape(n, COORDINATES)
-        ids = group.column(2).to_numpy()
+        ids = group.column(3).to_numpy()
+        guest = group.column(5).to_numpy(zero_copy_only=False)
+        if group.column(2)[0].as_py() >= 0:
+            yield from _visitor_links(
+                ids, guest, lambda p: np.flatnonzero(np.count_nonzero(tokens == tokens[p], axis=1) >= AGREEING)
+            )
+            continue
         if n <= 32:
             close = np.count_nonzero(tokens[:, None] == tokens[None], axis=2) >= AGREEING
             i, j = np.nonzero(np.triu(close, 1))
@@ -169,6 +177,20 @@ def _node_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.record_batch([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=names)
 
 
+def _visitor_links(ids: np.ndarray, guest: np.ndarray, links_of: Callable[[int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Links `a, b` that connect each visitor with those of the block's own it is linked with: one with
+    each cluster that former links have made of these."""
+    label = np.arange(len(ids))
+    for i in np.flatnonzero(guest):
+        met = links_of(i)
+        met = met[~guest[met]]
+        _, first = np.unique(label[met], return_index=True)
+        if len(first):
+            ends = met[first]
+            label[np.isin(label, label[np.append(ends, i)])] = label[i]
+            yield pa.record_batch([pa.array(np.full(len(ends), ids[i])), pa.array(ids[ends])], names=["a", "b"])
+
+
 class _Sets:
     """The full sets of a group, for intersections of one with all."""
 
@@ -209,6 +231,51 @@ def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
 
+def _linked(rows: DataFrame, compare) -> DataFrame:
+    """Links `a, b` that `compare` finds among `grp, block, visit, id, own, guest`."""
+    columns = ["grp", "block", "visit", "id", "own", "guest"]
+    return common.hosted(rows.select(*columns), columns[:3]).mapInArrow(compare, "a long, b long")
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """Rows of blocks without visitors."""
+    return rows.withColumn("visit", F.lit(-1)).withColumn("guest", F.lit(False))
+
+
+def _across(links: DataFrame, large: DataFrame, limit: int, compare) -> DataFrame:
+    """`links` and those that connect what is linked between the blocks of each group of `large` (`grp,
+    id, block, blocks, size, own`, written), where `links` connect what is linked inside the blocks.
+
+    Visitors are dealt into blocks of about `limit` by their `size`, so a task holds two such blocks.
+    """
+    for heads_only in (True, False):
+        at = large.select("grp", "id", "size").join(common.components(links), "id", "left").withColumn(
+            "component", F.coalesce("component", "id")
+        )
+        if heads_only:
+            heads = at.groupBy("grp", "component").agg(F.min(F.struct("id", "size")).alias("h"))
+            guests = heads.select("grp", "h.id", "h.size")
+        else:
+            counts = at.groupBy("grp", "component").agg(F.count("*").alias("n"))
+            main = counts.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("m")).select("grp", F.col("m.component").alias("main"))
+            guests = at.join(main, "grp").filter(F.col("component") != F.col("main")).select("grp", "id", "size")
+        guests = common.cut(guests)
+        visits = guests.groupBy("grp").agg(F.ceil(F.sum("size") / limit).cast("int").alias("visits"))
+        dealt = guests.select("grp", "id").join(visits, "grp").select(
+            "grp", "id", F.pmod(F.xxhash64("id", F.lit(1)), F.col("visits")).cast("int").alias("visit")
+        )
+        hosts = large.join(visits, "grp").withColumn("visit", F.explode(F.sequence(F.lit(0), F.col("visits") - 1)))
+        visitors = large.join(dealt, ["grp", "id"]).withColumn(
+            "block", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")))
+        )
+        columns = ["grp", "block", "visit", "id", "own", "guest"]
+        both = hosts.withColumn("guest", F.lit(False)).select(*columns).unionByName(
+            visitors.withColumn("guest", F.lit(True)).select(*columns)
+        )
+        links = common.cut(links.unionByName(_linked(both, compare)))
+    return links
+
+
 def _nodes(classes: DataFrame) -> DataFrame:
     """`node, id` of all nodes to compare, with at least two documents each."""
     rows, done = classes.select(F.explode("nodes").alias("node"), "id"), None
@@ -234,11 +301,16 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
         return pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in each], pa.binary())], names=["id", "tokens"])
 
     brief = classes.select("id", "tokens").mapInArrow(common.per_batch(short), "id long, tokens binary")
-    # Large nodes are cut at random, anew in every tree; what a cut parts meets in the others.
-    cut_at = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("n") / NODE_BLOCK)).cast("int")
-    met = _nodes(classes).withColumn("part", cut_at).join(brief, "id").select("node", "part", "id", "tokens")
-    links = common.hosted(met, ["node", "part"]).mapInArrow(_node_candidates, "a long, b long")
-    return common.components(common.cut(links.distinct())).withColumnRenamed("component", "grp")
+    blocks = F.ceil(F.col("n") / NODE_BLOCK).cast("int")
+    placed = _nodes(classes).select(
+        F.col("node").alias("grp"), "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "node"), blocks).cast("int").alias("block"),
+        F.lit(1).alias("size"),
+    )
+    met = placed.join(brief.withColumnRenamed("tokens", "own"), "id")
+    links = common.cut(_linked(_alone(met), _node_candidates).distinct())
+    if not placed.filter(F.col("blocks") > 1).isEmpty():
+        links = _across(links, common.cut(met.filter(F.col("blocks") > 1)), NODE_BLOCK, _node_candidates)
+    return common.components(links).withColumnRenamed("component", "grp")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
