@@ -101,6 +101,26 @@ def test_all_blocks_of_a_large_node_meet(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(60)}
 
 
+def test_a_task_holds_two_blocks_of_a_group(spark, monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(44)) for _ in range(40)]
+    rows = [(i, texts[i // 2] + (" end" if i % 2 else "")) for i in range(80)]  # 40 shingles, or 41
+    docs = spark.createDataFrame(rows, "id long, text string")
+    members = near.sketches(docs).select("id", "digest", "n_shingles", F.lit(0).cast("long").alias("grp"))
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 400)
+    held, hosted = [], common.hosted
+
+    def spy(df, keys, *more):
+        if "own" in df.columns:
+            held.append(df.groupBy(*keys).agg((F.sum(F.length("own")) / 8).alias("n")).agg(F.max("n")).first()[0])
+        return hosted(df, keys, *more)
+
+    monkeypatch.setattr(common, "hosted", spy)
+    got = {r["id"]: r["component"] for r in common.components(near.exact_links(docs, members)).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+    assert len(held) > 1 and max(held) < 4 * near.BLOCK_SHINGLES
+
+
 def test_near_edges(spark):
     assert near_result(spark, ROWS) == plain_near(ROWS)
     assert near.similar(documents(spark, ROWS).filter("false")).count() == 0

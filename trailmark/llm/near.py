@@ -213,22 +213,20 @@ class _Sets:
 
 def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links `a, b` that connect what is linked in each block of a group: all of its documents, or,
-    if visitors (`guest`) are among them, each visitor with the block's own."""
-    for group in common.groups(batches, 2):
-        ids = group.column(2).to_numpy()
-        guest = group.column(4).to_numpy(zero_copy_only=False)
+    at a `visit`, each visitor (`guest`) with the block's own."""
+    for group in common.groups(batches, 3):
+        ids = group.column(3).to_numpy()
+        guest = group.column(5).to_numpy(zero_copy_only=False)
         if len(ids) < 2:
             continue
-        sets = _Sets(*common.lists(group.column(3), _U))
-        if guest.any():
-            pairs = [(i, j) for i in np.flatnonzero(guest) for j in sets.linked(i) if not guest[j]]
-            a, b = np.array(pairs, np.int64).reshape(-1, 2).T
-        else:
-            label = _clustered(len(ids), np.ones(len(ids)), sets.linked)
-            a = np.flatnonzero(label != np.arange(len(ids)))
-            b = label[a]
+        sets = _Sets(*common.lists(group.column(4), _U))
+        if group.column(2)[0].as_py() >= 0:
+            yield from _visitor_links(ids, guest, sets.linked)
+            continue
+        label = _clustered(len(ids), np.ones(len(ids)), sets.linked)
+        a = np.flatnonzero(label != np.arange(len(ids)))
         if len(a):
-            yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+            yield pa.record_batch([pa.array(ids[a]), pa.array(ids[label[a]])], names=["a", "b"])
 
 
 def _linked(rows: DataFrame, compare) -> DataFrame:
@@ -344,49 +342,29 @@ def exact_links(texts: DataFrame, members: DataFrame) -> DataFrame:
     weight = members.groupBy("grp").agg(F.sum("n_shingles").alias("total"))
     blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
     placed = members.join(weight, "grp").select(
-        "id", "digest", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")
+        "id", "digest", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"),
+        F.col("n_shingles").alias("size"),
     )
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = _word_hashes()
-        names = ["grp", "block", "id", "own", "blocks"]
+        names = ["grp", "block", "id", "own", "blocks", "size"]
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            own = [shingles(text, word_hash).tobytes() for text in batch.column(5).to_pylist()]
-            keep = [d == xxhash.xxh3_128_digest(o) for d, o in zip(batch.column(4).to_pylist(), own)]
-            out = pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.binary()), batch.column(3)], names=names)
+            own = [shingles(text, word_hash).tobytes() for text in batch.column(6).to_pylist()]
+            keep = [d == xxhash.xxh3_128_digest(o) for d, o in zip(batch.column(5).to_pylist(), own)]
+            out = pa.record_batch([*batch.columns[:3], pa.array(own, pa.binary()), *batch.columns[3:5]], names=names)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    sets = placed.join(texts, "id").select("grp", "block", "id", "blocks", "digest", "text").mapInArrow(
-        full, "grp long, block int, id long, own binary, blocks int"
-    ).withColumn("guest", F.lit(False))
-    columns = ["grp", "block", "id", "own", "guest"]
-    large = placed.filter(F.col("blocks") > 1)
-    several = not large.isEmpty()
+    sets = placed.join(texts, "id").select("grp", "block", "id", "blocks", "size", "digest", "text").mapInArrow(
+        full, "grp long, block int, id long, own binary, blocks int, size long"
+    )
+    several = not placed.filter(F.col("blocks") > 1).isEmpty()
     if several:
         sets = common.cut(sets)
-
-    def linked(rows: DataFrame) -> DataFrame:
-        return common.hosted(rows.select(*columns), ["grp", "block"]).mapInArrow(_set_links, "a long, b long")
-
-    links = common.cut(linked(sets))
+    links = common.cut(_linked(_alone(sets), _set_links))
     if not several:
         return links
-    hosts = sets.filter(F.col("blocks") > 1)
-    for heads_only in (True, False):
-        at = large.select("id", "grp").join(common.components(links), "id", "left").withColumn(
-            "component", F.coalesce("component", "id")
-        )
-        if heads_only:
-            guests = at.filter(F.col("id") == F.col("component"))
-        else:
-            counts = at.groupBy("grp", "component").agg(F.count("*").alias("n"))
-            main = counts.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("m")).select("grp", F.col("m.component").alias("main"))
-            guests = at.join(main, "grp").filter(F.col("component") != F.col("main"))
-        visits = hosts.join(guests.select("id"), "id", "left_semi").withColumn(
-            "block", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")))
-        ).withColumn("guest", F.lit(True))
-        links = common.cut(links.unionByName(linked(hosts.unionByName(visits))))
-    return links
+    return _across(links, sets.filter(F.col("blocks") > 1), BLOCK_SHINGLES, _set_links)
 
 
 def op4_near(spark, sf_dir):
