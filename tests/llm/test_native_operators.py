@@ -131,6 +131,23 @@ def test_conversations_with_nulls_and_ties(spark, tmp_path):
     assert not groups
 
 
+def test_sample_keeps_common_vectors_and_rare_kinds(spark):
+    rows = spark.range(60000).select(
+        F.when(F.col("id") < 40, 1.0).otherwise(0.0).alias("kind"), (F.col("id") % 7).cast("double").alias("a"),
+        F.when(F.col("id") < 58000, 0.0).otherwise(F.col("id").cast("double")).alias("b"), (F.col("id") % 7 > 2).cast("double").alias("y"),
+    )
+    sample = boost.weighted(rows, ["y", "kind"], 1000)
+    got = {(r["kind"], r["a"]): r["w"] for r in sample.filter("b = 0").groupBy("kind", "a").agg(F.sum("_weight").alias("w")).collect()}
+    true = {(r["kind"], r["a"]): r["n"] for r in rows.filter("b = 0").groupBy("kind", "a").agg(F.count("*").alias("n")).collect()}
+    assert got == true and len(true) == 14
+    assert sample.count() <= 1000
+    assert 0.5 < sample.filter("b > 0").agg(F.sum("_weight")).first()[0] / 2000 < 2
+    few = rows.filter("b = 0")
+    model = boost.fit(few, ["kind", "a"], "y", 20, strata=("kind",))
+    values = {c: F.col(c) for c in ("kind", "a")}
+    assert few.filter((model.probability(values) > 0.5).cast("double") != F.col("y")).count() == 0
+
+
 # ---- personal data ----------------------------------------------------------------------------
 
 BASE = {

@@ -15,6 +15,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.llm import common
+
 _SPLIT = re.compile(r"\s*If \(feature (\d+) <= ([^)]+)\)")
 _LEAF = re.compile(r"\s*Predict: (\S+)")
 
@@ -63,17 +65,42 @@ def bounded_sample(rows: DataFrame, n: int, limit: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int(limit / n * (1 << 30)))
 
 
-def fit(rows: DataFrame, features: Sequence[str], label: str, limit: int, trees: int = 10, depth: int = 3) -> Model:
-    """Fits on at most about `limit` rows. With one label only, or no row, the model is a constant:
-    that label's value, or 0."""
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("int")).count().collect() if r[0] is not None}
-    if len(counts) < 2:
-        return Model(tuple(features), (), float(next(iter(counts), 0)))
-    sample = bounded_sample(rows.select(*features, F.col(label).cast("double").alias("_label")), sum(counts.values()), limit)
+def weighted(rows: DataFrame, strata: Sequence[str], limit: int) -> DataFrame:
+    """About `limit` at most of the distinct `rows`, with a `_weight` so that they stand for all rows.
+
+    Of each stratum as many are taken as its share of `limit` allows; small strata leave theirs to the
+    others. A row stays in with a probability in proportion to how often it occurs, at most 1, by a
+    hash, and weighs that often divided by the probability: what is common is never left out.
+    """
+    distinct = common.cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")))
+    sizes = distinct.groupBy(*strata).agg(F.sum("_n").alias("_rows")).collect()  # kinds and labels, a few
+    left, chance = limit, F.lit(1.0)
+    for k, r in enumerate(sorted(sizes, key=lambda r: r["_rows"])):
+        share = min(r["_rows"], left / (len(sizes) - k))
+        left -= share
+        here = F.lit(True)
+        for name in strata:
+            here = here & F.col(name).eqNullSafe(F.lit(r[name]))
+        chance = F.when(here, F.least(F.lit(1.0), F.col("_n") * (share / r["_rows"]))).otherwise(chance)
+    drawn = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < chance * (1 << 30)
+    return distinct.filter(drawn).withColumn("_weight", F.col("_n") / chance).drop("_n")
+
+
+def fit(rows: DataFrame, features: Sequence[str], label: str, limit: int, trees: int = 10, depth: int = 3,
+        strata: Sequence[str] = ()) -> Model:
+    """Fits on at most about `limit` distinct rows, weighted to stand for all, in strata by label and
+    the features `strata`. With one label only, or no row, the model is a constant: that label's value,
+    or 0."""
+    known = rows.select(*features, F.col(label).cast("double").alias("_label")).filter(F.col("_label").isNotNull())
+    sample = common.cut(weighted(known, ["_label", *strata], limit))
+    labels = [r[0] for r in sample.select("_label").distinct().collect()]
+    if len(labels) < 2:
+        return Model(tuple(features), (), float(next(iter(labels), 0)))
     vectors = VectorAssembler(inputCols=list(features), outputCol="_features").transform(sample)
     fitted = GBTClassifier(
-        featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1
-    ).fit(vectors.select("_features", "_label"))
+        featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=trees, maxDepth=depth, seed=7,
+        checkpointInterval=-1,
+    ).fit(vectors.select("_features", "_label", "_weight"))
     found, lines = [], iter(fitted.toDebugString.splitlines()[1:])
     for line in lines:
         weight = re.match(r"\s*Tree \d+ \(weight ([^)]+)\)", line)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import boost, common
 
-#: Candidates the trees are fitted on at most.
+#: Distinct vectors of candidates the trees are fitted on at most, about.
 TRAINING_ROWS = 50_000
 #: Share of right candidates that an accepted score must promise, and steps of the score scale.
 PRECISION, STEPS = 0.95, 50
@@ -168,7 +168,7 @@ def fit(rows: DataFrame, training_rows: int = TRAINING_ROWS) -> tuple[boost.Mode
     """The trees and, per generator, the least score from which on at least PRECISION of the decided
     candidates are right; a generator without such a score adds nothing."""
     decided = rows.select(F.explode("_candidates").alias("c")).select("c.*").filter(F.col("label").isNotNull())
-    model = boost.fit(decided, FEATURES, "label", training_rows)
+    model = boost.fit(decided, FEATURES, "label", training_rows, strata=("address", "number"))
     score = model.probability({f: F.col(f) for f in FEATURES})
     steps = decided.groupBy("kind", F.floor(score * STEPS).cast("int").alias("step")).agg(
         F.count("*").alias("n"), F.sum("label").alias("right")
