@@ -214,3 +214,12 @@ def test_scores_add_keys(spark):
     assert out.columns == documents(spark, rows).columns
     assert out.filter("doc_id < 100 AND text NOT LIKE '%[KEY]%'").count() == 0
     assert out.filter("n_chars <> length(text)").count() == 0
+
+
+def test_cued_national_numbers_are_found(spark):
+    rows = [(i, f"reach us at tel. (030) 1234-56{i:02} today", "en") for i in range(60)]
+    rows += [(100 + i, f"sold 12345{i:02} pieces on 2024-01-{i % 28 + 1:02} to us", "en") for i in range(60)]
+    rows += [(200, "my SSN 123-45-6789 is here", "en")]
+    for r in pii.detected(documents(spark, rows)).collect():
+        found = [r["text"][s["start"] : s["end"]] for s in r["spans"]]
+        assert found == ([f"030) 1234-56{r['doc_id']:02}"] if r["doc_id"] < 100 else ["123-45-6789"] if r["doc_id"] == 200 else [])

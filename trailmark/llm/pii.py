@@ -2,8 +2,8 @@
 
 Base patterns with checks (email, ip, card, phone) always count. Generators of high recall propose
 further spans, which may overlap: address-like, number-like and key-like strings. Boosted trees score a
-candidate by its format and context; they learn from candidates that a base check or a telling cue
-decides. A threshold per generator is calibrated on the scores of those, and what reaches it is
+candidate by its format and context; they learn from candidates that a base check, a telling cue
+or, for numbers, telling counter-evidence (dates, counts, failed checks) decides. A threshold per generator is calibrated on the scores of those, and what reaches it is
 added.
 """
 
@@ -38,6 +38,10 @@ _CUES = {
     "number": r"(?i)(tel|phone|call|fax|mobil|card|visa|iban|ssn|ip)\W",
     "key": r"(?i)(token|key|secret|password|credential)\W",
 }
+# Not a number of a person, whatever stands before: dates and years, digits that no card has.
+_NO_NUMBER = r"^(?:(?:1[0-9]|20)[0-9]{2}([.-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([.-])[01]?[0-9]\2(?:1[0-9]|20)[0-9]{2}|(?:1[0-9]|20)[0-9]{2}-(?:1[0-9]|20)[0-9]{2})$"
+# Counts, decimals and versions, unless a cue stands before.
+_PLAIN_NUMBER = r"^(?:[0-9]+|[0-9]+(?:\.[0-9]+)+|[0-9]{1,3}(?: [0-9]{3})+)$"
 _KNOWN_KEY = r"^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk-|glpat-|AIza)"
 SPAN = "array<struct<kind: string, start: bigint, end: bigint>>"
 FEATURES = ("chars", "digits", "uppers", "lowers", "distinct", "breaks", "joined", "cue", "address", "number")
@@ -108,6 +112,7 @@ def _features(kind: str, x: Column) -> Column:
 
     n = F.length(text).cast("double")
     cue = x["before"].rlike(_CUES[kind])
+    joined = x["before"].rlike(r"[\p{L}\p{N}]$") | x["after"].rlike(r"^[\p{L}\p{N}]")
     if kind == "address":
         label = F.when(text.rlike("^" + BASE["email"] + "$"), 1)
         base = text.rlike("^" + BASE["email"] + "$")
@@ -115,7 +120,10 @@ def _features(kind: str, x: Column) -> Column:
         base = F.lit(False)
         for name in ("ip", "card", "phone"):
             base = base | (text.rlike("^(?:" + BASE[name] + ")$") & passes(name, text))
-        label = F.when(base, 1).otherwise(0)
+        n_digits = F.length(_digits(text))
+        quad = text.rlike("^(?:" + BASE["ip"] + ")$")
+        against = text.rlike(_NO_NUMBER) | (n_digits >= 16) | quad | joined | (~cue & text.rlike(_PLAIN_NUMBER))
+        label = F.when(base, 1).when(against, 0).when(cue, 1)
     else:
         base = F.lit(False)
         known = text.rlike(_KNOWN_KEY) | cue
