@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators: name -> (query, check SQL or None)."""
 
-from trailmark.llm import bpe, chat, exact, language, near, packing, pii, substrings, urls, vectors
+from trailmark.llm import bpe, chat, exact, hosts, language, manifest, near, packing, pii, scan, substrings, urls, vectors
 from trailmark.session import ship_package
 
 _QUERIES = {
@@ -14,6 +14,9 @@ _QUERIES = {
     "op8_packing": (packing.op8_packing, None),
     "op9_vectors": (vectors.op9_vectors, vectors.OP9_SQL),
     "op10_language": (language.op10_language, None),
+    "op11_hosts": (hosts.op11_hosts, hosts.OP11_SQL),
+    "op12_manifest": (manifest.op12_manifest, manifest.OP12_SQL),
+    "op13_scan": (scan.op13_scan, scan.OP13_SQL),
 }
 
 
