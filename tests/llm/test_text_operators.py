@@ -208,12 +208,10 @@ def test_bpe_frames(spark, encoders):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_path())
 
 
-WORDY = st.sampled_from(["The", "cat", ",", ". ", " ", "\n", "é", "İ", "Σ", "'s", "12", "́", "x" * 40, "日本", "\x1c", "…", "Ǆ"])
+WORDY = st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "!?", ".%%%", "The", "cat", ",", ". ", " ", "\n", "é", "İ", "Σ", "'s", "12", "́", "x" * 40, "日本", "\x1c", "…", "Ǆ"])
 
 
 @given(st.one_of(st.text(max_size=60), st.lists(WORDY, max_size=30).map("".join)))
@@ -223,6 +221,12 @@ def test_words_equal_tokenizer(tokenizer, text):
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["x <|startoftext|> y", "a<|endoftext|>b, <|endoftext|>.", "don't!'s", "Große, ÉTÉ. ǅ İx"])
+def test_special_strings_are_special_tokens(tokenizer, text):
+    got = np.frombuffer(next(packing.word_encoder(packing.default_path()).encode_all([text])), "<u4").tolist()
+    assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_loses_nothing(spark, tokenizer):
     docs = documents(spark, ROWS)
     pieces = packing.pack(docs, window=64, with_ids=True).collect()
