@@ -4,7 +4,7 @@ import corpus_pipeline
 from tests.llm.edge import documents, write
 from tests.llm.test_native_operators import plain_base
 from tests.llm.test_pair_operators import copies, plain_near
-from trailmark.llm import language, packing
+from trailmark.llm import exact, language, near, packing
 
 
 def test_pipeline(spark, tmp_path):
@@ -53,3 +53,27 @@ def test_pipeline(spark, tmp_path):
 def test_known_languages_are_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert language.keep_identified(spark, docs, None).count() == docs.count()
+
+
+def test_stages_drop_rows_and_not_ids(spark):
+    """Ids that repeat or are null: a text never goes because of the id of another row."""
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _row string").repartition(3)
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns
+        return sorted(((r[0], r[1]) for r in out.collect()), key=str)
+
+    rows = [(7, "x"), (7, "y"), (9, "X"), (None, "x"), (None, "z"), (7, "y"), (None, None), (3, "")]
+    assert left(exact.keep_last_copy, rows) == sorted([(7, "y"), (9, "X"), (None, "z"), (3, "")], key=str)
+    assert left(exact.keep_last_copy, []) == []
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (7, a), (7, b), (None, a + " end"), (8, b + " end"), (None, "only one"), (7, None), (7, "")]
+    assert left(near.keep_one_of_group, rows) == sorted([(1, a), (7, b), (None, "only one"), (7, None), (7, "")], key=str)
+    assert left(near.keep_one_of_group, []) == []
+
+
+def test_language_stage_keeps_clashing_columns(spark):
+    rows = [(i, "the cat and the dog and the owl", "en", "a", 1.0) for i in (1, 1, None)] + [(4, "12 34", "en", "a", 1.0), (5, None, "en", "a", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = language.keep_identified(spark, docs, None)
+    assert got.columns == docs.columns and sorted((tuple(r) for r in got.collect()), key=str) == sorted(rows[:3], key=str)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,6 +47,28 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(begin, rows)
 
 
+def release() -> None:
+    """Gives freed memory back: worker processes outlive their tasks, and an executor holds several."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A mapInArrow function that gives memory back when its task has ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A mapInArrow function that turns one batch into one batch, a few hundred rows at a time."""
 
@@ -54,7 +78,7 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
             if out is not None and out.num_rows:
                 yield out
 
-    return run
+    return releasing(run)
 
 
 class BoundedCache(dict):
@@ -82,6 +106,18 @@ class BoundedCache(dict):
 WRITTEN: list[str] = []
 
 
+def ids_are_keys(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether no id is null or repeats."""
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    return ids.filter((F.col("n") > 1) | F.col("id").isNull()).isEmpty()
+
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number of its own for every row, written so that it never changes, and that column's name."""
+    name = unused("_row", docs.columns)
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back."""
     spark = df.sparkSession

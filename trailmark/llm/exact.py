@@ -132,6 +132,15 @@ FROM d
 
 
 def keep_last_copy(spark, docs, sf_dir):
-    """Pipeline stage: of equal texts, the document with the largest id."""
-    gone = duplicates(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti")
+    """Pipeline stage: one row of each group of equal texts (A-Z lower-cased; null is empty), the one with the
+    largest id, and any one of those where that id repeats; a null id is less than all others.
+
+    Rows are dropped, not ids: a text stays even if its id is that of a dropped row. All columns are kept.
+    """
+    if common.ids_are_keys(docs):
+        gone = duplicates(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti")
+    rows, row = common.with_row(docs)
+    keyed = rows.select(F.struct(F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("key"), "text")
+    gone = duplicates(keyed, "key").filter(~F.col("kept")).select(F.col("id.row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

@@ -92,7 +92,7 @@ def profiles(labelled: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
     """
     counted = (
         labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-        .mapInArrow(_count_languages, "lang string, gram long, n long")
+        .mapInArrow(common.releasing(_count_languages), "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     return scale.top_rows(counted, ["lang"], [F.desc("n"), F.asc("gram")], size).select("lang", "gram", "rank")
@@ -131,19 +131,20 @@ def identify(docs: DataFrame, learned: DataFrame, size: int = PROFILE_SIZE, text
         return langs[best], 1 - float(apart[best]) / (size * len(own))
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    text_name = common.unused("_text", kept)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            found = [predict(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch(
-                [*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=[*kept, "lang_pred", "score"],
-            )
+    sent = docs.select(*kept)
+    if text_col not in kept:
+        sent = sent.withColumn(common.unused("_text", kept), F.col(text_col))
+    at = kept.index(text_col) if text_col in kept else len(kept)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [predict(text) for text in batch.column(at).to_pylist()]
+        return pa.record_batch(
+            [*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+            names=[*kept, "lang_pred", "score"],
+        )
 
     schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return docs.select(*kept, F.col(text_col).alias(text_name)).mapInArrow(run, schema)
+    return sent.mapInArrow(common.per_batch(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -163,7 +164,13 @@ def op10_language(spark, sf_dir):
 
 
 def keep_identified(spark, docs, sf_dir):
-    """Pipeline stage: documents whose language is known with a score of MIN_SCORE or more."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    out = identify(rows, learn(docs))
-    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
+    """Pipeline stage: documents whose language is known with a score of MIN_SCORE or more.
+
+    A null text, or one without a letter, has no language and goes. Rows that repeat are judged alike, a null
+    id as any other; all columns are kept, whatever their names.
+    """
+    # Numbered names cannot clash with the new columns, and the text travels once.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    out = identify(docs.toDF(*names), learn(docs), text_col=names[docs.columns.index("text")])
+    good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)
+    return out.filter(good).select(*names).toDF(*docs.columns)

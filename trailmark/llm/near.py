@@ -119,7 +119,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 names=["id", "n_shingles", "digest", "tokens", "nodes"],
             )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, digest binary, tokens binary, nodes array<long>")
+    return docs.mapInArrow(common.releasing(run), "id long, n_shingles long, digest binary, tokens binary, nodes array<long>")
 
 
 def _expand(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -232,7 +232,7 @@ def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(rows: DataFrame, compare) -> DataFrame:
     """Links `a, b` that `compare` finds among `grp, block, visit, id, own, guest`."""
     columns = ["grp", "block", "visit", "id", "own", "guest"]
-    return common.hosted(rows.select(*columns), columns[:3]).mapInArrow(compare, "a long, b long")
+    return common.hosted(rows.select(*columns), columns[:3]).mapInArrow(common.releasing(compare), "a long, b long")
 
 
 def _alone(rows: DataFrame) -> DataFrame:
@@ -390,6 +390,18 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 
 def keep_one_of_group(spark, docs, sf_dir):
-    """Pipeline stage: of each group of near copies, the document with the smallest id."""
-    gone = similar(docs).filter(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Pipeline stage: one row of each group of near copies, the one with the smallest id, a null id last, and
+    any one of those where that id repeats. Texts without words stay.
+
+    Rows are dropped, not ids: rows that share an id are compared as documents of their own. All columns
+    are kept.
+    """
+    if common.ids_are_keys(docs) and dict(docs.dtypes)["doc_id"] == "bigint":
+        gone = similar(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti")
+    rows, row = common.with_row(docs)
+    found = similar(rows, row).select(F.col("id").alias(row), "component_id")
+    named = found.join(rows.select(row, "doc_id"), row)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
+    stay = named.groupBy("component_id").agg(F.min_by(row, order).alias("stays")).select(F.col("stays").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
