@@ -222,4 +222,26 @@ def test_cued_national_numbers_are_found(spark):
     rows += [(200, "my SSN 123-45-6789 is here", "en")]
     for r in pii.detected(documents(spark, rows)).collect():
         found = [r["text"][s["start"] : s["end"]] for s in r["spans"]]
-        assert found == ([f"030) 1234-56{r['doc_id']:02}"] if r["doc_id"] < 100 else ["123-45-6789"] if r["doc_id"] == 200 else [])
+        assert found == ([f"(030) 1234-56{r['doc_id']:02}"] if r["doc_id"] < 100 else ["123-45-6789"] if r["doc_id"] == 200 else [])
+
+
+def test_words_that_end_like_cues_are_no_cues(spark):
+    rows = [(i, f"reach us at tel. (030) 1234-56{i:02} today or by fax 55-1234-{i:02}", "en") for i in range(60)]
+    rows += [(100 + i, f"sold 12345{i:02} pieces on 2024-01-{i % 28 + 1:02} to us", "en") for i in range(60)]
+    rows += [(200 + i, t, "en") for i, t in enumerate(
+        ["we took a trip 2345-67-8901 to", "the hotel 12-3456-7801 and", "had a recall 55-1234-01", "a postcard 4444-333-22"])]
+    for r in pii.detected(documents(spark, rows)).collect():
+        found = [r["text"][s["start"] : s["end"]] for s in r["spans"]]
+        assert len(found) == (2 if r["doc_id"] < 100 else 0), r["text"]
+
+
+def test_very_many_matches_in_one_text(spark):
+    """A fold that copied its list for each match would not end."""
+    n = 100_000
+    text = " ".join(f"u{i}@ex.com" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "é " + text[:50])], "doc_id long, text string")
+    found = pii.detected(docs)
+    got = found.select("doc_id", "text", "base", pii.redact(F.col("text"), F.col("spans")).alias("r")).collect()
+    for r in got:
+        assert [tuple(s) for s in r["base"]] == plain_base(r["text"])
+    assert {r["doc_id"]: r["r"] for r in got}[1] == " ".join(["[EMAIL]"] * n)

@@ -9,6 +9,8 @@ added.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +31,14 @@ BASE = {
 }
 GENERATORS = {
     "address": _LOCAL + r" ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
-    "number": r"(?<![0-9])\+?[0-9](?:[ ().-]{0,3}[0-9])++",
+    "number": r"(?<![0-9])(?:\+|\((?=[0-9]{1,5}\)))?[0-9](?:[ ().-]{0,3}[0-9])++",
     "key": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 _CUES = {
-    "address": r"(?i)(mail|contact|write)",
-    "number": r"(?i)(tel|phone|call|fax|mobil|card|visa|iban|ssn|ip)\W",
-    "key": r"(?i)(token|key|secret|password|credential)\W",
+    "address": r"(?i)\b(?:e-?mail|mail|contact|write)",
+    "number": r"(?i)\b(?:tel(?:e(?:phone|fax|fon))?|phone|call|fax|mobil[a-z]*|card|visa|iban|ssn|ip)\b",
+    "key": r"(?i)(?:\b|_)(?:api)?(?:token|key|secret|password|credentials?)\b",
 }
 # Not a number of a person, whatever stands before: dates and years, digits that no card has.
 _NO_NUMBER = r"^(?:(?:1[0-9]|20)[0-9]{2}([.-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([.-])[01]?[0-9]\2(?:1[0-9]|20)[0-9]{2}|(?:1[0-9]|20)[0-9]{2}-(?:1[0-9]|20)[0-9]{2})$"
@@ -80,28 +82,66 @@ def matches(text: Column, pattern: str, hint: Column) -> tuple[Column, Column]:
         F.when(hint, F.split(text, pattern, -1)).otherwise(none)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(items: Column) -> Column:
+    """The items in about as many blocks as a block has items: a fold that adds to a list copies the list, so
+    a list is folded block by block."""
+    def cut(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(x) / size).cast("int") - 1)
+        return F.when(F.size(x) > 0, F.transform(numbers, lambda i: F.slice(x, i * size + 1, size))).otherwise(F.slice(F.array(x), F.lit(1), F.lit(0)))
+
+    return let(items, cut)
+
+
+def before_each(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each number what `combine` makes, from 0 on, of those before it, and of all of them at the end."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array(F.lit(0).cast("long")).alias("all"))
+
+    def step(a: Column, x: Column) -> Column:
+        after = combine(a["at"], x)
+        return F.struct(after.alias("at"), F.concat(a["all"], F.array(after)).alias("all"))
+
+    return F.aggregate(values, start, step, lambda a: a["all"])
+
+
 def located(found: Column, around: Column) -> Column:
     """`text, start, end, before, after` of each match: code points, end exclusive, and its context.
 
-    One pass over the matches; every array is an argument of it, so nothing is evaluated per match.
+    Every array is an argument of a pass over the matches, so nothing is evaluated per match; the passes go
+    block by block.
     """
     span = "array<struct<text: string, start: bigint, end: bigint, before: string, after: string>>"
-    zipped = F.zip_with(around, found, lambda a, m: F.struct(a.alias("gap"), m.alias("text")))
+    zipped = F.zip_with(F.slice(around, F.lit(1), F.size(found)), found, lambda a, m: F.struct(a.alias("gap"), m.alias("text")))
     zipped = F.zip_with(zipped, F.slice(around, F.lit(2), F.greatest(F.size(around), F.lit(1))),
                         lambda x, n: F.struct(x["gap"], x["text"], n.alias("next")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("spans"))
+
+    def length(x: Column) -> Column:
+        return (F.length(x["gap"]) + F.length(x["text"])).cast("long")
 
     def step(a: Column, x: Column) -> Column:
         first = a["at"] + F.length(x["gap"])
-        last = first + F.length(F.coalesce(x["text"], F.lit("")))
+        last = a["at"] + length(x)
         one = F.struct(
             x["text"].alias("text"), first.alias("start"), last.alias("end"),
             F.right(x["gap"], F.lit(24)).alias("before"), F.left(x["next"], F.lit(8)).alias("after"),
         )
-        spans = F.when(x["text"].isNotNull(), F.concat(a["spans"], F.array(one))).otherwise(a["spans"])
-        return F.struct(last.cast("long").alias("at"), spans.cast(span).alias("spans"))
+        return F.struct(last.alias("at"), F.concat(a["spans"], F.array(one)).alias("spans"))
 
-    return F.aggregate(zipped, start, step, lambda a: a["spans"])
+    def block(items: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast(span).alias("spans"))
+        return F.aggregate(items, start, step, lambda a: a["spans"])
+
+    def all_blocks(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, x: n + length(x)))
+        begins = F.slice(before_each(sizes, lambda a, x: a + x), F.lit(1), F.size(blocks))
+        return F.flatten(F.zip_with(blocks, begins, block))
+
+    return F.when(F.size(found) > 0, let(in_blocks(zipped), all_blocks)).otherwise(F.array().cast(span))
 
 
 def _features(kind: str, x: Column) -> Column:
@@ -215,22 +255,42 @@ def detected(docs: DataFrame, text_col: str = "text", training_rows: int = TRAIN
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """`text` with every stretch that spans cover replaced by the first span's kind in brackets."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    """`text` with every stretch that spans cover replaced by the first span's kind in brackets.
+
+    A block of spans is cut out of the stretch of text that belongs to it, so the whole text is only walked
+    once per block.
+    """
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        fresh = F.concat(a["parts"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when((s["start"] >= a["at"]) & (s["end"] > a["at"]), fresh).otherwise(a["parts"]).alias("parts"),
-        )
+    def block(items: Column, begin: Column, stretch: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("parts"))
+
+        def step(a: Column, s: Column) -> Column:
+            gap = F.substring(stretch, (a["at"] - begin + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+            fresh = F.concat(a["parts"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+            return F.struct(
+                F.greatest(a["at"], s["end"]).alias("at"),
+                F.when((s["start"] >= a["at"]) & (s["end"] > a["at"]), fresh).otherwise(a["parts"]).alias("parts"),
+            )
 
-    def finish(a: Column) -> Column:
-        return F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
+        return F.aggregate(items, start, step, lambda a: F.array_join(a["parts"], ""))
 
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, finish)).otherwise(text)
+    def cut(begin: Column, end: Column) -> Column:
+        return F.substring(text, (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    def all_blocks(blocks: Column) -> Column:
+        ends = before_each(F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"]))), F.greatest)
+
+        def joined(at: Column) -> Column:
+            numbers = F.sequence(F.lit(0), F.size(blocks) - 1)
+            parts = F.transform(numbers, lambda i: let(
+                cut(F.get(at, i), F.get(at, i + 1)), lambda stretch: block(F.get(blocks, i), F.get(at, i), stretch)
+            ))
+            return F.concat(F.array_join(parts, ""), cut(F.element_at(at, -1), F.length(text).cast("long")))
+
+        return let(ends, joined)
+
+    return F.when(F.size(spans) > 0, let(in_blocks(ordered), all_blocks)).otherwise(text)
 
 
 def named(spans: Column) -> Column:
@@ -250,7 +310,11 @@ def op7_pii(spark, sf_dir):
 
 
 def redacted(spark, docs, sf_dir):
-    """Pipeline stage: all documents, personal data replaced in their texts; `n_chars` follows the text."""
+    """Pipeline stage: all documents, personal data replaced in their texts; `n_chars` follows the text.
+
+    A null or empty text stays as it is. Repeated rows and null ids are rows like any other; all columns are
+    kept, whatever their names.
+    """
     found = detected(docs.select(F.struct(*docs.columns).alias("row"), "text"))
     touched = F.size("spans") > 0
     new = F.when(touched, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
