@@ -337,7 +337,7 @@ def test_maintenance_between_batches_loses_nothing(spark, tmp_path):
     assert urls() == ["a", "b", "c"] and store.applied("visits", 1) and store.applied("other", 0)
     # Tables that a commit leaves out are not written again.
     version = store.commit({"skip_stats": empty["skip_stats"]})
-    assert store.record(version)["tables"]["pages"] < version and urls() == ["a", "b", "c"]
+    assert max(store.record(version)["tables"]["pages"].values()) < version and urls() == ["a", "b", "c"]
     store.expire(1)
     assert urls() == ["a", "b", "c"] and store.committed()[-1] == version
 

@@ -125,13 +125,13 @@ def embed_queries(queries: DataFrame, embedder: Embedder, model: str = "", query
     return queries.select("query_id", embedder.vector(text).alias("vector"))
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """`chunk_id, vector, fingerprint` from the title, URL and text of each chunk."""
+def embed_chunks(chunks: DataFrame, embedder: Embedder, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`chunk_id, vector, fingerprint` from the title, URL and text of each chunk, and the columns `keep`."""
     prefix = T.context_prefix(F.col("page_title"), F.col("page_url"))
     return chunks.select(
         "chunk_id",
         embedder.vector(T.embedding_text(prefix, F.col("text"))).alias("vector"),
-        F.lit(embedder.fingerprint).alias("fingerprint"),
+        F.lit(embedder.fingerprint).alias("fingerprint"), *keep,
     )
 
 

@@ -1,6 +1,6 @@
-"""Keyword index and BM25.
+"""Keyword search: BM25 over a stored index (`operators.postings`) or over chunks that are searched once.
 
-The index is partitioned by chunk: all terms of a chunk sit in one task, so per-chunk scores are
+For the latter the index is partitioned by chunk: all terms of a chunk sit in one task, so per-chunk scores are
 summed where the chunk is, and only the top k per query leave a task. A term that occurs in every
 document is therefore never gathered in one place.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import text as T
 from trailmark.operators import scale
+from trailmark.operators.postings import PostingsIndex
 
 K1 = 1.2
 B = 0.75
@@ -138,13 +139,14 @@ def phrase_lengths(phrases: DataFrame) -> list[int]:
 
 
 def bm25(
-    index: DataFrame,
+    index: DataFrame | PostingsIndex,
     phrases: DataFrame,
     k: int,
     digits: int = 6,
     max_broadcast: int = MAX_BROADCAST_PHRASES,
 ) -> DataFrame:
-    """Top-k chunks per query: `query_id, chunk_id, score, rank`.
+    """Top-k chunks per query: `query_id, chunk_id, score, rank`. `index` is a stored index, or one made by
+    `index_chunks` for a corpus that is searched once.
 
     Ranked by the score rounded to `digits`, then chunk id, so that the order does not depend on
     the order of summation.
@@ -153,10 +155,14 @@ def bm25(
     batch = phrases.agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).first()
     fits = batch["n"] <= max_broadcast
     wanted = phrases.select("phrase").distinct()
-    counted = postings(index, wanted, batch["longest"] or 1, fits)
-    corpus = index.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
-    n_chunks = corpus.select("n").scalar()
-    avg_length = corpus.select(F.col("total") / F.col("n")).scalar()
+    if isinstance(index, PostingsIndex):
+        counted = index.counts(wanted, fits and batch["n"] * (batch["longest"] or 1) <= max_broadcast)
+        n_chunks, avg_length = F.lit(index.n_chunks), F.lit(index.total_length / max(1, index.n_chunks))
+    else:
+        counted = postings(index, wanted, batch["longest"] or 1, fits)
+        corpus = index.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+        n_chunks = corpus.select("n").scalar()
+        avg_length = corpus.select(F.col("total") / F.col("n")).scalar()
 
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     frequencies = (

@@ -12,6 +12,7 @@ from trailmark.functions import text as T
 from trailmark.functions import urls as U
 from trailmark.operators import admission, embedding, entities, fusion, lexical, scale
 from trailmark.operators.embedding import Embedder
+from trailmark.operators.postings import PostingsIndex
 from trailmark.session import materialize
 
 GRAPH_ENTITIES = 3
@@ -23,7 +24,7 @@ class Corpus:
 
     `chunks`: chunk_id, page_url, text. `pages`: page_url, page_title, last_visited. `vectors`:
     chunk_id, vector. `entities`: key, name, entity_type, frequency (only for the graph leg).
-    `index` may be a stored keyword index; it is derived from the chunks otherwise. `tokenizer` cuts
+    `index` is the stored keyword index; without one the chunks are tokenised for the search. `tokenizer` cuts
     chunks and queries alike: `stemming.stemmed_terms` also finds other forms of an English word.
     """
 
@@ -31,10 +32,10 @@ class Corpus:
     pages: DataFrame
     vectors: DataFrame
     entities: DataFrame | None = None
-    index: DataFrame | None = None
+    index: PostingsIndex | None = None
     tokenizer: Callable[[Column], Column] = T.terms
 
-    def keyword_index(self) -> DataFrame:
+    def keyword_index(self) -> PostingsIndex | DataFrame:
         if self.index is not None:
             return self.index
         return lexical.index_chunks(self.chunks, tokenizer=self.tokenizer)

@@ -84,6 +84,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that `materialize` wrote in this process, oldest first.
+_written: list[str] = []
+
+
+def written_mark() -> int:
+    """For `delete_written`: how many folders `materialize` has written so far."""
+    return len(_written)
+
+
+def delete_written(spark: SparkSession, mark: int) -> None:
+    """Deletes the folders that `materialize` wrote since `mark`. Only once nothing reads them any more."""
+    for text in _written[mark:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[mark:]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and return a scan of it.
 
@@ -93,4 +110,5 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

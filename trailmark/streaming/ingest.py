@@ -23,7 +23,7 @@ def ingest_stream(
     trigger: dict | None = None,
     name: str | None = None,
 ) -> StreamingQuery:
-    """Runs the ingest job on every micro-batch and commits its tables as one snapshot.
+    """Runs the ingest job on every micro-batch; each is one commit of the buckets it changes.
 
     The commit record holds the stream (`name`, the checkpoint folder by default) and the batch number, so a
     batch that is replayed after a failure is not applied twice, and other commits do not count. `on_outcomes` gets the outcomes of a batch before it is committed and must
@@ -34,10 +34,8 @@ def ingest_stream(
     def apply(batch: DataFrame, number: int) -> None:
         if store.applied(stream, number):
             return
-        outcomes, tables = plan.ingest(batch, store.load(), settings)
-        if on_outcomes is not None:
-            on_outcomes(outcomes, number)
-        store.commit(tables, stream, number)
+        notify = None if on_outcomes is None else lambda outcomes: on_outcomes(outcomes, number)
+        plan.ingest_into(store, batch, settings, stream, number, notify)
 
     writer = visits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -55,10 +53,14 @@ def running_skips(skips: DataFrame) -> DataFrame:
     return kept.groupBy("domain", "reason").agg(F.count("*").alias("count"), F.max("ts").alias("last_seen"))
 
 
-def daily_maintenance(store: Snapshots, as_of: Column, days: int) -> DataFrame:
-    """The scheduled retention run: commits the tables without expired pages and returns the counts."""
+def daily_maintenance(store: Snapshots, as_of: Column, days: int, keep: int = 2) -> DataFrame:
+    """The scheduled run: drops expired pages, makes the keyword index one segment, deletes the files of all
+    but the newest `keep` commits, and returns the counts."""
     tables, counts = plan.evict(store.load(), as_of, days)
-    store.commit(tables)
+    counts = store.spark.createDataFrame(counts.collect(), counts.schema)  # one row, before its files go
+    plan.commit_removal(store, tables)
+    store.compact_index()
+    store.expire(keep)
     return counts
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import text as T
 from trailmark.functions import times, urls
-from trailmark.operators import extract, scale
+from trailmark.operators import extract, postings, scale
+from trailmark.operators.postings import PostingsIndex
+from trailmark.session import scratch_root
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -42,6 +47,29 @@ def document_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What searches read and several queries share, by application, tables and name.
+_stored: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]) -> object:
+    """What `build` derives from the tables and writes to the shared folder, once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = build()
+    return _stored[key]
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> PostingsIndex:
+    """The stored keyword index of the documents."""
+    def build() -> PostingsIndex:
+        path = f"{scratch_root(spark)}/indexes/{uuid.uuid4().hex}"
+        postings.write(postings.of_chunks(scale.spread(documents(spark, sf_dir), "chunk_id")), path)
+        rows = postings.read(spark, path, "bigint")
+        return PostingsIndex(rows, *postings.totals(rows))
+
+    return stored(spark, sf_dir, "document_index", build)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")

@@ -9,11 +9,11 @@ from trailmark.functions import text as T
 from trailmark.functions import times
 from trailmark.functions import urls as U
 from trailmark.functions.stemming import stemmed_terms
-from trailmark.operators import assembly, embedding, entities, fusion, graph, lexical, scale
+from trailmark.operators import assembly, embedding, entities, fusion, graph, lexical, postings, scale
 from trailmark.plans import resurface, search
 from trailmark.session import materialize
 from workload import base
-from workload.graph_queries import ENTITY_CTE, MATCH_CTE
+from workload.graph_queries import ENTITY_CONTEXT, MATCH_CTE
 from workload.vector_queries import sql_hashed
 
 EMBEDDER = embedding.hash_embedder(64)
@@ -46,7 +46,7 @@ bmr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_search(base.documents(spark, sf_dir), base.queries(spark, sf_dir), k=10)
+    return lexical.bm25(base.document_index(spark, sf_dir), lexical.query_phrases(base.queries(spark, sf_dir)), 10)
 
 
 BM25 = f"""
@@ -55,29 +55,62 @@ WITH {_bm25_cte()} SELECT query_id::BIGINT AS query_id, chunk_id, score, rank FR
 
 
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three words of every query as one phrase."""
-    first = F.array_join(F.slice(F.split("query", r"\s+"), 1, 3), " ")
-    phrases = lexical.phrase_rows(base.queries(spark, sf_dir).withColumn("p", first), "p")
-    return lexical.bm25(lexical.index_chunks(base.documents(spark, sf_dir)), phrases, 10)
+    """Every query whole, as one phrase."""
+    phrases = lexical.phrase_rows(base.queries(spark, sf_dir), "query")
+    return lexical.bm25(base.document_index(spark, sf_dir), phrases, 10)
 
 
 PHRASE = rf"""
-WITH toks AS (SELECT doc_id, {base.sql_terms('text')} AS t FROM documents),
+WITH toks AS MATERIALIZED (SELECT doc_id, {base.sql_terms('text')} AS t FROM documents),
 corpus AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM toks),
-q AS (SELECT item_id AS query_id, {base.sql_terms("array_to_string(string_split_regex(text, '\\s+')[1:3], ' ')")} AS p FROM benchmark),
-lens AS (SELECT DISTINCT len(p) AS k FROM q WHERE len(p) > 0),
-grams AS (SELECT doc_id, len(t) AS dl, array_to_string(t[i : i + k - 1], ' ') AS phrase
-          FROM toks, lens, unnest(range(1, len(t) - k + 2)) AS r(i)),
-tf AS (SELECT doc_id, dl, phrase, count(*) AS tf FROM grams WHERE phrase IN (SELECT array_to_string(p, ' ') FROM q) GROUP BY 1, 2, 3),
-idf AS (SELECT phrase, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS v FROM tf, corpus GROUP BY 1),
+q AS MATERIALIZED (SELECT item_id AS query_id, {base.sql_terms('text')} AS p FROM benchmark),
+occ AS (SELECT doc_id, i, t[i] AS tok FROM toks, unnest(range(1, len(t) + 1)) AS r(i)),
+tf AS (SELECT p, doc_id, any_value(len(t)) AS dl, count(*) AS tf FROM (SELECT DISTINCT p, p[1] AS tok FROM q WHERE len(p) > 0)
+  JOIN occ USING (tok) JOIN toks USING (doc_id) WHERE t[i : i + len(p) - 1] = p GROUP BY 1, 2),
+idf AS (SELECT p, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS v FROM tf, corpus GROUP BY 1),
 s AS (SELECT query_id, doc_id AS chunk_id,
         round(CASE WHEN v > 0 THEN v ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 6) AS score
-      FROM q JOIN tf ON phrase = array_to_string(p, ' ') JOIN idf USING (phrase), corpus),
+      FROM q JOIN tf USING (p) JOIN idf USING (p), corpus),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
 SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10
 """
 
 
+def short_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbouring words of every query as phrases, a hit list for each."""
+    words = F.split("query", r"\s+")
+    pairs = base.queries(spark, sf_dir).select(
+        "query_id", F.posexplode(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
+    )
+    named = pairs.select((F.col("query_id") * 1000 + F.col("pos")).alias("query_id"), F.col("col").alias("p"))
+    return lexical.bm25(base.document_index(spark, sf_dir), lexical.phrase_rows(named, "p"), 3)
+
+
+SHORT_PHRASES = PHRASE.replace(
+    f"SELECT item_id AS query_id, {base.sql_terms('text')} AS p FROM benchmark",
+    rf"""SELECT item_id * 1000 + i - 1 AS query_id, {base.sql_terms("concat_ws(' ', w[i], w[i + 1])")} AS p
+       FROM (SELECT item_id, string_split_regex(text, '\s+') AS w FROM benchmark), unnest(range(1, len(w) + 1)) AS r(i)""",
+).replace("rank <= 10", "rank <= 3")
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the stored index: what a term's postings hold, position by position."""
+    index = base.document_index(spark, sf_dir)
+    rows = index.postings.filter(F.col("bucket") != postings.LENGTHS)
+    return rows.groupBy("term").agg(
+        F.count("*").alias("chunks"), F.sum(F.col("length")).alias("length"),
+        F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)).alias("positions"),
+    )
+
+
+KEYWORD_INDEX = rf"""
+WITH toks AS (SELECT doc_id, {base.sql_terms('text')} AS t FROM documents),
+occ AS (SELECT doc_id, len(t) AS dl, i - 1 AS pos, t[i] AS term FROM toks, unnest(range(1, len(t) + 1)) AS r(i)),
+post AS (SELECT term, doc_id, any_value(dl) AS dl, sum(pos) AS pos FROM occ GROUP BY 1, 2)
+SELECT term, count(*)::BIGINT AS chunks, sum(dl)::BIGINT AS length, sum(pos)::BIGINT AS positions FROM post GROUP BY 1
+"""
+
+
 def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search on word stems."""
     index = lexical.index_chunks(base.documents(spark, sf_dir), tokenizer=stemmed_terms)
@@ -85,7 +118,7 @@ def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.term_statistics(lexical.index_chunks(base.documents(spark, sf_dir)))
+    return base.document_index(spark, sf_dir).term_statistics()
 
 
 TERM_STATISTICS = rf"""
@@ -97,17 +130,28 @@ SELECT term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS occurrenc
 # ---- hybrid ---------------------------------------------------------------------------------
 
 
-def _corpus(spark: SparkSession, sf_dir: str, with_entities: bool = True) -> search.Corpus:
-    """Documents as a corpus; vectors and entities are derived tables, written once."""
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scale.spread(base.documents(spark, sf_dir), "chunk_id")
+    return base.stored(spark, sf_dir, "document_vectors", lambda: materialize(embedding.embed_chunks(docs, EMBEDDER)))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The entity and edge tables of the documents."""
+    def build() -> tuple[DataFrame, DataFrame]:
+        docs = scale.spread(base.documents(spark, sf_dir), "chunk_id").withColumn("chunk_index", F.lit(0))
+        rows = materialize(entities.page_entities(entities.extract(docs)))
+        return materialize(entities.frequencies(rows)), materialize(entities.cooccurrence(rows))
+
+    return base.stored(spark, sf_dir, "document_entities", build)
+
+
+def _corpus(spark: SparkSession, sf_dir: str, with_entities: bool = True) -> search.Corpus:
+    """Documents as a corpus; index, vectors and entities are stored tables."""
+    docs = base.documents(spark, sf_dir)
     clock = base.document_times(spark, sf_dir)
     pages = docs.select("chunk_id", "page_url", "page_title").join(clock, "chunk_id").drop("chunk_id")
-    vectors = materialize(embedding.embed_chunks(docs, EMBEDDER))
-    known = None
-    if with_entities:
-        mentions = entities.extract(docs.withColumn("chunk_index", F.lit(0)))
-        known = materialize(entities.frequencies(entities.page_entities(mentions)))
-    return search.Corpus(docs, pages, vectors, known)
+    known = _entities(spark, sf_dir)[0] if with_entities else None
+    return search.Corpus(docs, pages, _vectors(spark, sf_dir), known, base.document_index(spark, sf_dir))
 
 
 DENSE_CTE = rf"""
@@ -125,8 +169,8 @@ dense AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scale.spread(base.documents(spark, sf_dir), "chunk_id")
-    corpus = search.Corpus(docs, docs, embedding.embed_chunks(docs, EMBEDDER))
+    docs = base.documents(spark, sf_dir)
+    corpus = search.Corpus(docs, docs, _vectors(spark, sf_dir))
     return search.dense_leg(corpus, base.queries(spark, sf_dir), EMBEDDER, 10)
 
 
@@ -179,8 +223,9 @@ def recency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits alone, decayed by age."""
     docs = base.documents(spark, sf_dir)
     pages = docs.join(base.document_times(spark, sf_dir), "chunk_id").select("page_url", "page_title", "last_visited")
-    hits = lexical.bm25_search(docs, base.queries(spark, sf_dir), POOL).withColumnRenamed("rank", "fused_rank")
-    ranked = fusion.hydrate(hits.withColumn("source", F.lit("bm25")), docs, pages, 10, base.as_of(), fits=True)
+    phrases = lexical.query_phrases(base.queries(spark, sf_dir))
+    hits = lexical.bm25(base.document_index(spark, sf_dir), phrases, POOL).withColumnRenamed("rank", "fused_rank")
+    ranked = fusion.hydrate(hits.withColumn("source", F.lit("bm25")), docs, pages, 10, base.as_of())
     return ranked.select("query_id", "rank", "chunk_id", "score")
 
 
@@ -204,13 +249,17 @@ EXTRA_PHRASES = rf"""
 UNION ALL SELECT 'e:' || key, array_to_string({base.sql_terms('name')}, ' '), len({base.sql_terms('name')}), 1
 FROM (SELECT key, min(name) AS name FROM top3 GROUP BY key)
 """
-THREE = f"""
-{GRAPH_LEG_CTE}, {_bm25_cte(EXTRA_PHRASES)}, {DENSE_CTE}, {TWO_LEGS.format(pool=POOL)},
+def _three_legs(pool: int) -> str:
+    return f"""
+{GRAPH_LEG_CTE}, {_bm25_cte(EXTRA_PHRASES)}, {DENSE_CTE}, {TWO_LEGS.format(pool=pool)},
 kg AS (SELECT t.query_id, b.chunk_id, row_number() OVER (PARTITION BY t.query_id ORDER BY t.ent_rank, b.rank) AS rank
-  FROM top3 t JOIN bmr b ON b.query_id = 'e:' || t.key AND b.rank <= {POOL}),
+  FROM top3 t JOIN bmr b ON b.query_id = 'e:' || t.key AND b.rank <= {pool}),
 legs3 AS (SELECT * FROM legs2 UNION ALL SELECT query_id, chunk_id, rank, 2, 0.8, 'knowledge_graph' FROM kg),
-{_fused_cte('legs3')}
+{_fused_cte('legs3', pool)}
 """
+
+
+THREE = _three_legs(POOL)
 HYBRID = f"""
 WITH {THREE}, {_hits_cte()} SELECT query_id, rank, chunk_id, page_url, page_title, score, source FROM hits
 """
@@ -223,25 +272,24 @@ def graph_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAPH_LEG = f"WITH {THREE} SELECT query_id, chunk_id, 0.5::DOUBLE AS score, rank FROM kg"
 
 
-def _two_leg_hits(spark: SparkSession, sf_dir: str, **dates: Column) -> DataFrame:
-    corpus = _corpus(spark, sf_dir, False)
-    return search.retrieve(corpus, base.queries(spark, sf_dir), EMBEDDER, base.as_of(), 10, use_graph=False, **dates)
+def _hits(spark: SparkSession, sf_dir: str, **dates: Column) -> DataFrame:
+    return search.retrieve(_corpus(spark, sf_dir), base.queries(spark, sf_dir), EMBEDDER, base.as_of(), 10, **dates)
 
 
 def date_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = base.instant("2024-01-01 06:00:00"), base.instant("2024-01-02 12:00:00")
-    hits = _two_leg_hits(spark, sf_dir, date_from=low, date_to=high)
+    hits = _hits(spark, sf_dir, date_from=low, date_to=high)
     return hits.select("query_id", "rank", "chunk_id", "score", F.unix_micros("last_visited").alias("last_visited"))
 
 
 DATE_FILTERED = f"""
-WITH {TWO}, {_hits_cte(10, "p.last_visited BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-02 12:00:00'")}
+WITH {THREE}, {_hits_cte(10, "p.last_visited BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-02 12:00:00'")}
 SELECT query_id, rank, chunk_id, score, epoch_us(last_visited) AS last_visited FROM hits
 """
 
 
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = fusion.rerank(_two_leg_hits(spark, sf_dir), base.queries(spark, sf_dir), 15)
+    hits = fusion.rerank(_hits(spark, sf_dir), base.queries(spark, sf_dir), 15)
     return hits.select("query_id", "rank", "chunk_id", "score", "rerank_score", "retrieval_score")
 
 
@@ -252,13 +300,13 @@ scored AS (SELECT h.*, round(len(list_intersect(qt, {base.sql_terms('left(h.text
 reranked AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank FROM scored)
 """
 RERANK = f"""
-WITH {TWO}, {_hits_cte()}, {COVERED}
+WITH {THREE}, {_hits_cte()}, {COVERED}
 SELECT query_id, rank, chunk_id, rerank_score AS score, rerank_score, score AS retrieval_score FROM reranked WHERE rank <= 15
 """
 
 
 def page_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = fusion.best_pages(_two_leg_hits(spark, sf_dir), base.queries(spark, sf_dir), 5)
+    hits = fusion.best_pages(_hits(spark, sf_dir), base.queries(spark, sf_dir), 5)
     return fusion.search_results(hits).withColumn("timestamp", F.unix_micros("timestamp"))
 
 
@@ -267,7 +315,7 @@ uniq AS (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(rege
   FROM reranked WHERE rank <= 15),
 best AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM uniq WHERE n = 1)
 """
-ANSWER = f"{TWO}, {_hits_cte()}, {COVERED}, {BEST_PAGES}"
+ANSWER = f"{THREE}, {_hits_cte()}, {COVERED}, {BEST_PAGES}"
 PAGE_DEDUP = f"""
 WITH {ANSWER}
 SELECT query_id, rank, page_url AS url, page_title AS title, left(text, 300) AS snippet, round(rerank_score, 4) AS score, source,
@@ -279,7 +327,7 @@ SELECT query_id, rank, page_url AS url, page_title AS title, left(text, 300) AS
 
 
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = fusion.best_pages(_two_leg_hits(spark, sf_dir), base.queries(spark, sf_dir), 5)
+    best = fusion.best_pages(_hits(spark, sf_dir), base.queries(spark, sf_dir), 5)
     return assembly.context_blocks(best)
 
 
@@ -296,7 +344,7 @@ FROM best WHERE rank <= 5 GROUP BY 1
 
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = base.queries(spark, sf_dir)
-    return assembly.extractive_answers(fusion.best_pages(_two_leg_hits(spark, sf_dir), queries, 5), queries)
+    return assembly.extractive_answers(fusion.best_pages(_hits(spark, sf_dir), queries, 5), queries)
 
 
 EXTRACTIVE = f"""
@@ -309,29 +357,16 @@ FROM benchmark LEFT JOIN body ON query_id = item_id
 
 
 def graph_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries with their graph block, one hop."""
-    docs = scale.spread(base.documents(spark, sf_dir), "chunk_id").withColumn("chunk_index", F.lit(0))
-    rows = materialize(entities.page_entities(entities.extract(docs)))
-    known, edges = materialize(entities.frequencies(rows)), materialize(entities.cooccurrence(rows))
+    """Queries with their graph block: five entities, two hops, ten neighbours each."""
+    known, edges = _entities(spark, sf_dir)
     queries = base.queries(spark, sf_dir)
-    named = materialize(entities.match_queries(queries, known, 2)).select("query_id", "key", "ent_rank")
-    block = graph.entity_context(named, edges, known, 1, 5)
-    return assembly.with_graph_block(queries.select("query_id"), block)
+    named = materialize(entities.match_queries(queries, known, 5)).select("query_id", "key", "ent_rank")
+    return assembly.with_graph_block(queries.select("query_id"), graph.entity_context(named, edges, known, 2, 10))
 
 
 GRAPH_BLOCK = f"""
-WITH {MATCH_CTE}, qe AS (SELECT query_id, key, ent_rank FROM named WHERE ent_rank <= 2),
-link AS (SELECT a AS src, b AS dst, weight FROM edge UNION ALL SELECT b, a, weight FROM edge),
-near AS (SELECT src AS seed, dst AS node, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank
-  FROM link WHERE src IN (SELECT key FROM qe) QUALIFY rank <= 5),
-tail AS (SELECT query_id, ent_rank, rank, e.name, e.entity_type, n.weight,
-   row_number() OVER (PARTITION BY query_id, least(seed, node), greatest(seed, node) ORDER BY ent_rank, rank) AS rn
-   FROM qe JOIN near n ON n.seed = qe.key JOIN ent e ON e.key = n.node),
-line AS (SELECT query_id, ent_rank, 0 AS rank, '- ' || e.name || ' (' || e.entity_type || ')' AS line FROM qe JOIN ent e USING (key)
-   UNION ALL SELECT query_id, ent_rank, rank, '  → co_occurs_with: ' || name || ' (' || entity_type || ', weight=' || format('{{:.1f}}', weight) || ')'
-   FROM tail WHERE rn = 1),
-block AS (SELECT query_id, 'Knowledge Graph Context:' || chr(10) || string_agg(line, chr(10) ORDER BY ent_rank, rank) AS k FROM line GROUP BY 1)
-SELECT item_id AS query_id, coalesce(k, '') AS kg_context FROM benchmark LEFT JOIN block ON query_id = item_id
+WITH block AS ({ENTITY_CONTEXT})
+SELECT item_id AS query_id, coalesce(kg_context, '') AS kg_context FROM benchmark LEFT JOIN block ON query_id = item_id
 """
 
 
@@ -415,7 +450,7 @@ SELECT page_url, left(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 3000
 
 
 def daily_resurface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _corpus(spark, sf_dir, False)
+    corpus = _corpus(spark, sf_dir)
     # The documents spread over the first three days of the month: seen from its fourth.
     return resurface.daily_resurface(corpus, EMBEDDER, base.instant(RESURFACE_AT), "trail")
 
@@ -428,7 +463,7 @@ WITH clock AS (SELECT doc_id, text, 'https://' || source || '.example.com/' || l
     'Document ' || doc_id AS title, ts FROM documents JOIN events ON event_id = doc_id),
 newest AS (SELECT * FROM clock WHERE ts >= TIMESTAMP '{RESURFACE_AT}' - INTERVAL 48 HOURS ORDER BY ts DESC, page_url LIMIT 5),
 benchmark AS (SELECT 0 AS item_id, string_agg(title, ' ' ORDER BY ts DESC, page_url) AS text FROM newest HAVING count(*) > 0),
-{_bm25_cte()}, {DENSE_CTE}, {TWO_LEGS.format(pool=RESURFACE_POOL)}, {_fused_cte('legs2', RESURFACE_POOL)},
+{_three_legs(RESURFACE_POOL)},
 {_hits_cte(resurface.CANDIDATES).replace("TIMESTAMP '2024-01-31'", f"TIMESTAMP '{RESURFACE_AT}'")},
 zone AS (SELECT * FROM clock WHERE ts BETWEEN TIMESTAMP '{RESURFACE_AT}' - INTERVAL 30 DAYS AND TIMESTAMP '{RESURFACE_AT}' - INTERVAL 3 DAYS),
 forgotten AS (SELECT * FROM zone UNION ALL SELECT * FROM clock
@@ -444,7 +479,9 @@ SELECT rank, page_url AS url, title, snippet,
 
 QUERIES = {
     "bm25_search": (bm25_search, BM25),
+    "keyword_index": (keyword_index, KEYWORD_INDEX),
     "phrase_search": (phrase_search, PHRASE),
+    "short_phrases": (short_phrases, SHORT_PHRASES),
     "stemmed_search": (stemmed_search, None),
     "term_statistics": (term_statistics, TERM_STATISTICS),
     "dense_search": (dense_search, DENSE),

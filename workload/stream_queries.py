@@ -11,7 +11,7 @@ from trailmark.functions import times
 from trailmark.functions import urls as U
 from trailmark.operators import admission, scale
 from trailmark.session import materialize, scratch_root
-from trailmark.sources.tables import Snapshots
+from trailmark.sources.tables import Snapshots, stream_visits
 from trailmark.streaming import activity, dwell
 from trailmark.streaming import ingest as streams
 from workload import base, state_queries
@@ -107,39 +107,37 @@ FROM events e JOIN funnel f ON f.page_id = e.event_id % (SELECT count(*) FROM pa
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ingest job on a stream of visits in three micro-batches, with a retention run that finds nothing
-    after them: outcome counts, next to what the store holds."""
+    """The ingest job on a stream of visits in three micro-batches, and the maintenance run after them: outcome
+    counts, and every page that the store holds then with the hash of its content and its visits."""
     folder = _folder(spark)
     visits = materialize(state_queries.full_visits(spark, sf_dir))
     first, second = visits.agg(F.expr("percentile_approx(ts, array(0.33, 0.67)) AS q")).select("q").first()[0]
     ts = F.col("ts")
-    for part in (ts <= first, (ts > first) & (ts <= second), ts > second):
-        visits.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/visits")
-    from trailmark.sources.tables import stream_visits
 
     def keep(outcomes: DataFrame, number: int) -> None:
         outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={number}")
 
-    store = Snapshots(spark, f"{folder}/tables")
-    streams.ingest_stream(
-        stream_visits(spark, f"{folder}/visits", files_per_trigger=1), store, f"{folder}/state", on_outcomes=keep
-    ).awaitTermination()
-    streams.daily_maintenance(store, base.as_of(), 36_500)
+    store = Snapshots(spark, f"{folder}/tables", buckets=16)
+    for part in (ts <= first, (ts > first) & (ts <= second), ts > second):
+        visits.filter(part).write.mode("append").parquet(f"{folder}/visits")
+        stream = stream_visits(spark, f"{folder}/visits")
+        streams.ingest_stream(stream, store, f"{folder}/state", on_outcomes=keep).awaitTermination()
+    streams.daily_maintenance(store, base.instant(MAINTAINED_AT), 1)
     outcomes = spark.read.parquet(f"{folder}/outcomes/batch=*")
     counted = outcomes.groupBy("status", "reason").agg(F.count("*").alias("n"))
-    pages = store.load()["pages"].agg(
-        F.lit("pages").alias("status"), F.lit("stored").alias("reason"), F.count("*").alias("n")
-    )
-    visits = store.load()["pages"].agg(
-        F.lit("visits").alias("status"), F.lit("stored").alias("reason"), F.sum("visit_count").alias("n")
+    pages = store.load()["pages"].select(
+        F.lit("page").alias("status"), F.concat_ws(" ", "url", "content_hash").alias("reason"), F.col("visit_count").alias("n")
     )
-    return counted.unionByName(pages).unionByName(visits)
+    return counted.unionByName(pages)
 
 
+MAINTAINED_AT = "2024-01-31 06:00:00"
 STREAM_INGEST = f"""
-WITH {state_queries.INGEST_CTE} SELECT status, reason, count(*)::BIGINT AS n FROM outcome GROUP BY 1, 2
-UNION ALL SELECT 'pages', 'stored', count(DISTINCT url) FROM adm
-UNION ALL SELECT 'visits', 'stored', count(*) FROM adm
+WITH {state_queries.INGEST_CTE},
+held AS (SELECT url, arg_max(event_type, (ts, visit_id)) AS event_type, count(*) AS n FROM adm GROUP BY 1
+  HAVING max(ts) >= TIMESTAMP '{MAINTAINED_AT}' - INTERVAL 1 DAY)
+SELECT status, reason, count(*)::BIGINT AS n FROM outcome GROUP BY 1, 2
+UNION ALL SELECT 'page', h.url || ' ' || left(sha256(p.content || ' ' || h.event_type), 16), n FROM held h JOIN page_full p USING (url)
 """
 
 
