@@ -1,5 +1,6 @@
 """The paths for hot keys and large sides give the same rows as the plain ones."""
 
+import math
 import random
 
 import pytest
@@ -33,15 +34,52 @@ def test_carry_forward_equals_one_window(spark):
     assert rows(got.select("k", "seq", "p")) == rows(want.select("k", "seq", "p"))
 
 
-def test_nearest_paths_agree(spark):
+def plain_top(queries, vectors, k, apart=False):
+    out = []
+    for qid, q, qs in queries:
+        scored = []
+        for vid, v, vs in vectors:
+            n = math.sqrt(sum(x * x for x in q)) * math.sqrt(sum(x * x for x in v))
+            if not (apart and qs == vs):
+                scored.append((-round(max(0.0, sum(a * b for a, b in zip(q, v)) / n if n else 0.0), 6), vid))
+        out += [(qid, vid, -s + 0.0, r) for r, (s, vid) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("cell, apart", [(64_000_000, None), (2_000, None), (1_000, "side")])
+def test_nearest_equals_brute_force(spark, monkeypatch, cell, apart):
     rng = random.Random(3)
-    vectors = spark.createDataFrame(
-        [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(300)], "chunk_id int, vector array<float>"
-    )
-    queries = vectors.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), "vector")
-    shipped = rows(embedding.nearest(queries, vectors, 5))
-    gridded = rows(embedding.nearest(queries, vectors, 5, max_shipped=10, grid_rows=16))
-    assert shipped == gridded and len(shipped) == 200
+    # Many equal scores, zero vectors, and one side with a third of all rows.
+    rows_ = [(i, [float(rng.randint(-2, 2)) for _ in range(4)], f"s{max(0, rng.randint(-2, 4))}") for i in range(300)]
+    vectors = spark.createDataFrame(rows_, "chunk_id int, vector array<float>, side string")
+    queries = vectors.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), "vector", "side")
+    got = embedding.nearest(queries, vectors, 5, cell_bytes=cell, apart=apart)
+    assert sorted((tuple(r) for r in got.select("query_id", "chunk_id", "score", "rank").collect()), key=str) == plain_top(rows_[:40], rows_, 5, bool(apart))
+
+
+def test_a_cell_takes_bounded_memory_and_skips_tiles():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 64))
+
+    def units(n):
+        m = centres[rng.integers(0, 60, n)] + 0.2 * rng.normal(size=(n, 64))
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    queries, vectors = units(5_000), units(50_000)
+    vectors = vectors[embedding._by_direction(vectors)]
+    tracemalloc.start()
+    scores, places = embedding.top_of_cell(queries, vectors, np.arange(50_000), 10, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000  # all scores at once would be 2 GB
+    for q in range(0, 5_000, 500):
+        exact = np.round(np.maximum(vectors @ queries[q], 0), 6)
+        order = np.lexsort((np.arange(50_000), -exact))[:10]
+        assert places[q].tolist() == order.tolist() and scores[q].tolist() == exact[order].tolist()
 
 
 def test_zero_vectors_score_zero(spark):

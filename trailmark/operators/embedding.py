@@ -9,6 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
@@ -19,10 +23,10 @@ from trailmark.operators import scale
 
 MAX_PROTOTYPES = 10_000
 DEFAULT_DIM = 64
-# Queries whose vectors are shipped to every task; above this the grid join is used.
-MAX_SHIPPED_QUERIES = 20_000
-# Rows of either side that meet in one cell of the grid join.
-GRID_ROWS = 50_000
+# Bytes of vectors of either side that meet in one cell of a search, and what a cell is not cut below.
+CELL_BYTES, MIN_CELL_BYTES = 64_000_000, 250_000
+# Queries and vectors whose scores are held at once inside a cell.
+TILE = 1024
 _MAX_CACHED_TERMS = 200_000
 
 
@@ -167,121 +171,148 @@ def reembed(chunks: DataFrame, vectors: DataFrame, embedder: Embedder) -> DataFr
 def centroids(vectors: DataFrame, key: str, vector_col: str = "vector") -> DataFrame:
     """L2-normalised mean vector per key; keys whose mean is zero are left out.
 
-    Positions are averaged separately, so partial sums are combined before the shuffle and a key
-    with many vectors is spread over its positions.
+    Vectors are summed as wholes, one partial sum per key and task before the shuffle. Null vectors, and those
+    with a null component, are left out; all others of a key must have the same dimension.
     """
-    means = (
-        vectors.select(key, F.posexplode(vector_col).alias("pos", "x"))
-        .groupBy(key, "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("mean"))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("parts"))
-        .select(key, F.transform("parts", lambda p: p["mean"]).alias("mean"))
-        .withColumn("length", V.norm(F.col("mean")))
-    )
-    return means.filter(F.col("length") > 0).select(
+    usable = F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull())
+    summed = vectors.filter(usable).select(key, array_to_vector(F.col(vector_col).cast("array<double>")).alias("v")).groupBy(key).agg(
+        vector_to_array(Summarizer.mean(F.col("v"))).alias("mean")
+    ).withColumn("length", V.norm(F.col("mean")))
+    return summed.filter(F.col("length") > 0).select(
         key, F.transform("mean", lambda x: x / F.col("length")).alias("vector")
     )
 
 
-class _Best:
-    """Running top k per query over batches of candidate vectors."""
-
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, digits: int):
-        self.ids, self.k, self.digits = ids, k, digits
-        lengths = np.linalg.norm(matrix, axis=1)
-        self.unit = np.divide(matrix, lengths[:, None], out=np.zeros_like(matrix), where=lengths[:, None] > 0)
-        self.kept: list[list[tuple]] = [[] for _ in ids]
-
-    def add(self, chunk_ids: np.ndarray, matrix: np.ndarray) -> None:
-        lengths = np.linalg.norm(matrix, axis=1)
-        unit = np.divide(matrix, lengths[:, None], out=np.zeros_like(matrix), where=lengths[:, None] > 0)
-        sims = np.round(np.maximum(self.unit @ unit.T, 0.0), self.digits)
-        for q, row in enumerate(sims):
-            kept = self.kept[q]
-            if len(kept) >= self.k:
-                near = np.nonzero(row >= -kept[-1][0])[0]
-            elif len(row) > self.k:
-                near = np.nonzero(row >= np.partition(row, -self.k)[-self.k])[0]
-            else:
-                near = np.arange(len(row))
-            if len(near):
-                merged = kept + [(-row[i], chunk_ids[i]) for i in near]
-                self.kept[q] = sorted(merged)[: self.k]
-
-    def rows(self) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(self.ids[q], c, -s) for q, kept in enumerate(self.kept) for s, c in kept],
-            columns=["query_id", "chunk_id", "score"],
-        )
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a list column as rows of length 1, or 0 where they are zero."""
+    lists = column.combine_chunks()
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = values.reshape(len(lists), -1)
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(np.float64)
+def _by_direction(matrix: np.ndarray) -> np.ndarray:
+    """An order that puts vectors of the same main direction together."""
+    main = np.abs(matrix).argmax(axis=1)
+    return np.lexsort((-np.abs(matrix[np.arange(len(matrix)), main]), 2 * main + (matrix[np.arange(len(matrix)), main] > 0)))
+
+
+def top_of_cell(
+    queries: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int, digits: int,
+    query_side: np.ndarray | None = None, vector_side: np.ndarray | None = None, tile: int | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, places) of the `k` vectors nearest to each query, both queries x k: best score first, then by
+    `order`, the rank of a vector among equals; place -1 where there are fewer. Pairs of equal sides do not count.
+
+    Scores are worked out tile by tile, `tile` x `tile` at a time. All vectors of a tile lie within a radius of its
+    centre, which bounds their score; a tile that cannot reach the k-th score of any query of the other tile
+    is skipped.
+    """
+    tile = tile or TILE
+    n = len(queries)
+    scores, places = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
+    tiles = []
+    for begin in range(0, len(vectors), tile):
+        part = vectors[begin : begin + tile]
+        centre = part.mean(axis=0)
+        tiles.append((begin, part, centre, np.linalg.norm(part - centre, axis=1).max()))
+    for first in range(0, n, tile):
+        q = queries[first : first + tile]
+        own, where = scores[first : first + tile], places[first : first + tile]
+        bounds = [np.maximum(q @ centre + radius, 0.0) for _, _, centre, radius in tiles]
+        for at in np.argsort([-b.max() for b in bounds], kind="stable"):
+            begin, part, _, _ = tiles[at]
+            open_rows = np.flatnonzero(bounds[at] + 10.0**-digits >= own[:, -1])
+            if not len(open_rows):
+                continue
+            found = np.round(np.maximum(q[open_rows] @ part.T, 0.0), digits)
+            if query_side is not None:
+                found[query_side[first + open_rows][:, None] == vector_side[None, begin : begin + len(part)]] = -1.0
+            # All that can enter a list, its ties included, meets the list; order settles ties.
+            rows, columns = np.nonzero((found >= np.maximum(own[open_rows, -1], 0.0)[:, None]))
+            if not len(rows):
+                continue
+            if len(rows) > 4 * k * len(open_rows):
+                kth = -np.partition(-found, min(k, found.shape[1]) - 1, axis=1)[:, min(k, found.shape[1]) - 1]
+                keep = found[rows, columns] >= kth[rows]
+                rows, columns = rows[keep], columns[keep]
+            touched = np.unique(rows)
+            all_rows = np.concatenate([rows, np.repeat(touched, k)])
+            all_scores = np.concatenate([found[rows, columns], own[open_rows[touched]].ravel()])
+            all_places = np.concatenate([columns + begin, where[open_rows[touched]].ravel()])
+            tie = np.where(all_places >= 0, order[all_places], np.iinfo(np.int64).max)
+            sorted_ = np.lexsort((tie, -all_scores, all_rows))
+            group = all_rows[sorted_]
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            take = sorted_[(starts[:, None] + np.arange(k)).ravel()]
+            own[open_rows[touched]] = all_scores[take].reshape(-1, k)
+            where[open_rows[touched]] = all_places[take].reshape(-1, k)
+    return scores, places
 
 
 def nearest(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    digits: int = 6,
-    max_shipped: int = MAX_SHIPPED_QUERIES,
-    grid_rows: int = GRID_ROWS,
+    queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, cell_bytes: int = CELL_BYTES, apart: str | None = None
 ) -> DataFrame:
     """Exact top-k cosine similarity (floored at 0): `query_id, chunk_id, score, rank`.
 
-    At most `max_shipped` + 1 queries are read first. A batch that fits is shipped to the tasks that scan the
-    vector table, and each task returns k rows per query. A larger batch meets the table in a grid
-    of bounded blocks. No query-vector pair is ever a row.
+    Both sides are dealt into blocks of about `cell_bytes`, and every block of queries meets every block of vectors
+    in a cell of a grid, where scores are worked out in tiles of fixed size (`top_of_cell`). A cell gives k
+    rows per query; no query-vector pair is ever a row, and nothing is gathered on the driver. With `apart`, a column
+    of both sides, vectors that have a query's value there do not count for it, and neither do null values.
     """
-    queries = queries.select("query_id", "vector").filter(F.size("vector") > 0)
-    vectors = vectors.select("chunk_id", "vector").filter(F.size("vector") > 0)
+    extra = [apart] if apart else []
+    queries = queries.select("query_id", "vector", *extra).filter(F.size("vector") > 0)
+    vectors = vectors.select("chunk_id", "vector", *extra).filter(F.size("vector") > 0)
+    if apart:
+        queries, vectors = queries.filter(F.col(apart).isNotNull()), vectors.filter(F.col(apart).isNotNull())
     schema = st.StructType([
         queries.schema["query_id"], vectors.schema["chunk_id"], st.StructField("score", st.DoubleType())
     ])
-    batch = queries.limit(max_shipped + 1).toPandas()
-    if len(batch) == 0:
-        local = queries.sparkSession.createDataFrame([], schema)
-    elif len(batch) <= max_shipped:
-        shipped = queries.sparkSession.sparkContext.broadcast((batch["query_id"].to_numpy(), _matrix(batch["vector"])))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(*shipped.value, k, digits)
-            for pdf in batches:
-                if len(pdf):
-                    best.add(pdf["chunk_id"].to_numpy(), _matrix(pdf["vector"]))
-            yield best.rows()
-
-        local = vectors.mapInPandas(scan, schema)
-    else:
-        local = _grid(queries, vectors, k, digits, grid_rows, schema)
-    return scale.top_rows(local, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
+    def size(rows: DataFrame) -> Column:
+        return rows.agg(F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0)).alias("n")).scalar()
 
-def _grid(
-    queries: DataFrame, vectors: DataFrame, k: int, digits: int, grid_rows: int, schema: st.StructType
-) -> DataFrame:
-    n_queries, n_vectors = queries.count(), vectors.count()
-    q_blocks, v_blocks = -(-n_queries // grid_rows), max(1, -(-n_vectors // grid_rows))
+    bytes_q, bytes_v = queries.sparkSession.range(1).select(size(queries), size(vectors)).first()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-bytes_q // cell_bytes))
+    # Small tables are cut finer, so that all cores have a cell, but not below a tile's worth.
+    v_blocks = max(1, -(-bytes_v // cell_bytes), min(cores // q_blocks, bytes_v // MIN_CELL_BYTES))
 
     def block(column: str, n: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
-    left = queries.withColumn("qb", block("query_id", q_blocks)).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)))
-    )
-    right = vectors.withColumn("vb", block("chunk_id", v_blocks)).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
+    left = queries.withColumn("qb", block("query_id", q_blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
+    right = vectors.withColumn("vb", block("chunk_id", v_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
-    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    def meet(q: pa.Table, v: pa.Table) -> pa.Table:
+        names = schema.fieldNames()
         if not len(q) or not len(v):
-            return pd.DataFrame(columns=["query_id", "chunk_id", "score"])
-        best = _Best(q["query_id"].to_numpy(), _matrix(q["vector"]), k, digits)
-        best.add(v["chunk_id"].to_numpy(), _matrix(v["vector"]))
-        return best.rows()
+            return pa.table([q.column("query_id").slice(0, 0), v.column("chunk_id").slice(0, 0), pa.array([], pa.float64())], names=names)
+        unit = _units(v.column("vector"))
+        along = _by_direction(unit)
+        v, unit = v.take(pa.array(along)), unit[along]
+        rank = np.empty(len(v), np.int64)
+        rank[pc.sort_indices(v, [("chunk_id", "ascending")]).to_numpy()] = np.arange(len(v))
+        sides = [None, None]
+        if apart:
+            coded = pa.concat_arrays([q.column(apart).combine_chunks(), v.column(apart).combine_chunks()]).dictionary_encode().indices.to_numpy()
+            sides = [coded[: len(q)], coded[len(q) :]]
+        scores, places = top_of_cell(_units(q.column("vector")), unit, rank, min(k, len(v)), digits, *sides)
+        row, column = np.nonzero(places >= 0)
+        good = scores[row, column] >= 0
+        row, column = row[good], column[good]
+        return pa.table([
+            q.column("query_id").take(pa.array(row)), v.column("chunk_id").take(pa.array(places[row, column])),
+            pa.array(scores[row, column]),
+        ], names=names)
+
+    local = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, schema)
+    return scale.top_rows(local, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, schema)
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.vstack(column.to_numpy()).astype(np.float64)
 
 
 def prototype_gate(

@@ -153,7 +153,6 @@ def related_pages(
     chunk_pages: DataFrame,
     vectors: DataFrame,
     floor: float = 0.65,
-    candidate_pages: int = 8,
     fallback: DataFrame | None = None,
     embedder: Embedder | None = None,
 ) -> DataFrame:
@@ -176,12 +175,12 @@ def related_pages(
         centres = centres.unionByName(
             missing.select("url", embedder.vector(F.col("t")).cast("array<double>").alias("vector"))
         )
-    near = embedding.nearest(
-        centres.withColumnRenamed("url", "query_id"), vectors, max(candidate_pages * 4, 20)
+    # The page itself is on its own site, so leaving out the site leaves out both, before the best is taken.
+    located = vectors.select("chunk_id", "vector").join(chunk_pages.select("chunk_id", "page_url"), "chunk_id").select(
+        "chunk_id", "vector", U.authority(F.col("page_url")).alias("site")
     )
-    located = near.withColumnRenamed("query_id", "url").join(chunk_pages.select("chunk_id", "page_url"), "chunk_id")
-    others = located.filter(
-        (F.col("page_url") != F.col("url")) & (U.authority(F.col("page_url")) != U.authority(F.col("url")))
+    asked = centres.select(F.col("url").alias("query_id"), "vector", U.authority(F.col("url")).alias("site"))
+    best = embedding.nearest(asked, located, 1, apart="site").filter(F.col("score") >= floor)
+    return best.join(chunk_pages.select("chunk_id", "page_url"), "chunk_id").select(
+        F.col("query_id").alias("url"), "page_url", "chunk_id", F.col("score").alias("similarity")
     )
-    best = scale.first_rows(others, ["url"], [F.desc("score"), F.asc("rank")])
-    return best.filter(F.col("score") >= floor).select("url", "page_url", "chunk_id", F.col("score").alias("similarity"))

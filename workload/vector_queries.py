@@ -117,8 +117,7 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e,
 cells AS (SELECT page_url, i AS pos, avg(e[i]) AS m FROM v, unnest(range(1, 65)) AS r(i) GROUP BY 1, 2),
 c AS (SELECT page_url AS url, list(m ORDER BY pos) AS ce FROM cells GROUP BY 1),
 s AS (SELECT url, vec_id AS chunk_id, page_url, round(greatest(0, list_cosine_similarity(ce, e)), 6) AS sim FROM c, v),
-r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY sim DESC, chunk_id) AS rn FROM s),
-o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY sim DESC, rn) AS b FROM r WHERE rn <= 32 AND page_url <> url
+o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY sim DESC, chunk_id) AS b FROM s WHERE page_url <> url
       AND regexp_extract(page_url, '//([^/]*)', 1) <> regexp_extract(url, '//([^/]*)', 1))
 SELECT url, page_url, chunk_id, sim AS similarity FROM o WHERE b = 1 AND sim >= 0.3
 """
