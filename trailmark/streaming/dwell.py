@@ -21,6 +21,7 @@ MIN_DWELL_SECONDS = 30.0
 _STATE = st.StructType([
     st.StructField("start", st.LongType()), st.StructField("url", st.StringType()),
     st.StructField("title", st.StringType()), st.StructField("processed", st.BooleanType()),
+    st.StructField("last", st.LongType()),
 ])
 
 
@@ -31,18 +32,62 @@ def trackable(events: DataFrame) -> DataFrame:
 
 
 class DwellProcessor(StatefulProcessor):
-    """One small state per tab: start, url, title and whether the visit was already reported.
+    """One small state per tab: start, url, title, whether the visit was already reported, time of the last event.
 
     A visit is reported once, when its dwell time reaches the threshold: on navigation, on close, or
-    on a timer event. A page that may not be captured neither ends nor replaces the visit before it.
+    on an alarm event. A page that may not be captured neither ends nor replaces the visit before it.
+    With `timers` a visit is reported as soon as event time passes its threshold, with that dwell time, however
+    the rows fall into micro-batches. The state of a tab without events for `ttl_seconds` of event time is dropped.
     """
 
-    def __init__(self, min_seconds: float = MIN_DWELL_SECONDS):
+    def __init__(self, min_seconds: float = MIN_DWELL_SECONDS, timers: bool = False, ttl_seconds: float | None = None):
         self.min_micros = int(min_seconds * 1_000_000)
+        self.timers = timers
+        self.ttl_micros = None if ttl_seconds is None else int(ttl_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.tab = handle.getValueState("tab", _STATE)
 
+    def _due(self, current: list | None) -> int | None:
+        """When the visit reaches the threshold, if it is still to be reported."""
+        if self.timers and current and current[1] is not None and not current[3]:
+            return current[0] + self.min_micros
+        return None
+
+    def _keep(self, current: list | None) -> None:
+        if current is None:
+            self.tab.clear()
+            return
+        self.tab.update(tuple(current))
+        due = self._due(current)
+        if due is not None:
+            self.handle.registerTimer(-(-due // 1000))
+        if self.ttl_micros is not None:
+            self.handle.registerTimer(-(-(current[4] + self.ttl_micros) // 1000))
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["tab_id", "url", "title", "start", "dwell_seconds"])
+        frame["start"] = pd.to_datetime(frame["start"], unit="us", utc=True)
+        return frame
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        current = self.tab.get() if self.tab.exists() else None
+        if current is None:
+            return
+        current, now, out = list(current), expiredTimerInfo.getExpiryTimeInMs() * 1000, []
+        due = self._due(current)
+        if due is not None and due <= now:
+            out.append((key[0], current[1], current[2], current[0], self.min_micros / 1e6))
+            current[3] = True
+        if self.ttl_micros is not None and current[4] + self.ttl_micros <= now:
+            self.tab.clear()
+        else:
+            self.tab.update(tuple(current))
+        if out:
+            yield self._frame(out)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         current = self.tab.get() if self.tab.exists() else None
         current = list(current) if current is not None else None
@@ -59,12 +104,21 @@ class DwellProcessor(StatefulProcessor):
         for micros, kind, url, title in zip(batch["micros"], batch["kind"], batch["url"], batch["title"]):
             micros = int(micros)
             known = isinstance(url, str)
+            if current and self.ttl_micros is not None and current[4] + self.ttl_micros <= micros:
+                due = self._due(current)
+                if due is not None and due <= micros:
+                    report(due)
+                current = None
+            due = self._due(current)
+            if due is not None and due <= micros:
+                report(due)
+                current[3] = True
             if kind == "updated" and known:
                 report(micros)
-                current = [micros, url, title, False]
+                current = [micros, url, title, False, micros]
             elif kind == "activated":
                 if current is None:
-                    current = [micros, None, None, False]
+                    current = [micros, None, None, False, micros]
                 if known:
                     current[1], current[2] = url, title
             elif kind == "removed":
@@ -72,29 +126,35 @@ class DwellProcessor(StatefulProcessor):
                 current = None
             elif kind == "alarm" and report(micros):
                 current[3] = True
+            if current:
+                current[4] = micros
 
-        if current is None:
-            self.tab.clear()
-        else:
-            self.tab.update(tuple(current))
+        self._keep(current)
         if out:
-            frame = pd.DataFrame(out, columns=["tab_id", "url", "title", "start", "dwell_seconds"])
-            frame["start"] = pd.to_datetime(frame["start"], unit="us", utc=True)
-            yield frame
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def stream_dwell(events: DataFrame, min_seconds: float = MIN_DWELL_SECONDS) -> DataFrame:
-    """Visits (schema DWELL) from a stream of tab events with a `seq` column for equal times."""
+def stream_dwell(
+    events: DataFrame, min_seconds: float = MIN_DWELL_SECONDS, timers: bool = False, ttl_seconds: float | None = None,
+    late: str = "0 seconds",
+) -> DataFrame:
+    """Visits (schema DWELL) from a stream of tab events with a `seq` column for equal times.
+
+    `timers` and `ttl_seconds` follow the watermark, which stays `late` behind the newest event.
+    """
     # The processor is also loaded outside the executors, where shipped files are not on the path.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    rows = trackable(events).select("tab_id", F.unix_micros("ts").alias("micros"), "seq", "kind", "url", "title")
+    timed = timers or ttl_seconds is not None
+    rows = trackable(events.withWatermark("ts", late) if timed else events).select(
+        "tab_id", F.unix_micros("ts").alias("micros"), "seq", "kind", "url", "title", *["ts"] * timed
+    )
     return rows.groupBy("tab_id").transformWithStateInPandas(
-        statefulProcessor=DwellProcessor(min_seconds), outputStructType=schemas.DWELL,
-        outputMode="Append", timeMode="None",
+        statefulProcessor=DwellProcessor(min_seconds, timers, ttl_seconds), outputStructType=schemas.DWELL,
+        outputMode="Append", timeMode="EventTime" if timed else "None",
     )
 
 

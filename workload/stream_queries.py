@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,44 +15,57 @@ from trailmark.session import materialize, scratch_root
 from trailmark.sources.tables import Snapshots, stream_visits
 from trailmark.streaming import activity, dwell
 from trailmark.streaming import ingest as streams
+from trailmark.streaming.sinks import KeyedSink
 from workload import base, state_queries
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = base.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+#: Events reach a stream in three parts, cut at these times.
+CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 
 
 def _folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/streams/{uuid.uuid4().hex}"
 
 
-def _finish(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream to the end of its input and returns what it wrote last."""
-    spark = stream.sparkSession
-    folder = _folder(spark)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    query = (
-        stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
+def _three_parts(events: DataFrame) -> list[DataFrame]:
+    zoned = events.schema["ts"].dataType.simpleString() == "timestamp"
+    first, second = (base.instant(c) if zoned else F.lit(c).cast("timestamp_ntz") for c in CUTS)
+    ts = F.col("ts")
+    return [events.filter(c) for c in (ts < first, (ts >= first) & (ts < second), ts >= second)]
 
 
-def _tab_events(events: DataFrame, pages: DataFrame) -> DataFrame:
-    """Users as tabs: an error closes the tab, a click is a timer tick, everything else navigates."""
+def _run(
+    spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFrame], DataFrame], keys: Sequence[str] | None = None
+) -> DataFrame:
+    """Runs a stream on one part after the other, each a micro-batch of its own, and returns what it wrote: all
+    rows in append mode or, with `keys`, the newest row of each key in update mode."""
+    folder = _folder(spark)
+    schema = parts[0].schema
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = job(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        sink = KeyedSink(spark, f"{folder}/out", stream.schema, keys or stream.columns)
+        stream.writeStream.foreachBatch(sink.write).outputMode("update" if keys else "append").option(
+            "checkpointLocation", f"{folder}/state"
+        ).trigger(availableNow=True).start().awaitTermination()
+        if keys:
+            sink.compact()
+    return sink.read() if keys else spark.read.schema(stream.schema).parquet(f"{folder}/out/batches/batch=*")
+
+
+def _tab_events(events: DataFrame, pages: DataFrame, rich: bool = False) -> DataFrame:
+    """Users as tabs: an error closes the tab, everything else navigates; `rich`: a click is an alarm and a
+    signup activates the tab."""
     n = pages.agg(F.count("*").alias("n")).scalar()
     urls = pages.select(F.col("page_id").alias("page_no"), "url")
-    kind = F.when(F.col("event_type") == "error", F.lit("removed")).otherwise(F.lit("updated"))
+    kind = F.when(F.col("event_type") == "error", F.lit("removed"))
+    if rich:
+        kind = kind.when(F.col("event_type") == "click", F.lit("alarm")).when(F.col("event_type") == "signup", F.lit("activated"))
     return (
         events.withColumn("page_no", F.pmod(F.col("event_id"), n)).join(urls, "page_no")
         .select(
             F.col("user_id").alias("tab_id"), times.ntz_instant(F.col("ts")).alias("ts"), F.col("event_id").alias("seq"),
-            kind.alias("kind"), "url", F.col("event_type").alias("title"),
+            kind.otherwise(F.lit("updated")).alias("kind"), "url", F.col("event_type").alias("title"),
         )
     )
 
@@ -68,8 +82,57 @@ def dwell_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tabs = _tab_events(_stream(spark, sf_dir, "events"), base.table(spark, sf_dir, "pages"))
-    return _shown(_finish(dwell.stream_dwell(tabs)))
+    """Navigation, activation, alarms and closes in three micro-batches: visits go on from one to the next."""
+    pages = base.table(spark, sf_dir, "pages")
+    parts = _three_parts(base.table(spark, sf_dir, "events"))
+    return _shown(_run(spark, parts, lambda events: dwell.stream_dwell(_tab_events(events, pages, rich=True))))
+
+
+STREAM_DWELL = r"""
+WITH t AS (SELECT user_id AS tab_id, ts, event_id AS seq, event_type AS title, p.url,
+    CASE event_type WHEN 'error' THEN 'removed' WHEN 'click' THEN 'alarm' WHEN 'signup' THEN 'activated' ELSE 'updated' END AS kind
+  FROM events JOIN pages p ON p.page_id = event_id % (SELECT count(*) FROM pages)),
+m AS (SELECT *, lag(kind) OVER (PARTITION BY tab_id ORDER BY ts, seq) AS before FROM t WHERE kind <> 'alarm'),
+s AS (SELECT tab_id, ts, seq, kind = 'updated' OR (kind = 'activated' AND coalesce(before, 'removed') = 'removed') AS starts FROM m),
+g AS (SELECT t.*, coalesce(starts, false) AS starts,
+    count(*) FILTER (starts) OVER (PARTITION BY t.tab_id ORDER BY t.ts, t.seq) AS visit FROM t LEFT JOIN s USING (tab_id, ts, seq)),
+opened AS (SELECT tab_id, visit, ts AS start FROM g WHERE starts),
+closed AS (SELECT tab_id, visit, min(row(ts, seq)) AS mark FROM g WHERE kind = 'removed' GROUP BY 1, 2),
+ends AS (SELECT g.tab_id, g.visit, g.ts, g.seq FROM g LEFT JOIN closed c USING (tab_id, visit)
+    WHERE kind IN ('alarm', 'removed') AND (c.mark IS NULL OR row(g.ts, g.seq) <= c.mark)
+  UNION ALL SELECT g.tab_id, g.visit - 1, g.ts, g.seq FROM g LEFT JOIN closed c ON c.tab_id = g.tab_id AND c.visit = g.visit - 1
+    WHERE starts AND c.mark IS NULL),
+told AS (SELECT o.tab_id, o.visit, o.start, min(row(e.ts, e.seq)) AS mark FROM opened o JOIN ends e USING (tab_id, visit)
+  WHERE epoch_us(e.ts) - epoch_us(o.start) >= 30000000 GROUP BY 1, 2, 3),
+seen AS (SELECT o.tab_id, o.visit, o.start, o.mark, arg_max(g.url, row(g.ts, g.seq)) AS url, arg_max(g.title, row(g.ts, g.seq)) AS title
+  FROM told o JOIN g USING (tab_id, visit) WHERE (g.starts OR g.kind = 'activated') AND row(g.ts, g.seq) < o.mark GROUP BY ALL)
+SELECT tab_id, url, title, epoch_us(start) AS start, round((epoch_us(struct_extract(mark, 1)) - epoch_us(start)) / 1e6, 3) AS dwell_seconds FROM seen
+"""
+
+
+def stream_dwell_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tabs with event-time timers: every visit is told as soon as it reaches the threshold. The last
+    event of a tab waits for its timer, which an event of another day sets off."""
+    events = base.table(spark, sf_dir, "events")
+    pages = base.table(spark, sf_dir, "pages")
+    later = F.expr("max(ts) + INTERVAL 2 DAYS")
+    last = events.agg(F.lit(-1).cast("long").alias("event_id"), later.alias("ts"), F.lit(-1).cast("long").alias("user_id")).select(
+        *[F.col(f.name) if f.name in ("event_id", "ts", "user_id") else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    ).withColumn("event_type", F.lit("error"))
+    visits = _run(
+        spark, [*_three_parts(events), last], lambda rows: dwell.stream_dwell(_tab_events(rows, pages), timers=True, ttl_seconds=86_400.0)
+    )
+    return _shown(visits)
+
+
+DWELL_TIMERS = r"""
+WITH t AS (SELECT user_id AS tab_id, ts, event_id, event_type AS title, p.url,
+    CASE WHEN event_type = 'error' THEN 'removed' ELSE 'updated' END AS kind
+  FROM events JOIN pages p ON p.page_id = event_id % (SELECT count(*) FROM pages)),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY tab_id ORDER BY ts, event_id) AS until FROM t)
+SELECT tab_id, url, title, epoch_us(ts) AS start, 30.0::DOUBLE AS dwell_seconds
+FROM n WHERE kind = 'updated' AND (until IS NULL OR epoch_us(until) - epoch_us(ts) >= 30000000)
+"""
 
 
 DWELL = r"""
@@ -91,9 +154,15 @@ def stream_skip_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     n = verdicts.agg(F.count("*").alias("n")).scalar()
-    events = _stream(spark, sf_dir, "events").withColumn("page_no", F.pmod(F.col("event_id"), n))
-    skips = events.join(verdicts, "page_no").select("domain", "reason", times.ntz_instant(F.col("ts")).alias("ts"))
-    return _finish(streams.running_skips(skips), "update").select(
+
+    def skips(events: DataFrame) -> DataFrame:
+        numbered = events.withColumn("page_no", F.pmod(F.col("event_id"), n))
+        return streams.running_skips(
+            numbered.join(verdicts, "page_no").select("domain", "reason", times.ntz_instant(F.col("ts")).alias("ts"))
+        )
+
+    parts = _three_parts(base.table(spark, sf_dir, "events"))
+    return _run(spark, parts, skips, keys=["domain", "reason"]).select(
         "domain", "reason", "count", F.unix_micros("last_seen").alias("last_seen")
     )
 
@@ -142,13 +211,16 @@ UNION ALL SELECT 'page', h.url || ' ' || left(sha256(p.content || ' ' || h.event
 
 
 def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact repeats within one stream run: first visits per user and event type survive."""
-    events = _stream(spark, sf_dir, "events")
-    visits = events.select(
-        F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.com/")).alias("url"),
-        F.col("event_type").alias("content"), times.ntz_instant(F.col("ts")).alias("ts"),
-    )
-    return _finish(streams.drop_repeats(visits, "60 days")).groupBy("url").agg(F.count("*").alias("kept"))
+    """Exact repeats across three micro-batches: first visits per user and event type survive."""
+    def job(events: DataFrame) -> DataFrame:
+        visits = events.select(
+            F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.com/")).alias("url"),
+            F.col("event_type").alias("content"), times.ntz_instant(F.col("ts")).alias("ts"),
+        )
+        return streams.drop_repeats(visits, "60 days")
+
+    found = _run(spark, _three_parts(base.table(spark, sf_dir, "events")), job)
+    return found.groupBy("url").agg(F.count("*").alias("kept"))
 
 
 STREAM_REPEATS = """
@@ -178,11 +250,44 @@ s AS (SELECT user_id, ts, count(*) FILTER (gap) OVER (PARTITION BY user_id ORDER
 SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 6 HOURS) AS session_end, count(*) AS n FROM s GROUP BY user_id, k
 """
 
+
+
+# ---- activity as streams: late rows, windows and sessions that go on in the next micro-batch ------
+
+_LATE = "event_id % 50 = 7"
+
+
+def _with_late_rows(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three parts; some rows of the first come with the third, far behind the watermark. A last row of no user
+    lets all windows end."""
+    events = base.table(spark, sf_dir, "events").select("event_id", "user_id", times.ntz_instant(F.col("ts")).alias("ts"))
+    first, second, third = _three_parts(events)
+    end = events.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.expr("max(ts) + INTERVAL 9 DAYS").alias("ts"))
+    return [first.filter(f"NOT ({_LATE})"), second, third.unionByName(first.filter(_LATE)), end]
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _run(spark, _with_late_rows(spark, sf_dir), activity.activity_windows).filter("user_id >= 0")
+    return found.select("user_id", F.unix_micros("window_start").alias("window_start"), "n")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _run(spark, _with_late_rows(spark, sf_dir), lambda events: activity.sessions(events, "6 hours")).filter("user_id >= 0")
+    return found.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
+
+
+_ON_TIME = f"events AS (SELECT * FROM main.events WHERE NOT ({_LATE} AND ts < TIMESTAMP '{CUTS[0]}'))"
+STREAM_WINDOWS = f"WITH {_ON_TIME} {ACTIVITY_WINDOWS.strip()}"
+STREAM_SESSIONS = ACTIVITY_SESSIONS.replace("WITH e AS", f"WITH {_ON_TIME}, e AS", 1)
+
 QUERIES = {
     "activity_windows": (activity_windows, ACTIVITY_WINDOWS),
     "activity_sessions": (activity_sessions, ACTIVITY_SESSIONS),
     "dwell_batch": (dwell_batch, DWELL),
-    "stream_dwell": (stream_dwell, DWELL),
+    "stream_dwell": (stream_dwell, STREAM_DWELL),
+    "stream_dwell_timers": (stream_dwell_timers, DWELL_TIMERS),
+    "stream_windows": (stream_windows, STREAM_WINDOWS),
+    "stream_sessions": (stream_sessions, STREAM_SESSIONS),
     "stream_skip_stats": (stream_skip_stats, STREAM_SKIPS),
     "stream_ingest": (stream_ingest, STREAM_INGEST),
     "stream_repeats": (stream_repeats, STREAM_REPEATS),
