@@ -197,3 +197,27 @@ def test_entity_names_match_at_word_boundaries(spark):
     queries = spark.createDataFrame([(1, "start art with go  lang"), (2, "the C++ Builder and AI; go lang!")], "query_id int, query string")
     got = rows(entities.match_queries(queries, known).select("query_id", "key"))
     assert got == [(1, "art"), (2, "c++ builder"), (2, "go lang")]
+
+
+def test_pairs_of_blocks_equal_pairs_of_pages(spark):
+    from itertools import combinations
+
+    sizes = {"p1": 1, "p2": 2, "p9": 9, "p40": 40, "p4": 4}
+    names = {p: [f"e{i:02}" for i in range(n)] for p, n in sizes.items()}
+    page_rows = spark.createDataFrame([(p, e, len(es)) for p, es in names.items() for e in es], "page_url string, key string, ts int")
+    got = [tuple(r) for r in entities.page_pairs(page_rows, ("ts",), block=4).collect()]
+    assert sorted(got) == sorted((p, len(es), a, b) for p, es in names.items() for a, b in combinations(es, 2))
+    old = page_rows.filter("page_url <> 'p2'")
+    delta = entities.edge_delta(old.filter("page_url = 'p9'"), page_rows.filter("page_url IN ('p9', 'p2') AND key <> 'e00'"))
+    after = rows(entities.apply_delta(entities.cooccurrence(old), delta))
+    assert after == rows(entities.cooccurrence(page_rows.filter("NOT (page_url IN ('p9', 'p2') AND key = 'e00')")))
+
+
+def test_card_pages_are_picked(spark):
+    from trailmark.operators import assembly
+
+    pages = spark.createDataFrame([(f"https://a.org/{i}",) for i in range(20)], "url string")
+    asked = spark.createDataFrame([("https://a.org/3/",), ("https://a.org/4",), ("https://a.org/none",)], "url string")
+    assert sorted(r.url for r in assembly.pick_pages(pages, asked).collect()) == ["https://a.org/3", "https://a.org/4"]
+    first = [assembly.pick_pages(pages, seed=s).first().url for s in ("a", "a", "b", "c", "d")]
+    assert first[0] == first[1] and len(set(first)) > 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import text as T
 from trailmark.functions import times
-from trailmark.operators import scale
+from trailmark.operators import scale, state
 
 CONTEXT_CHARS = 600
 ANSWER_CHARS = 200
@@ -81,8 +81,22 @@ def digest_input(pages: DataFrame, as_of: Column, days: int = 7, fallback: int =
     return listed.select("page_count", T.sanitize(text).alias("content"))
 
 
-def card_inputs(chunks: DataFrame, first: int = 6, chars: int = 3000) -> DataFrame:
-    """`page_url, content`: the first chunks of each page joined and cut."""
+def pick_pages(pages: DataFrame, urls: DataFrame | None = None, seed: str | None = None, k: int = 1) -> DataFrame:
+    """`url` of the pages to make cards of: those asked for (`url`, with or without a slash at the end) that are stored,
+    or else the first `k` in an order that the seed decides."""
+    known = pages.select("url").distinct()
+    if urls is not None:
+        return state.resolve_urls(urls, known)
+    order = F.md5(F.concat(F.lit(seed or ""), F.col("url")))
+    return known.orderBy(order, "url").limit(k)
+
+
+def card_inputs(chunks: DataFrame, first: int = 6, chars: int = 3000, pages: DataFrame | None = None) -> DataFrame:
+    """`page_url, content`: the first chunks of each page, or of each of `pages` (`url`), joined and cut."""
+    if pages is not None:
+        chunks = scale.lookup_join(
+            chunks, pages.select(F.col("url").alias("page_url")).distinct(), "page_url", "left_semi", spread_by=F.col("chunk_index")
+        )
     head = scale.top_rows(
         chunks.filter(F.coalesce("text", F.lit("")) != ""), ["page_url"], [F.asc("chunk_index")], first
     )

@@ -13,6 +13,8 @@ from trailmark.operators import lexical, scale
 
 SPAN_TYPE = "array<struct<name:string,label:string>>"
 Recognizer = Callable[[Column], Column]
+# Names of a page whose pairs are unfolded where the page is.
+PAIR_BLOCK = 512
 
 # Runs of capitalised words, or digit runs. Possessive, so that a run of any length takes no stack.
 NAME_PATTERN = r"\p{Lu}[\p{L}\p{N}]*+(?: \p{Lu}[\p{L}\p{N}]*+)*+|\p{N}++"
@@ -109,16 +111,30 @@ def frequencies(page_rows: DataFrame, times: DataFrame | None = None) -> DataFra
     return rows.select("key", F.col("e.name").alias("name"), F.col("e.entity_type").alias("entity_type"), "frequency", *seen)
 
 
-def page_pairs(page_rows: DataFrame) -> DataFrame:
-    """`page_url, a, b`: unordered pairs of entities on a page, a < b.
+def page_pairs(page_rows: DataFrame, carry: tuple[str, ...] = (), block: int = PAIR_BLOCK) -> DataFrame:
+    """`page_url, a, b`: unordered pairs of entities on a page, a < b, and the page's columns `carry`.
 
-    The pairs are the edges of the graph. They are unfolded one entity at a time from the sorted
-    name list of a page and never held together.
+    The pairs are the edges of the graph. They are unfolded one entity at a time from the sorted name list of a
+    page and never held together. The list of a page with more than `block` names is cut into blocks, and
+    every pair of blocks is dealt out as work of its own.
     """
-    lists = page_rows.groupBy("page_url").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    heads = lists.select("page_url", "keys", F.posexplode("keys").alias("i", "a"))
-    rest = F.slice("keys", F.col("i") + 2, F.size("keys"))
-    return heads.select("page_url", "a", F.explode(rest).alias("b"))
+    keys = ["page_url", *carry]
+    lists = page_rows.groupBy(*keys).agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    small = lists.filter(F.size("keys") <= block).select(*keys, F.posexplode("keys").alias("i", "a"), "keys")
+    pairs = small.select(*keys, "a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b"))
+
+    def cut(n: Column) -> Column:
+        return F.slice("keys", n * block + 1, F.lit(block))
+
+    large = lists.filter(F.size("keys") > block)
+    last = F.ceil(F.size("keys") / block).cast("int") - 1
+    heads = large.select(*keys, "keys", F.explode(F.sequence(F.lit(0), last)).alias("hi"), last.alias("last"))
+    blocks = heads.select(*keys, "keys", "hi", F.explode(F.sequence("hi", "last")).alias("lo")).select(
+        *keys, "hi", "lo", cut(F.col("hi")).alias("left"), cut(F.col("lo")).alias("right")
+    ).repartition("page_url", "hi", "lo")
+    rest = F.when(F.col("hi") == F.col("lo"), F.slice("right", F.col("i") + 2, F.size("right"))).otherwise(F.col("right"))
+    met = blocks.select(*keys, "hi", "lo", "right", F.posexplode("left").alias("i", "a")).select(*keys, "a", F.explode(rest).alias("b"))
+    return pairs.unionByName(met)
 
 
 def cooccurrence(page_rows: DataFrame) -> DataFrame:
@@ -126,11 +142,30 @@ def cooccurrence(page_rows: DataFrame) -> DataFrame:
     return page_pairs(page_rows).groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
 
 
+def cooccurrence_without(page_rows: DataFrame, evicted: DataFrame) -> DataFrame:
+    """The edges of all pages but those of `evicted` (`page_url`), which are left out before pairs are made."""
+    gone = evicted.select("page_url").distinct()
+    return cooccurrence(scale.lookup_join(page_rows, gone, "page_url", "left_anti", spread_by=F.col("key")))
+
+
+def edge_delta(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`a, b, weight`: what edges gain or lose when pages have the entities `new` in place of `old`. Only
+    the replaced pages make pairs."""
+    pairs = page_pairs(new).select("a", "b", F.lit(1.0).alias("n")).unionByName(page_pairs(old).select("a", "b", F.lit(-1.0).alias("n")))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("weight")).filter("weight <> 0")
+
+
+def apply_delta(edges: DataFrame, delta: DataFrame) -> DataFrame:
+    """The edges with `edge_delta` added; an edge that no page shows any more goes."""
+    both = edges.select("a", "b", "weight").unionByName(delta.select("a", "b", "weight"))
+    return both.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 0")
+
+
 def relation_sources(page_rows: DataFrame, times: DataFrame) -> DataFrame:
-    """`a, b, weight, source_url`: with the first page that showed the pair."""
+    """`a, b, weight, source_url`: with the first page that showed the pair. Pages without a time are left out
+    before pairs are made."""
     return (
-        page_pairs(page_rows)
-        .join(times, "page_url")
+        page_pairs(page_rows.join(times, "page_url"), ("ts",))
         .groupBy("a", "b")
         .agg(
             F.count("*").cast("double").alias("weight"),

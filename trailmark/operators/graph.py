@@ -176,12 +176,6 @@ def components(entities: DataFrame, edges: DataFrame, max_rounds: int = 64) -> D
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
-def prune(pairs: DataFrame, evicted: DataFrame) -> DataFrame:
-    """Edges left after the pages of `evicted` (`page_url`) are taken out of `page_url, a, b`."""
-    kept = scale.lookup_join(pairs, evicted.select("page_url").distinct(), "page_url", "left_anti", spread_by=F.col("a"))
-    return kept.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
-
-
 def isolated(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Entities without an edge."""
     linked = both_ways(edges).select(F.col("src").alias("key")).distinct()

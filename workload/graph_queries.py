@@ -204,7 +204,7 @@ def prune_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges left after the pages visited before mid-month are evicted."""
     rows = _page_rows(spark, sf_dir)
     old = _times(spark, sf_dir).filter(F.col("ts") < base.instant("2024-01-02 00:00:00")).select("page_url")
-    return graph.prune(entities.page_pairs(rows), old)
+    return entities.cooccurrence_without(rows, old)
 
 
 PRUNE = f"""

@@ -1,7 +1,7 @@
 """All registered queries: name -> (query, check SQL or None)."""
 
 from trailmark.session import ship_package
-from workload import graph_queries, page_queries, search_queries, state_queries, stream_queries, vector_queries
+from workload import graph_queries, page_queries, search_queries, state_queries, stream_queries, variant_queries, vector_queries
 
 _QUERIES = {
     **search_queries.QUERIES,
@@ -10,6 +10,7 @@ _QUERIES = {
     **graph_queries.QUERIES,
     **state_queries.QUERIES,
     **stream_queries.QUERIES,
+    **variant_queries.QUERIES,
 }
 
 

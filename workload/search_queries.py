@@ -449,6 +449,40 @@ SELECT page_url, left(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 3000
 """
 
 
+def _card_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = base.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang").alias("page_url"), F.col("doc_id").alias("chunk_index"), "text"
+    )
+    return docs, docs.select(F.col("page_url").alias("url")).distinct()
+
+
+def card_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of the German pages, asked for with a slash that they are not stored with."""
+    chunks, pages = _card_pages(spark, sf_dir)
+    asked = pages.filter(F.col("url").endswith("/de")).select(F.concat("url", F.lit("/")).alias("url"))
+    return assembly.card_inputs(chunks, pages=assembly.pick_pages(pages, asked))
+
+
+def card_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards of three pages that a seed picks."""
+    chunks, pages = _card_pages(spark, sf_dir)
+    return assembly.card_inputs(chunks, pages=assembly.pick_pages(pages, seed="trail", k=3))
+
+
+def _card_sql(condition: str) -> str:
+    return f"""
+WITH d AS (SELECT 'https://' || source || '.example.com/' || lang AS page_url, doc_id, text FROM documents),
+p AS (SELECT DISTINCT page_url FROM d), chosen AS (SELECT page_url FROM p {condition}),
+r AS (SELECT page_url, doc_id, text, row_number() OVER (PARTITION BY page_url ORDER BY doc_id) AS rn FROM d
+  WHERE text <> '' AND page_url IN (SELECT page_url FROM chosen))
+SELECT page_url, left(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 3000) AS content FROM r WHERE rn <= 6 GROUP BY 1
+"""
+
+
+CARD_BY_URL = _card_sql("WHERE page_url LIKE '%/de'")
+CARD_BY_SEED = _card_sql("ORDER BY md5('trail' || page_url), page_url LIMIT 3")
+
+
 def daily_resurface(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _corpus(spark, sf_dir)
     # The documents spread over the first three days of the month: seen from its fourth.
@@ -500,5 +534,7 @@ QUERIES = {
     "last_40_turns": (last_40_turns, LAST_TURNS),
     "digest_input": (digest_input, DIGEST),
     "card_input": (card_input, CARD_INPUT),
+    "card_by_url": (card_by_url, CARD_BY_URL),
+    "card_by_seed": (card_by_seed, CARD_BY_SEED),
     "daily_resurface": (daily_resurface, RESURFACE),
 }
