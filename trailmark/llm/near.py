@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import common
+from trailmark.operators import scale
 
 WORDS = 5
 PERCENT = 75
@@ -38,6 +39,8 @@ AGREEING = 74
 BLOCK_SHINGLES = 2_000_000
 #: Documents of a block of a node.
 NODE_BLOCK = 8192
+#: The size of a node of more documents than this is sent to its documents.
+LARGE_NODE = 500
 _WORDS_HELD = 150_000
 
 _U = np.uint64
@@ -274,12 +277,24 @@ def _across(links: DataFrame, large: DataFrame, limit: int, compare) -> DataFram
     return links
 
 
+def _with_sizes(rows: DataFrame) -> DataFrame:
+    """`node, id, n` of `node, id`: with the number of documents of the node, where that is more than one.
+
+    The rows of a large node stay where they are: large nodes are few, so their sizes go to the rows. All other
+    nodes fit in a task.
+    """
+    sizes = common.cut(rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    large = sizes.filter(F.col("n") > LARGE_NODE)
+    marked = scale.lookup_join(rows, large, "node", "left", spread_by=F.col("id"))
+    rest = marked.filter(F.col("n").isNull()).drop("n").join(sizes.filter(F.col("n") <= LARGE_NODE), "node")
+    return marked.filter(F.col("n").isNotNull()).unionByName(rest)
+
+
 def _nodes(classes: DataFrame) -> DataFrame:
     """`node, id` of all nodes to compare, with at least two documents each."""
     rows, done = classes.select(F.explode("nodes").alias("node"), "id"), None
     for depth in range(1, DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        rows = common.cut(rows.join(sizes, "node"))
+        rows = common.cut(_with_sizes(rows))
         leaves = rows if depth == DEPTH else rows.filter(F.col("n") <= SMALL)
         done = leaves if done is None else done.unionByName(leaves)
         rows = rows.filter(F.col("n") > SMALL)
