@@ -108,14 +108,15 @@ def rerank(
     k: int,
     scorer: PairScorer = term_coverage,
     threshold: float | None = None,
+    chars: int | None = RERANK_CHARS,
 ) -> DataFrame:
     """Re-orders ranked hits by a pair score; the former score stays as `retrieval_score`.
 
-    A null score (scorer failure) keeps the former order behind the scored hits.
+    The scorer sees the first `chars` characters of a text, or all of it. A null score (scorer failure) keeps the former order behind the scored hits.
     """
-    scored = hits.join(queries.select("query_id", "query"), "query_id").withColumn(
-        "rerank_score", scorer(F.col("query"), F.substring(F.coalesce("text", F.lit("")), 1, RERANK_CHARS))
-    )
+    text = F.coalesce("text", F.lit(""))
+    seen = text if chars is None else F.substring(text, 1, chars)
+    scored = hits.join(queries.select("query_id", "query"), "query_id").withColumn("rerank_score", scorer(F.col("query"), seen))
     if threshold is not None:
         scored = scored.filter(F.col("rerank_score") >= threshold)
     scored = scored.drop("query").withColumnRenamed("rank", "former_rank")
@@ -139,9 +140,11 @@ def distinct_references(hits: DataFrame, keys: Sequence[str] = ("query_id",)) ->
     return scale.first_rows(hits, [*keys, "url"], [F.asc("rank")])
 
 
-def best_pages(hits: DataFrame, queries: DataFrame, k: int, scorer: PairScorer = term_coverage) -> DataFrame:
+def best_pages(
+    hits: DataFrame, queries: DataFrame, k: int, scorer: PairScorer = term_coverage, chars: int | None = RERANK_CHARS
+) -> DataFrame:
     """Re-rank three times as many hits as asked for, keep one per page, cut to `k`."""
-    return one_per_page(rerank(hits, queries, k * OVERFETCH, scorer), k)
+    return one_per_page(rerank(hits, queries, k * OVERFETCH, scorer, chars=chars), k)
 
 
 def search_results(hits: DataFrame, snippet_chars: int = 300) -> DataFrame:

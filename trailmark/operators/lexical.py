@@ -156,7 +156,9 @@ def bm25(
     fits = batch["n"] <= max_broadcast
     wanted = phrases.select("phrase").distinct()
     if isinstance(index, PostingsIndex):
-        counted = index.counts(wanted, fits and batch["n"] * (batch["longest"] or 1) <= max_broadcast)
+        found = index.counts(wanted, fits and batch["n"] * (batch["longest"] or 1) <= max_broadcast)
+        # By chunk, before a count meets all the queries that ask for it: their scores then add up where they are.
+        counted = found.repartition("chunk_id")
         n_chunks, avg_length = F.lit(index.n_chunks), F.lit(index.total_length / max(1, index.n_chunks))
     else:
         counted = postings(index, wanted, batch["longest"] or 1, fits)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import text as T
 from trailmark.operators import scale
+from trailmark.session import cut_lineage
 
 BUCKETS = 64
 #: Files that the postings of one bucket are spread over.
@@ -129,8 +130,9 @@ class PostingsIndex:
     def counts(self, phrases: DataFrame, fits: bool | None = None) -> DataFrame:
         """`chunk_id, length, phrase, tf`: where the phrases (`phrase`, terms joined by blanks) occur.
 
-        A phrase of one term is counted by its positions. For a longer one the positions of each of its terms
-        are moved back by the term's place in the phrase, and what all terms have in common are its starts.
+        A phrase of one term is counted by its positions. For a longer one, in the chunks with its rarest term, the
+        positions of each of its terms are moved back by the term's place in the phrase, and what all terms have
+        in common are its starts.
         """
         parts = phrases.select("phrase").distinct().withColumn("terms", F.split("phrase", " "))
         n = parts.agg(F.min(F.size("terms")), F.max(F.size("terms"))).first()
@@ -145,9 +147,15 @@ class PostingsIndex:
             spelt = parts.filter(F.size("terms") > 1).select(
                 "phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term")
             )
-            met = scale.lookup_join(
-                self.of_terms(spelt, fits), spelt, "term", spread_by=F.col("chunk_id"), small_fits=fits
+            found = self.of_terms(spelt, fits)
+            # Only chunks with the rarest term of a phrase can hold it.
+            df = found.groupBy("term").agg(F.count("*").alias("df"))
+            rarest = spelt.join(df, "term", "left").groupBy("phrase").agg(
+                F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("offset"))).alias("term")
             )
+            chunks = scale.lookup_join(found.select("term", "chunk_id"), rarest, "term", spread_by=F.col("chunk_id"), small_fits=fits)
+            wanted = cut_lineage(chunks.select("phrase", "chunk_id").join(spelt, "phrase"))
+            met = scale.lookup_join(found, wanted, ["term", "chunk_id"])
             starts = F.transform("positions", lambda p: p - F.col("offset"))
             lists = met.select("phrase", "n", "chunk_id", "length", starts.alias("starts")).groupBy(
                 "phrase", "n", "chunk_id", "length"

@@ -16,6 +16,8 @@ from trailmark.operators.postings import PostingsIndex
 from trailmark.session import materialize
 
 GRAPH_ENTITIES = 3
+# Characters of title and text that stand for a page without vectors.
+FALLBACK_CHARS = 1200
 
 
 @dataclass
@@ -155,6 +157,7 @@ def related_pages(
     floor: float = 0.65,
     fallback: DataFrame | None = None,
     embedder: Embedder | None = None,
+    fallback_chars: int = FALLBACK_CHARS,
 ) -> DataFrame:
     """The most similar page of another site per anchor `url`: `url, page_url, chunk_id, similarity`.
 
@@ -170,7 +173,7 @@ def related_pages(
     own_vectors = own.join(vectors.select("chunk_id", "vector"), "chunk_id")
     centres = embedding.centroids(own_vectors, "url").select("url", F.col("vector").cast("array<double>").alias("vector"))
     if fallback is not None:
-        text = F.substring(F.trim(F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("content", F.lit("")))), 1, 1200)
+        text = F.substring(F.trim(F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("content", F.lit("")))), 1, fallback_chars)
         missing = fallback.join(own.select("url").distinct(), "url", "left_anti").withColumn("t", text).filter("t <> ''")
         centres = centres.unionByName(
             missing.select("url", embedder.vector(F.col("t")).cast("array<double>").alias("vector"))
