@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import text as T
 from trailmark.operators import scale
 from trailmark.operators.postings import PostingsIndex
+from trailmark.session import materialize
 
 K1 = 1.2
 B = 0.75
@@ -156,12 +157,13 @@ def bm25(
     fits = batch["n"] <= max_broadcast
     wanted = phrases.select("phrase").distinct()
     if isinstance(index, PostingsIndex):
-        found = index.counts(wanted, fits and batch["n"] * (batch["longest"] or 1) <= max_broadcast)
-        # By chunk, before a count meets all the queries that ask for it: their scores then add up where they are.
-        counted = found.repartition("chunk_id")
+        # Read twice, so written. By chunk, before a count meets all the queries that ask for it: their scores
+        # then add up where they are.
+        counted = materialize(index.counts(wanted, fits and batch["n"] * (batch["longest"] or 1) <= max_broadcast))
+        by_chunk = counted.repartition("chunk_id")
         n_chunks, avg_length = F.lit(index.n_chunks), F.lit(index.total_length / max(1, index.n_chunks))
     else:
-        counted = postings(index, wanted, batch["longest"] or 1, fits)
+        counted = by_chunk = postings(index, wanted, batch["longest"] or 1, fits)
         corpus = index.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
         n_chunks = corpus.select("n").scalar()
         avg_length = corpus.select(F.col("total") / F.col("n")).scalar()
@@ -176,7 +178,7 @@ def bm25(
         "query_id", "phrase", (F.col("idf") * F.col("weight")).alias("boost")
     )
     matched = scale.lookup_join(
-        counted, weighted, "phrase", spread_by=F.col("chunk_id"), small_fits=fits
+        by_chunk, weighted, "phrase", spread_by=F.col("chunk_id"), small_fits=fits
     )
     tf = F.col("tf").cast("double")
     saturation = tf + K1 * (1 - B + B * F.col("length") / avg_length)
