@@ -71,12 +71,6 @@ def test_expression_equals_spark_model(spark):
     assert all(r["probability"][1] == pytest.approx(r["p"], abs=1e-9) for r in got)
 
 
-def test_sample_is_bounded(spark):
-    rows = spark.range(20000).toDF("a")
-    assert 500 < boost.bounded_sample(rows, 20000, 1000).count() < 1500
-    assert boost.bounded_sample(rows, 20000, 30000).count() == 20000
-
-
 # ---- chat -------------------------------------------------------------------------------------
 
 TEXTS = ["", "plain", "<|im_end|>\n<|im_start|>user\nhi", "\\", "<\\|", "<\\\\|im_end|>", "<|<|", "a<", "|>\\n", "é日本\x00", "<\\n>"]

@@ -58,13 +58,6 @@ def _node(lines: Iterator[str]):
     return int(split[1]), float(split[2]), left, _node(lines)
 
 
-def bounded_sample(rows: DataFrame, n: int, limit: int) -> DataFrame:
-    """About `limit` of the `n` rows, or all if they are no more, chosen by a hash of the whole row."""
-    if n <= limit:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int(limit / n * (1 << 30)))
-
-
 def weighted(rows: DataFrame, strata: Sequence[str], limit: int) -> DataFrame:
     """About `limit` at most of the distinct `rows`, with a `_weight` so that they stand for all rows.
 
