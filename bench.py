@@ -9,8 +9,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+# The first builds the keyword index that the searches after it read.
 HEADLINE = (
-    "bm25_search", "phrase_search", "dense_search", "rrf_fusion", "hybrid_search", "page_dedup_topk",
+    "keyword_index", "bm25_search", "phrase_search", "dense_search", "rrf_fusion", "hybrid_search", "page_dedup_topk",
     "admission_funnel", "sensitive_content", "page_text", "chunks", "vector_topk", "related_pages",
     "entity_frequency", "cooccurrence", "visit_changes", "page_upsert", "dwell_batch", "chat_queries",
     "context_blocks", "ingest_outcomes",
