@@ -265,6 +265,52 @@ def test_passages_equal_brute_force(spark, sizes):
         assert substrings.without_repeats(documents(spark, rows).filter("false")).count() == 0
 
 
+def common_passage():
+    """900 texts, of which a third hold one passage with other text at both its ends."""
+    rnd = random.Random(8)
+
+    def text(n):
+        return "".join(rnd.choice("abcdefghij klmnopq") for _ in range(n))
+
+    passage = text(400)
+    return [(i, f"{text(150)}{passage if i % 3 == 0 else text(100)}{text(150)}", "en") for i in range(900)]
+
+
+def test_a_passage_in_a_third_of_all_texts(spark):
+    rows = common_passage()
+    got = substrings.without_repeats(documents(spark, rows), block_bytes=20_000, bucket_bytes=60_000, array_bytes=3_000).collect()
+    assert sorted(tuple(r) for r in got) == plain_passages(rows)
+
+
+def test_a_hot_hash_is_split():
+    """No hash keeps more than a few segments, none of more than two windows, and equal windows keep one hash."""
+    texts = [t.encode() for _, t, _ in common_passage()]
+
+    def block(hot):
+        return substrings._Block(list(range(len(texts))), [len(t) for t in texts],
+                                 substrings.zstandard.compress(b"".join(texts)), hot)
+
+    def segments(b):
+        kinds = {}
+        for start, windows, key in zip(b.start.tolist(), b.windows.tolist(), b.key.tolist()):
+            kinds.setdefault(key, set()).add(b.text[start : start + windows + 49])
+        return kinds
+
+    whole = block(np.empty(0, np.uint64))
+    hot = np.sort(np.array([k for k, v in segments(whole).items() if len(v) > 35], np.uint64))
+    assert len(hot) and max(map(len, segments(whole).values())) > 250
+    parts = block(hot)
+    assert max(map(len, segments(parts).values())) <= 35
+    assert parts.split.any() and parts.windows[parts.split].max() <= 2
+    assert parts.windows.sum() == whole.windows.sum()
+    key_of = {}
+    for start, windows, key in zip(parts.start.tolist(), parts.windows.tolist(), parts.key.tolist()):
+        for k in range(start, start + windows):
+            assert key_of.setdefault(parts.text[k : k + 50], key) == key
+    # Digests tell apart what is different, and nothing else.
+    assert len(set(zip(parts.key.tolist(), parts.digests().tolist()))) == sum(map(len, segments(parts).values()))
+
+
 @given(st.lists(st.integers(1, 4), max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_suffix_arrays(symbols):

@@ -5,6 +5,9 @@ GRAM-byte strings in it; a stretch of windows with the same one is a segment. Eq
 same least hash, so a shard that holds all segments of a hash sees all their copies:
 
 1. Blocks send their hashes, in buckets; hashes that two documents share go back to their blocks.
+   A hash under which more bytes stand than a suffix array takes is hot, as that at the end of a passage
+   which many documents hold: its windows are known by the LENGTH - 1 bytes instead that they share with
+   one neighbour, and those hashes are sent once more. No more than 2 bytes are then free under a hash.
 2. Blocks send the segments of shared hashes to shards, equal segments once with their least id.
 3. A shard takes together the equal segments of all blocks. Where a hash has several different
    segments, what none of the others can share is cut off their ends, seen from the string that has
@@ -109,6 +112,35 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
+def _split(data: np.ndarray, least: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of windows with those in `hot` (sorted) split, and where each split window's string begins, else -1.
+
+    A window is taken with the one before or after it, as the string that has its hash stands at an even or odd
+    place: by the LENGTH - 1 bytes that both hold. Equal windows find the same bytes.
+    """
+    keys, begins = least.copy(), np.full(len(least), -1)
+    if not len(hot):
+        return keys, begins
+    rank = np.searchsorted(hot, least)
+    chosen = hot[np.minimum(rank, len(hot) - 1)] == least
+    for begin in range(0, len(least), _PIECE):
+        at = np.flatnonzero(chosen[begin : begin + _PIECE])
+        if not len(at):
+            continue
+        h = _gram_hashes(data[begin : begin + _PIECE + LENGTH - 1])
+        of = np.searchsorted(hot, h)
+        holds = np.flatnonzero(hot[np.minimum(of, len(hot) - 1)] == h)
+        places = np.sort(of[holds] * len(h) + holds)
+        place = places[np.searchsorted(places, rank[begin + at] * len(h) + at)] % len(h)
+        x = at + (place - at) % 2
+        key = np.zeros(len(x), _U)
+        for step in (0, GRAM, 2 * GRAM, LENGTH - 1 - GRAM):
+            key = (key ^ h[x + step]) * _U(_FACTOR)
+            key ^= key >> _U(31)
+        keys[begin + at], begins[begin + at] = key, begin + x
+    return keys, begins
+
+
 def _shareable(texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of what each segment can share with others of its key; `keys` is sorted.
 
@@ -155,28 +187,46 @@ def _shareable(texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class _Block:
-    """A block's bytes and its segments: `start` (byte), `windows`, `key` (hash) and `doc` (number in the block)."""
+    """A block's bytes and its segments: `start` (byte), `windows`, `key` (hash), `doc` (number in the block) and
+    whether its hash is `split`, being in `hot` (sorted)."""
 
-    def __init__(self, ids: list, sizes: list, data: bytes):
+    def __init__(self, ids: list, sizes: list, data: bytes, hot: np.ndarray):
         self.text = zstandard.ZstdDecompressor().decompress(data)
         self.bytes = np.frombuffer(self.text, np.uint8)
         self.ids = np.array([-1 if i is None else i for i in ids], np.int64)
         self.sizes = np.array(sizes, np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        least = _window_hashes(self.bytes)
+        least, begins = _split(self.bytes, _window_hashes(self.bytes), hot)
         valid = np.zeros(len(least) + 1, np.int64)
         usable = (self.sizes >= LENGTH) & np.array([i is not None for i in ids], bool)
         np.add.at(valid, self.begins[usable], 1)
         np.add.at(valid, self.begins[usable] + self.sizes[usable] - LENGTH + 1, -1)
         valid = np.cumsum(valid)[:-1] > 0
         # A document ends LENGTH - 1 windows before the next one starts, so no run crosses documents.
-        new = np.append(True, (least[1:] != least[:-1]) | ~valid[:-1])[: len(least)]
+        new = np.append(True, (least[1:] != least[:-1]) | (begins[1:] != begins[:-1]) | ~valid[:-1])[: len(least)]
         self.start = np.flatnonzero(new & valid)
         ends = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)[: len(least)]) + 1
         self.windows = ends - self.start
         self.key = least[self.start]
+        self.split = begins[self.start] >= 0
         self.doc = np.searchsorted(self.begins, self.start, side="right") - 1
 
+    def digests(self) -> np.ndarray:
+        """Hashes that tell segments of up to 2 * LENGTH - GRAM bytes apart; of longer ones they see so much."""
+        out = []
+        for part in np.split(np.arange(len(self.start)), np.flatnonzero(np.diff(self.start // _PIECE)) + 1):
+            if not len(part):
+                continue
+            begin, last = self.start[part], self.start[part] + self.windows[part] + LENGTH - 1 - GRAM
+            first = begin[0]
+            h = _gram_hashes(self.bytes[first : first + _PIECE + 3 * LENGTH])
+            digest = self.windows[part].astype(_U)
+            for step in range(0, 2 * LENGTH - GRAM, GRAM):
+                digest = (digest ^ h[np.minimum(np.minimum(begin + step, last) - first, len(h) - 1)]) * _U(_FACTOR)
+                digest ^= digest >> _U(31)
+            out.append(digest)
+        return np.concatenate(out) if out else np.empty(0, _U)
+
     def distinct(self, shared: np.ndarray):
         """Segments whose key is in `shared` (sorted): their numbers, the number of the distinct segment each
         is a copy of, and the first of each distinct one."""
@@ -194,57 +244,79 @@ class _Block:
 
 def _block_of(batch: pa.RecordBatch, row: int) -> _Block:
     column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-    return _Block(column["ids"][row].as_py(), column["sizes"][row].as_py(), column["data"][row].as_py())
+    hot = column["hot"][row].as_py() if "hot" in column else None
+    return _Block(column["ids"][row].as_py(), column["sizes"][row].as_py(), column["data"][row].as_py(),
+                  np.sort(np.concatenate([np.frombuffer(k, _U) for k in hot or [b""]])))
+
 
+def _send_hashes(buckets: int, split: bool):
+    """Hashes of a block by bucket: whether two documents have them, and the number of different segments.
+    All hashes, or those alone that were split."""
 
-def _send_hashes(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 block = _block_of(batch, r)
-                order = np.argsort(block.key, kind="stable")  # documents stay in order
-                key, doc = block.key[order], block.ids[block.doc[order]]
+                digest = block.digests()
+                order = np.lexsort((digest, block.key))
+                if split:
+                    order = order[block.split[order]]
+                key, doc, digest = block.key[order], block.ids[block.doc[order]], digest[order]
                 if not len(key):
                     continue
-                begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                new = np.append(True, key[1:] != key[:-1])
+                begins = np.flatnonzero(new)
                 twice = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins)
+                count = np.add.reduceat((new | np.append(True, digest[1:] != digest[:-1])).astype(np.uint32), begins)
                 key = key[begins]
                 home = (key % _U(buckets)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
-                key, twice, home = key[order], twice[order], home[order]
+                key, twice, count, home = key[order], twice[order], count[order].astype(np.uint32), home[order]
                 used, first = np.unique(home, return_index=True)
                 last = np.append(first[1:], len(home))
                 yield pa.record_batch(
                     [pa.array(used.astype(np.int64)), pa.array(np.full(len(used), batch.column("block")[r].as_py(), np.int64)),
                      pa.array([np.ascontiguousarray(key[a:b]).tobytes() for a, b in zip(first, last)], pa.binary()),
-                     pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(first, last)], pa.binary())],
-                    names=["bucket", "block", "keys", "twice"],
+                     pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(first, last)], pa.binary()),
+                     pa.array([_packed(count[a:b]) for a, b in zip(first, last)], pa.binary())],
+                    names=["bucket", "block", "keys", "twice", "count"],
                 )
 
     return run
 
 
-def _shared_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in common.groups(batches, 1):
+def _shared_hashes(most: int | None):
+    """Per block its hashes that two documents have; apart those with more than `most` segments, counted per block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in common.groups(batches, 1):
+            yield shared_of(group)
+
+    def shared_of(group: pa.RecordBatch) -> pa.RecordBatch:
         block = group.column(1).to_numpy()
         keys, offsets = common.lists(group.column(2), _U)
         sizes = np.diff(offsets)
         twice = np.concatenate([
             np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(group.column(3).to_pylist(), sizes)
         ]).astype(bool)
+        segments = np.concatenate([_unpacked(c, np.uint32) for c in group.column(4).to_pylist()]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         counts = np.diff(np.append(begins, len(ordered)))
-        shared = np.repeat((counts > 1) | np.maximum.reduceat(twice[order], begins), counts)
-        chosen = np.zeros(len(keys), bool)
-        chosen[order[shared]] = True
-        rows = np.flatnonzero(np.add.reduceat(chosen, offsets[:-1]) > 0)
-        yield pa.record_batch(
-            [pa.array(block[rows]),
-             pa.array([keys[offsets[r] : offsets[r + 1]][chosen[offsets[r] : offsets[r + 1]]].tobytes() for r in rows], pa.binary())],
-            names=["block", "keys"],
-        )
+        shared, hot = np.zeros((2, len(keys)), bool)
+        shared[order] = np.repeat((counts > 1) | np.maximum.reduceat(twice[order], begins), counts)
+        if most is not None:
+            hot[order] = np.repeat(np.add.reduceat(segments[order], begins) > most, counts)
+        rows = np.flatnonzero(np.add.reduceat(shared, offsets[:-1], dtype=np.int64) > 0)
+
+        def of(chosen: np.ndarray) -> pa.Array:
+            parts = (slice(offsets[r], offsets[r + 1]) for r in rows)
+            return pa.array([keys[p][chosen[p]].tobytes() for p in parts], pa.binary())
+
+        return pa.record_batch([pa.array(block[rows]), of(shared & ~hot), of(shared & hot)], names=["block", "keys", "hot"])
+
+    return run
 
 
 def _send_segments(shards: int):
@@ -459,15 +531,32 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
     id. Strings do not cross documents. A null text is empty. A document with a null id keeps all and
-    removes nothing elsewhere; rows that repeat an id do not remove each other.
+    removes nothing elsewhere; rows that repeat an id do not remove each other. A hash with more than
+    `array_bytes` of different segments is split.
     """
     texts = common.keyed_texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     held = blocks(texts, block_bytes)
     total = held.agg(F.sum("size")).first()[0] or 0
     buckets, shards = 1 + total // bucket_bytes, 1 + total // shard_bytes
-    hashes = held.mapInArrow(_send_hashes(buckets), "bucket long, block long, keys binary, twice binary")
-    shared = common.hosted(hashes, ["bucket"]).mapInArrow(_shared_hashes, "block long, keys binary")
-    shared = common.cut(shared.groupBy("block").agg(F.collect_list("keys").alias("shared")))
+
+    def shared_of(blocks_: DataFrame, split: bool) -> DataFrame:
+        hashes = blocks_.mapInArrow(
+            _send_hashes(buckets, split), "bucket long, block long, keys binary, twice binary, count binary"
+        )
+        most = None if split else array_bytes // (2 * LENGTH - GRAM)
+        return common.cut(common.hosted(hashes, ["bucket"]).mapInArrow(
+            _shared_hashes(most), "block long, keys binary, hot binary"
+        ))
+
+    shared = shared_of(held, False)
+    hot = shared.filter(F.length("hot") > 0).groupBy("block").agg(F.collect_list("hot").alias("hot"))
+    split = not hot.isEmpty()
+    if split:
+        hot = common.cut(hot)
+        shared = shared.union(shared_of(held.join(hot, "block"), True))
+    shared = shared.groupBy("block").agg(F.collect_list("keys").alias("shared"))
+    if split:
+        shared = shared.join(hot, "block", "left")
     segments = held.join(shared, "block").mapInArrow(
         _send_segments(shards), "shard long, block long, keys binary, windows binary, least binary, data binary"
     )
@@ -477,7 +566,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = common.cut(answers.groupBy("block").agg(
         F.collect_list(F.struct("keys", "count", "at", "length", "first")).alias("answers")
     ))
-    return held.join(answers, "block", "left").mapInArrow(
+    marked = held.join(answers, "block", "left")
+    return (marked.join(hot, "block", "left") if split else marked).mapInArrow(
         _marked, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
