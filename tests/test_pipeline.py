@@ -286,7 +286,7 @@ def test_ingest_end_to_end(spark, tmp_path):
         1: ("indexed", "new"), 2: ("skipped", "url_blocked"), 3: ("skipped", "low_quality"),
         4: ("skipped", "pii:card"), 5: ("skipped", "unchanged"), 6: ("rejected", "invalid:url"),
     }
-    assert store.commit(tables) == 1
+    assert store.commit(tables) == 1 and store.edges().count() > 0
     stored = store.load()
     row = stored["pages"].first()
     assert (row.url, row.visit_count, row.title) == ("https://site.org/docs/clay-pots", 2, "Clay pots explained")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_pipeline import LONG, at, full_visits
 from trailmark import session
-from trailmark.operators import lexical, postings
+from trailmark.operators import entities, lexical, postings
 from trailmark.operators.postings import PostingsIndex
 from trailmark.plans import ingest
 from trailmark.sources.tables import Snapshots
@@ -79,7 +79,7 @@ def test_a_batch_of_one_page_leaves_other_buckets_alone(spark, tmp_path):
     store.expire(1)
     left = files(tmp_path / "t")
     wanted = {f.removeprefix("file://").removeprefix("file:") for f in held_files(store)}
-    assert {f for f in left if "/postings/" not in f and "/removed/" not in f} == wanted
+    assert {f for f in left if not any(part in f for part in ("/postings/", "/removed/", "/edges/"))} == wanted
     assert store.load()["pages"].count() == 30
 
 
@@ -114,6 +114,41 @@ def test_index_follows_the_chunks(spark, tmp_path):
         Snapshots(spark, str(tmp_path / "t")).record(1)
 
 
+def test_edges_follow_the_pages(spark, tmp_path):
+    settings = ingest.Settings(gate=False)
+    store = Snapshots(spark, str(tmp_path / "t"), buckets=4)
+    assert store.edges().count() == 0
+    places = ["Red Harbour", "Blue Castle", "Green Valley", "Stone Bridge"]
+    rnd = random.Random(6)
+    urls = [f"https://site{i}.org/docs/pot-{i:02}" for i in range(8)]
+
+    def check():
+        kept = sorted(map(tuple, store.edges().collect()))
+        assert kept == sorted(map(tuple, entities.cooccurrence(store.load()["page_entities"]).collect()))
+        return kept
+
+    for minute in range(1, 4):
+        batch = {u: f"{LONG} We went to {rnd.choice(places)} and then on to {rnd.choice(places)}." for u in rnd.sample(urls, 5)}
+        ingest.ingest_into(store, visits(spark, batch, minute), settings)
+        assert check()
+    segments = store.record(store.committed()[-1])["edges"]
+    assert len(segments) == 3
+    # An unchanged visit leaves the edges alone.
+    ingest.ingest_into(store, visits(spark, batch, 4), settings)
+    assert store.record(store.committed()[-1])["edges"] == segments
+    tables, _ = ingest.delete_urls(store.load(), spark.createDataFrame([(u,) for u in urls[:6]], "url string"))
+    ingest.commit_removal(store, tables)
+    before = check()
+    store.compact_edges()
+    store.expire(1)
+    assert check() == before and "Exchange" not in store.edges()._jdf.queryExecution().toString()
+    # Entities that come without their delta: the edges are made again, until they are compacted.
+    store.commit({"page_entities": store.load()["page_entities"].filter("key <> 'old harbour'")})
+    assert store.record(store.committed()[-1])["edges"] is None and check() != before
+    store.compact_edges()
+    assert len(store.record(store.committed()[-1])["edges"]) == 1 and check()
+
+
 def test_positions_and_phrases(spark, tmp_path):
     rnd = random.Random(9)
     words = ["a1", "b1", "c1", "d1"]

@@ -157,8 +157,12 @@ def edge_delta(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def apply_delta(edges: DataFrame, delta: DataFrame) -> DataFrame:
     """The edges with `edge_delta` added; an edge that no page shows any more goes."""
-    both = edges.select("a", "b", "weight").unionByName(delta.select("a", "b", "weight"))
-    return both.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 0")
+    return summed(edges.select("a", "b", "weight").unionByName(delta.select("a", "b", "weight")))
+
+
+def summed(deltas: DataFrame) -> DataFrame:
+    """The edges that all of these deltas make."""
+    return deltas.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 0")
 
 
 def relation_sources(page_rows: DataFrame, times: DataFrame) -> DataFrame:

@@ -54,12 +54,13 @@ def running_skips(skips: DataFrame) -> DataFrame:
 
 
 def daily_maintenance(store: Snapshots, as_of: Column, days: int, keep: int = 2) -> DataFrame:
-    """The scheduled run: drops expired pages, makes the keyword index one segment, deletes the files of all
-    but the newest `keep` commits, and returns the counts."""
+    """The scheduled run: drops expired pages, makes keyword index and edges one segment each, deletes the files
+    of all but the newest `keep` commits, and returns the counts."""
     tables, counts = plan.evict(store.load(), as_of, days)
     counts = store.spark.createDataFrame(counts.collect(), counts.schema)  # one row, before its files go
     plan.commit_removal(store, tables)
     store.compact_index()
+    store.compact_edges()
     store.expire(keep)
     return counts
 
