@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailmark.operators import embedding, entities, graph, lexical, scale
+from trailmark.session import materialize
 
 
 def rows(df):
@@ -24,6 +25,16 @@ def test_lookup_join_paths_agree(spark, how):
     assert plain == salted and len(plain) > 0
 
 
+def test_large_sides_are_not_broadcast(spark):
+    big = spark.range(1000).selectExpr("id % 50 AS k", "id AS v")
+    # A table that is small as files and large as rows, which Spark would broadcast by itself.
+    small = materialize(spark.range(50).selectExpr("id AS k", "id * 2 AS w"))
+    for spread_by in (None, F.col("v")):
+        joined = scale.lookup_join(big, small, "k", spread_by=spread_by, max_rows=1)
+        assert joined.count() == 1000
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_carry_forward_equals_one_window(spark):
     rng = random.Random(2)
     data = [("hot" if i % 3 else f"k{i % 5}", rng.randint(0, 5000), i, rng.choice(["a", "b", None])) for i in range(900)]

@@ -42,7 +42,8 @@ def neighbours(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: in
 
     Breadth first: a node counts at the distance where it is first reached, with the heaviest edge
     that reaches it there. Strongest first, then nearest; `k` per seed. Each hop is written out, as
-    the next one reads it several times.
+    the next one reads it several times. Spark would take a written table for as small as its files
+    and broadcast it, which the driver's memory does not hold; joins with one are merge joins.
     """
     links = both_ways(edges)
     visited = materialize(seeds.select("seed", F.col("seed").alias("node")).distinct())
@@ -67,7 +68,7 @@ def neighbours(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: in
         )
         found = materialize(
             step.groupBy("seed", "node").agg(F.max("weight").alias("weight"))
-            .join(visited, ["seed", "node"], "left_anti")
+            .join(visited.hint("merge"), ["seed", "node"], "left_anti")
             .withColumn("distance", F.lit(hop).cast("long"))
         )
         frontier = found.select("seed", "node")
@@ -76,7 +77,7 @@ def neighbours(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: in
     best = scale.top_rows(
         reached, ["seed"], [F.desc("weight"), F.asc("distance"), F.asc("node")], k
     ).withColumnRenamed("node", "key")
-    return best.join(entities.select("key", "name", "entity_type", "frequency"), "key").select(
+    return best.join(entities.select("key", "name", "entity_type", "frequency").hint("merge"), "key").select(
         "seed", "name", F.col("key").alias("node"), "entity_type", "frequency", "distance", "weight", "rank"
     )
 
@@ -91,7 +92,8 @@ def entity_context(
     """
     seeds = query_entities.select(F.col("key").alias("seed")).distinct()
     near = neighbours(seeds, edges, entities, hops, per_entity)
-    heads = query_entities.join(entities.select("key", F.col("name").alias("shown"), "entity_type"), "key").select(
+    known = entities.select("key", F.col("name").alias("shown"), "entity_type").hint("merge")
+    heads = query_entities.join(known, "key").select(
         "query_id", "ent_rank", F.lit(0).cast("long").alias("rank"),
         F.concat(F.lit("- "), "shown", F.lit(" ("), "entity_type", F.lit(")")).alias("line"),
     )
