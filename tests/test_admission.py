@@ -63,6 +63,18 @@ def test_html_keeps_nested_structure_apart(spark):
     assert "promo" not in row.content and "inner" not in row.content and "menu" not in row.content
 
 
+def test_references_end_with_a_semicolon(spark):
+    html = "<title>A &amp; B &#38; C&amp</title><body><p>x &lt; y &copy z &notit; &amp;lt; &amp&amp; &bogus;</p></body>"
+    row = extract.page_text(spark.createDataFrame([(html,)], "html string")).first()
+    assert row["title"] == "A & B & C&amp"
+    assert row["content"] == "x < y &copy z &notit; &lt; &amp& &bogus;"
+
+
+def test_ratio_is_rounded_as_a_double(spark):
+    html = "<body>" + "<i>" * 40 + "x" * 3059 + "</body>"  # 76.475, a double just below it
+    assert extract.page_text(spark.createDataFrame([(html,)], "html string")).first()["text_to_tag_ratio"] == 76.47
+
+
 def test_article_is_preferred_when_long_enough(spark):
     body = "intro <article>" + "long text " * 30 + "</article> outro"
     short = "intro <article>brief</article> outro"
