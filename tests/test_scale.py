@@ -236,7 +236,7 @@ def test_card_pages_are_picked(spark):
 
 
 def test_replaced_chunks_keep_their_length(spark, tmp_path):
-    text = "stra\u00dfe \ufb01n " * 100
+    text = "stra\u00dfe \ufb01n " * 200
     spark.createDataFrame([(1, text, "fr", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.sql("SELECT 1L AS event_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
     assert rows(state_queries.chunk_replace(spark, str(tmp_path))) == [(1, "https://s.example.com/fr", len(text))]
