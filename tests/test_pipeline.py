@@ -111,6 +111,17 @@ def test_failing_embedder_falls_back_to_fixed_cuts(spark):
     assert len(got) == 3 and sum(r.token_count for r in got) == len(text.split())
 
 
+def test_text_of_short_sentences_is_cut_by_words(spark):
+    shouted = " ".join(f"WORD{i}!!" for i in range(1000))
+    pages = spark.createDataFrame([("s", "", shouted), ("e", "", " \n"), ("o", "", "Ok. Go.")], "url string, title string, content string")
+    found = chunking.chunk_pages(pages, embedding.hash_embedder(16), splitter=chunking.sentences_or_words)
+    got = {}
+    for r in found.orderBy("page_url", "chunk_index").collect():
+        got.setdefault(r["page_url"], []).append(r["text"])
+    assert " ".join(got["s"]) == shouted and len(got["s"]) > 1
+    assert got["o"] == ["Ok. Go."] and "e" not in got
+
+
 def test_short_text_is_one_chunk(spark):
     frame = spark.createDataFrame([("u", "", "Only one short sentence."), ("v", "", "tiny")], "url string, title string, content string")
     got = chunking.chunk_pages(frame, embedding.hash_embedder()).collect()

@@ -42,6 +42,17 @@ def split_sentences(text: Column) -> Column:
     return F.filter(trimmed, lambda s: F.length(s) >= MIN_SENTENCE_CHARS)
 
 
+def sentences_or_words(text: Column, run: int = MIN_WORDS) -> Column:
+    """The sentences; of a text that has only shorter ones, all its words in runs of `run`, so that none is lost."""
+    def runs(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(run)))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(run)), " "))
+        return F.coalesce(joined, F.array().cast("array<string>"))
+
+    words = T.words(F.coalesce(text, F.lit("")))
+    return let(split_sentences(text), lambda found: F.when(F.size(found) > 0, found).otherwise(let(words, runs)))
+
+
 def text_blocks(text: str, limit: int | None = None) -> list[str]:
     """The text as pieces of at most `limit` characters, or as one without a limit.
 
