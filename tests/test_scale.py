@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import embedding, entities, graph, lexical, scale
 from trailmark.session import materialize
-from workload import state_queries
+from workload import search_queries, state_queries
 
 
 def rows(df):
@@ -240,3 +240,12 @@ def test_replaced_chunks_keep_their_length(spark, tmp_path):
     spark.createDataFrame([(1, text, "fr", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.sql("SELECT 1L AS event_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
     assert rows(state_queries.chunk_replace(spark, str(tmp_path))) == [(1, "https://s.example.com/fr", len(text))]
+
+
+def test_a_search_makes_no_pairs(spark, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("a search read the edges")
+
+    monkeypatch.setattr(entities, "page_pairs", unwanted)
+    monkeypatch.setattr(search_queries.base, "_stored", {})
+    assert search_queries.graph_leg(spark, "/root/testdata/sf0.001").count() > 0
