@@ -70,6 +70,13 @@ def test_references_end_with_a_semicolon(spark):
     assert row["content"] == "x < y &copy z &notit; &lt; &amp& &bogus;"
 
 
+def test_only_html_blanks_are_collapsed(spark):
+    html = "<title>\u00a0A\u2003\u00a0 \n B\u0085</title><body><p>\u00a0x\u00a0\u00a0y \t\r\nz\u3000</p></body>"
+    row = extract.page_text(spark.createDataFrame([(html,)], "html string")).first()
+    assert row["title"] == "A\u2003\u00a0 B\u0085"
+    assert row["content"] == "\u00a0x\u00a0\u00a0y z\u3000"
+
+
 def test_ratio_is_rounded_as_a_double(spark):
     html = "<body>" + "<i>" * 40 + "x" * 3059 + "</body>"  # 76.475, a double just below it
     assert extract.page_text(spark.createDataFrame([(html,)], "html string")).first()["text_to_tag_ratio"] == 76.47
