@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import embedding, entities, graph, lexical, scale
 from trailmark.session import materialize
-from workload import search_queries, state_queries
+from workload import graph_queries, search_queries, state_queries
 
 
 def rows(df):
@@ -260,3 +260,10 @@ def test_stars_have_the_components_of_pairs(spark):
     )
     want = graph.components(known, entities.cooccurrence(pages)).collect()
     assert sorted(graph.components(known, stars).collect()) == sorted(want)
+
+
+def test_the_nodes_of_an_export_make_no_edges(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph_queries, "materialize", lambda rows: written.append(rows.columns) or materialize(rows))
+    nodes = graph_queries.graph_nodes(spark, "/root/testdata/sf0.001")
+    assert nodes.count() > 0 and written == [["page_url", "key", "name", "entity_type"]]

@@ -195,7 +195,7 @@ def export_parts(
     """Node and link tables of the graph export: pages with their sites, entities, edges between them.
 
     A view for the eye takes the newest pages and the top entities and edges by the three limits; all
-    rows without. Groups: 1 people and organisations, 2 other entities, 3 sites, 4 pages.
+    rows without. Edges are those of the same pages, so that all their ends are among all entities. Groups: 1 people and organisations, 2 other entities, 3 sites, 4 pages.
     """
     def best(rows: DataFrame, limit: int | None, *order: Column) -> DataFrame:
         return rows if limit is None else rows.orderBy(*order).limit(limit)
@@ -229,10 +229,12 @@ def export_parts(
         F.concat(F.lit("p_"), "url").alias("source"), F.concat(F.lit("d_"), "site").alias("target"),
         F.lit(1.0).alias("value"),
     )
-    keys = top.select("key")
-    inside = strong.join(keys.withColumnRenamed("key", "a"), "a", "left_semi").join(
-        keys.withColumnRenamed("key", "b"), "b", "left_semi"
-    )
+    inside = strong
+    if max_entities is not None:
+        keys = top.select("key")
+        inside = strong.join(keys.withColumnRenamed("key", "a"), "a", "left_semi").join(
+            keys.withColumnRenamed("key", "b"), "b", "left_semi"
+        )
     entity_links = inside.select(
         F.concat(F.lit("e_"), "a").alias("source"), F.concat(F.lit("e_"), "b").alias("target"),
         F.col("weight").alias("value"),
