@@ -267,3 +267,11 @@ def test_the_nodes_of_an_export_make_no_edges(spark, monkeypatch):
     monkeypatch.setattr(graph_queries, "materialize", lambda rows: written.append(rows.columns) or materialize(rows))
     nodes = graph_queries.graph_nodes(spark, "/root/testdata/sf0.001")
     assert nodes.count() > 0 and written == [["page_url", "key", "name", "entity_type"]]
+
+
+def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(entities, "PAIRS_PER_TASK", 50)
+    pages = spark.createDataFrame([(f"p{p}", f"k{k:02d}") for p in range(60) for k in range(11)], "page_url string, key string")
+    found = entities.page_pairs(pages).withColumn("task", F.spark_partition_id())
+    assert found.count() == 60 * 55
+    assert found.select("task").distinct().count() > 20
