@@ -192,3 +192,17 @@ def test_a_search_reads_only_the_buckets_of_its_terms(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and f"= {number})" in plan
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # the postings are not shuffled
     assert found.count() == 1
+
+
+def test_postings_travel_packed(spark, tmp_path):
+    chunks = spark.range(400).selectExpr("id AS chunk_id", "concat('common words of ', id % 40, ' chunks') AS text").coalesce(1)
+    rows = postings.of_chunks(chunks)
+    # A row per term and block, not one per term and chunk: 4 words, 40 numbers and the lengths.
+    assert rows.count() == 45
+    path = str(tmp_path / "p")
+    postings.write(rows, path)
+    assert postings.read(spark, path, "bigint").count() == 400 * 6
+    # Single postings, as compaction writes them, make the same index.
+    postings.write(postings.read(spark, path, "bigint"), str(tmp_path / "q"))
+    first, second = (postings.read(spark, str(tmp_path / n), "bigint").collect() for n in "pq")
+    assert sorted(first, key=str) == sorted(second, key=str)
