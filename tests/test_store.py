@@ -206,3 +206,18 @@ def test_postings_travel_packed(spark, tmp_path):
     postings.write(postings.read(spark, path, "bigint"), str(tmp_path / "q"))
     first, second = (postings.read(spark, str(tmp_path / n), "bigint").collect() for n in "pq")
     assert sorted(first, key=str) == sorted(second, key=str)
+
+
+def test_phrases_are_followed_in_one_pass(spark, tmp_path):
+    texts = ["new york new york", "york new", "in new york city", "new", "", "new york"] * 3
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id long, text string")
+    postings.write(postings.of_chunks(chunks), str(tmp_path / "p"))
+    rows = postings.read(spark, str(tmp_path / "p"), "bigint")
+    index = PostingsIndex(rows, *postings.totals(rows))
+    wanted = spark.createDataFrame([(p,) for p in ("new york", "new york new", "york city", "york new york new")], "phrase string")
+    followed = index.counts(wanted, True)
+    # No list per phrase and chunk is gathered; the joins of larger batches find the same.
+    assert "collect_list" not in followed._jdf.queryExecution().toString()
+    got = {(r.chunk_id, r.length, r.phrase): r.tf for r in followed.collect()}
+    assert got == {(r.chunk_id, r.length, r.phrase): r.tf for r in index.counts(wanted, False).collect()}
+    assert got[0, 4, "new york"] == 2 and got[0, 4, "new york new"] == 1 and (0, 4, "york city") not in got and len(got) == 15
