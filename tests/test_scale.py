@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailmark.operators import embedding, entities, graph, lexical, scale
+from trailmark.operators import embedding, entities, fusion, graph, lexical, scale
 from trailmark.session import materialize
 from workload import graph_queries, search_queries, state_queries
 
@@ -275,3 +275,19 @@ def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     found = entities.page_pairs(pages).withColumn("task", F.spark_partition_id())
     assert found.count() == 60 * 55
     assert found.select("task").distinct().count() > 20
+
+
+def test_hydrate_looks_for_the_hits_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    fused = spark.createDataFrame([(1, i, 1.0 / i, "bm25", i) for i in range(1, 6)], "query_id long, chunk_id long, score double, source string, fused_rank long")
+    chunks = spark.range(9).selectExpr("id AS chunk_id", "concat('p', id) AS page_url", "'text' AS text")
+    pages = chunks.selectExpr("page_url", "'title' AS page_title", "TIMESTAMP '2024-01-01 00:00:00' AS last_visited")
+    hits = fusion.hydrate(fused.mapInPandas(count, fused.schema), chunks, pages, 3, F.lit("2024-01-01").cast("timestamp"))
+    assert [(r.rank, r.chunk_id) for r in hits.orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3)]
+    assert seen.value == 5

@@ -11,6 +11,7 @@ from trailmark.functions import text as T
 from trailmark.functions import times
 from trailmark.functions import urls as U
 from trailmark.operators import scale
+from trailmark.session import materialize
 
 # Fusion constant, leg order and leg weights.
 RRF_K = 60
@@ -67,8 +68,12 @@ def hydrate(
 
     Ids travel first: page keys, then page times, and the text only for the rows that are left.
     `chunks` needs `chunk_id, page_url, text`, `pages` needs `page_url, page_title, last_visited`.
-    `fits` says whether the hit list was checked to be small.
+    `fits` says whether the hit list was checked to be small. One that was not is written first: it is looked at
+    before each join, and would be searched for anew every time.
     """
+    if fits is None:
+        fused = materialize(fused)
+        fits = scale.is_small(fused)
     none = F.lit(None).cast("timestamp")
     located = scale.lookup_join(
         chunks.select("chunk_id", "page_url"), fused, "chunk_id", spread_by=F.col("chunk_id"), small_fits=fits
