@@ -36,3 +36,20 @@ def test_stemmed_search_finds_other_forms(spark):
     assert [r.chunk_id for r in hits.collect()] == [1]
     plain = lexical.bm25(lexical.index_chunks(chunks), lexical.query_phrases(queries), 5)
     assert plain.select(F.count("*")).first()[0] == 0
+
+
+def test_a_search_cuts_texts_once(spark):
+    chunks = spark.createDataFrame([(1, "Running motors"), (2, ""), (3, None), (4, "motor, run on")], "chunk_id int, text string")
+    queries = spark.createDataFrame([(1, "motor run"), (2, "run-on")], "query_id int, query string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    index = lexical.index_chunks(chunks, tokenizer=stemmed_terms)
+    watched = index.mapInPandas(counted, index.schema)
+    hits = lexical.bm25(watched, lexical.query_phrases(queries, tokenizer=stemmed_terms), 5).collect()
+    assert sorted((r.query_id, r.chunk_id) for r in hits) == [(1, 1), (1, 4), (2, 4)]
+    assert seen.value == 4
