@@ -202,6 +202,37 @@ def test_last_hop_bound_keeps_the_same_neighbours(spark):
     assert few == want
 
 
+def _random_pages(spark, n_pages=120):
+    """Pages with common and rare names, and two that hang together with no others."""
+    rng = random.Random(9)
+    pages = [(f"p{p}", f"n{i}") for p in range(n_pages) for i in {int(60 * rng.random() ** 3) for _ in range(rng.randint(1, 9))}]
+    return spark.createDataFrame([*pages, ("q1", "lone"), ("q1", "other"), ("q2", "other"), ("q2", "third"), ("q3", "single")], "page_url string, key string")
+
+
+def _entities_of(page_rows):
+    return page_rows.groupBy("key").agg(F.count("*").alias("frequency")).select("key", F.upper("key").alias("name"), F.lit("x").alias("entity_type"), "frequency")
+
+
+@pytest.mark.parametrize("k, names", [(1, 1), (3, 4), (5, 25), (500, 4), (3, 10_000)])
+def test_neighbours_of_pages_equal_those_of_the_edges(spark, monkeypatch, k, names):
+    monkeypatch.setattr(graph, "LEVEL_NAMES", names)
+    pages = _random_pages(spark)
+    known = _entities_of(pages)
+    seeds = known.select(F.col("key").alias("seed"))
+    want = rows(graph.neighbours(seeds, entities.cooccurrence(pages), known, 2, k))
+    assert rows(graph.page_neighbours(seeds, pages, known, k)) == want
+
+
+@pytest.mark.parametrize("query", [graph_queries.entity_context, graph_queries.neighbors_2hop, search_queries.graph_block])
+def test_neighbours_make_no_edge_table(spark, monkeypatch, query):
+    def unwanted(*_):
+        raise AssertionError("all edges were made")
+
+    monkeypatch.setattr(entities, "cooccurrence", unwanted)
+    monkeypatch.setattr(search_queries.base, "_stored", {})
+    assert query(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_entity_names_match_at_word_boundaries(spark):
     known = spark.createDataFrame(
         [("go lang", "Go Lang"), ("art", "Art"), ("c++ builder", "C++ Builder"), ("ai", "AI")], "key string, name string"

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import urls as U
 from trailmark.operators import scale
+from trailmark.operators.entities import page_pairs
 from trailmark.session import cut_lineage, materialize
 
 CO_OCCURS = "co_occurs_with"
+# Names that the first, heaviest level of `page_neighbours` has at least, and the factor from one level to the next.
+LEVEL_NAMES = 100
+LEVEL_STEP = 4
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -82,16 +86,96 @@ def neighbours(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: in
     )
 
 
+def _first_level(entities: DataFrame) -> int:
+    """The largest power of LEVEL_STEP that LEVEL_NAMES entities reach with their frequency, or 1. One row per power is read."""
+    power = F.floor(F.log(float(LEVEL_STEP), "frequency") + 1e-9).cast("int")
+    names = dict(entities.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect())
+    powers = [p for p in names if p is not None and sum(n for q, n in names.items() if q is not None and q >= p) >= LEVEL_NAMES]
+    return LEVEL_STEP ** max(powers, default=0)
+
+
+def _links_of(page_rows: DataFrame, entities: DataFrame, ends: DataFrame, least: int) -> DataFrame:
+    """`src, dst, weight`: the edges of `least` pages or more with an end among `ends` (`key`), in both directions.
+
+    Both ends of such an edge are on as many pages, so that rarer names make no pairs, nor does a page without one of
+    `ends`. These sort after the others: a pair without any has none as its second name.
+    """
+    rows = page_rows.select("page_url", "key")
+    showing = scale.lookup_join(rows, ends, "key", "left_semi", spread_by=F.col("page_url")).select("page_url").distinct()
+    rows = scale.lookup_join(rows, materialize(showing), "page_url", "left_semi")
+    if least > 1:
+        heavy = entities.filter(F.col("frequency") >= least).select("key")
+        rows = scale.lookup_join(rows, heavy, "key", "left_semi", spread_by=F.col("page_url"))
+    marked = scale.lookup_join(rows, ends.withColumn("end", F.lit("1")), "key", "left", spread_by=F.col("page_url"))
+    pairs = page_pairs(marked.select("page_url", F.concat(F.coalesce("end", F.lit("0")), "key").alias("key")))
+    met = pairs.filter(F.col("b").startswith("1")).groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
+    own = met.filter(F.col("weight") >= least).select(F.expr("substring(a, 2)").alias("a"), F.expr("substring(b, 2)").alias("b"), "weight")
+    return both_ways(own)
+
+
+def page_neighbours(seeds: DataFrame, page_rows: DataFrame, entities: DataFrame, k: int = 20) -> DataFrame:
+    """What `neighbours` finds within two hops, from the names of the pages (`page_url, key`) and their `frequencies`
+    alone: the edges are not made.
+
+    Level by level, from heavy to light: the edges of at least so many pages, all of which lie between names of that
+    frequency, decide every neighbour of that weight. A seed that has `k` of them is settled, as all others weigh less;
+    the rest goes on to the next level, at last to all edges of its first hop. Exact, whatever the levels.
+    """
+    left = materialize(seeds.select("seed").distinct())
+    shown = scale.lookup_join(
+        page_rows.select("page_url", F.col("key").alias("seed")), left, "seed", spread_by=F.col("page_url")
+    )
+    met = scale.lookup_join(page_rows.select("page_url", F.col("key").alias("node")), materialize(shown), "page_url")
+    first = met.filter(F.col("seed") != F.col("node")).groupBy("seed", "node").agg(F.count("*").cast("double").alias("weight"))
+    counted = entities.select(F.col("key").alias("node"), "frequency")
+    # One row per seed and name on its pages.
+    first = materialize(first.join(counted.hint("merge"), "node"))
+    least = _first_level(entities)
+    order = [F.desc("weight"), F.asc("distance"), F.asc("node")]
+    settled: DataFrame | None = None
+    while True:
+        hop = materialize(scale.lookup_join(first.filter(F.col("frequency") >= least), left, "seed", "left_semi", spread_by=F.col("node")))
+        near = hop.filter(F.col("weight") >= least).select("seed", "node", "weight", F.lit(1).cast("long").alias("distance"))
+        ends = materialize(hop.select(F.col("node").alias("key")).distinct())
+        links = materialize(_links_of(page_rows, entities, ends, least))
+        step = scale.lookup_join(links, hop.select("seed", F.col("node").alias("src")), "src", spread_by=F.col("dst"))
+        far = (
+            step.filter(F.col("dst") != F.col("seed")).groupBy("seed", F.col("dst").alias("node")).agg(F.max("weight").alias("weight"))
+            .join(hop.select("seed", "node").hint("merge"), ["seed", "node"], "left_anti")
+            .withColumn("distance", F.lit(2).cast("long"))
+        )
+        best = materialize(scale.top_rows(near.unionByName(far), ["seed"], order, k))
+        full = best.filter(F.col("rank") == k).select("seed")
+        told = best if least == 1 else best.join(full.hint("merge"), "seed", "left_semi")
+        settled = told if settled is None else settled.unionByName(told)
+        left = materialize(left.join(full.hint("merge"), "seed", "left_anti"))
+        if least == 1 or left.isEmpty():
+            break
+        least //= LEVEL_STEP
+    about = entities.select(F.col("key").alias("node"), "name", "entity_type", "frequency").hint("merge")
+    return settled.join(about, "node").select("seed", "name", "node", "entity_type", "frequency", "distance", "weight", "rank")
+
+
 def entity_context(
     query_entities: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2, per_entity: int = 10
 ) -> DataFrame:
-    """`query_id, kg_context`: one block of lines per query that names known entities.
+    """`query_id, kg_context`: one block of lines per query that names known entities (`context_lines`).
 
-    Each entity comes first, then its neighbours; a pair already listed for the query is left out.
     Needs `query_id, key, ent_rank`, at most a handful of entities per query.
     """
     seeds = query_entities.select(F.col("key").alias("seed")).distinct()
-    near = neighbours(seeds, edges, entities, hops, per_entity)
+    return context_lines(query_entities, neighbours(seeds, edges, entities, hops, per_entity), entities)
+
+
+def page_context(query_entities: DataFrame, page_rows: DataFrame, entities: DataFrame, per_entity: int = 10) -> DataFrame:
+    """What `entity_context` tells of two hops, from the names of the pages: no edges are made."""
+    seeds = query_entities.select(F.col("key").alias("seed"))
+    return context_lines(query_entities, page_neighbours(seeds, page_rows, entities, per_entity), entities)
+
+
+def context_lines(query_entities: DataFrame, near: DataFrame, entities: DataFrame) -> DataFrame:
+    """`query_id, kg_context`: each entity comes first, then its neighbours `near`; a pair already listed for the query
+    is left out."""
     known = entities.select("key", F.col("name").alias("shown"), "entity_type").hint("merge")
     heads = query_entities.join(known, "key").select(
         "query_id", "ent_rank", F.lit(0).cast("long").alias("rank"),
