@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_pipeline import LONG, at, full_visits
-from trailmark import session
+from trailmark import schemas, session
 from trailmark.operators import entities, lexical, postings
 from trailmark.operators.postings import PostingsIndex
 from trailmark.plans import ingest
@@ -149,6 +149,33 @@ def test_edges_follow_the_pages(spark, tmp_path):
     assert len(store.record(store.committed()[-1])["edges"]) == 1 and check()
 
 
+def test_edges_are_written_slice_by_slice(spark, tmp_path, monkeypatch):
+    """Segments of one, four and eight slices add up, and become one of two slices."""
+    def page_entities(*pages):
+        rows = [(f"https://a.org/{p}", f"n{i:02}", "N", "x") for p, names in pages for i in names]
+        return spark.createDataFrame(rows, schemas.TABLES["page_entities"])
+
+    def folders(version):
+        return sorted(n for n in store._names(f"edges/v={version}") if "=" in n)
+
+    store, none = Snapshots(spark, str(tmp_path / "s"), buckets=2), page_entities()
+    first, second, third = page_entities(("1", range(20)), ("2", range(5, 30))), page_entities(("3", range(12))), page_entities(("2", range(3)))
+    for slices, old, new, held in ((4, none, first, first), (1, none, second, first.unionByName(second)), (
+        8, first.filter("page_url LIKE '%/2'"), third, first.filter("page_url LIKE '%/1'").unionByName(second).unionByName(third)
+    )):
+        store.commit({"page_entities": held, "edge_delta": entities.edge_delta(old, new, slices), "edge_slices": slices})
+    want = sorted(map(tuple, entities.cooccurrence(held).collect()))
+    assert [folders(v) for v in (1, 2, 3)] == [["n=4"], ["n=1"], ["n=8"]]
+    assert sorted(map(tuple, store.edges().collect())) == want
+    monkeypatch.setattr(entities, "PAIRS_PER_SLICE", 450)
+    assert entities.edge_slices(held) == 1 and entities.edge_slices(first, first) == 4
+    version = store.compact_edges()
+    assert folders(version) == ["n=2"] and sorted(map(tuple, store.edges().collect())) == want
+    # No edge is in two slices, and a slice holds those of its own alone.
+    parts = [spark.read.schema(schemas.EDGE).parquet(f"{tmp_path}/s/edges/v={version}/n=2/i={i}") for i in range(2)]
+    assert sum(p.count() for p in parts) == len(want) and all(entities.edge_slice(p, i, 2).count() == p.count() for i, p in enumerate(parts))
+
+
 def test_positions_and_phrases(spark, tmp_path):
     rnd = random.Random(9)
     words = ["a1", "b1", "c1", "d1"]
